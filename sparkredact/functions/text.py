@@ -52,7 +52,7 @@ def clean_model_value(raw: Column) -> Column:
     cut = F.regexp_extract(v, r"(?s)^(.*?)\s+-\s+\S", 1)
     has_cut = v.rlike(r"(?s)\s+-\s+\S")
     v = F.when(has_cut, cut).otherwise(v)
-    pos = F.regexp_instr(v, _FIELD_LABEL_RE)
+    pos = F.regexp_instr(v, F.lit(_FIELD_LABEL_RE))
     v = F.when(pos > 1, F.substring(v, F.lit(1), pos - 1)).otherwise(v)
     v = ustrip(v)
     v = strip_chars(v, "-*_#")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import recognizers as R
 from ..operators import detect as D
+from ..operators import parse as P
 from ..operators import redact as X
+from ..sources import derived as DV
 from ..sources import tables as T
+from ..functions.text import clean_model_value
 
 
 def _recs(*types):
@@ -67,6 +70,43 @@ def _redact(types=None):
     return q
 
 
+# ------------------------------------------------------------ model outputs
+
+def parse_model_entities(spark, sf_dir):
+    """J1 over the model outputs of every derived document."""
+    return P.parse_model_entities(DV.model_outputs(spark, sf_dir)).select(
+        "doc_id", "seq", "value", "category", "entity_type")
+
+
+def clean_values(spark, sf_dir):
+    """Raw model value -> cleaned value, every item."""
+    items = P.model_items(DV.model_outputs(spark, sf_dir)).where(F.col("raw_value").isNotNull())
+    return items.select("doc_id", "pos", "raw_value", clean_model_value(F.col("raw_value")).alias("value"))
+
+
+def reject_bundled(spark, sf_dir):
+    """Cleaned values rejected, with the reason."""
+    items = P.model_items(DV.model_outputs(spark, sf_dir)).where(F.col("raw_value").isNotNull())
+    v = clean_model_value(F.col("raw_value"))
+    return (items.select("doc_id", "pos", v.alias("value"))
+            .withColumn("reason", P.reject_reason(F.col("value")))
+            .where(F.col("reason").isNotNull()))
+
+
+def type_alias(spark, sf_dir):
+    """Raw entity_type -> canonical entity_type, every item."""
+    items = P.model_items(DV.model_outputs(spark, sf_dir))
+    return items.select("doc_id", "pos", "raw_type", P.canonical_type(F.col("raw_type")).alias("entity_type"))
+
+
+def parse_assignments(spark, sf_dir):
+    return P.parse_assignments(DV.model_outputs(spark, sf_dir))
+
+
+def parse_ownership(spark, sf_dir):
+    return P.parse_ownership(DV.model_outputs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "redact_emails": _redact(("EMAIL_ADDRESS",)),
@@ -78,4 +118,10 @@ def queries() -> dict:
         "count_by_category": count_by_category,
         "dedup_detected": dedup_detected,
         "redact_documents": _redact(),
+        "parse_model_entities": parse_model_entities,
+        "clean_values": clean_values,
+        "reject_bundled": reject_bundled,
+        "type_alias": type_alias,
+        "parse_assignments": parse_assignments,
+        "parse_ownership": parse_ownership,
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import vocab
 from ..functions import recognizers as R
+from ..sources import derived as DV
 from . import duck as S
 
 ENT_T = ("STRUCT(seq INTEGER, value VARCHAR, category VARCHAR, entity_type VARCHAR, "
@@ -70,6 +71,49 @@ def _redact(types=None) -> str:
             f"{S.substitute('content', 'mappings')} AS anonymized FROM m")
 
 
+ITEM_T = "STRUCT(value VARCHAR, category VARCHAR, entity_type VARCHAR)"
+
+
+def _items_cte() -> str:
+    return (f"WITH mo AS ({DV.model_sql()}), items AS (SELECT doc_id, pos, it.value AS raw_value, "
+            f"it.category AS category, it.entity_type AS raw_type "
+            f"FROM {S.parsed_items('mo', 'entities', 'entities', ITEM_T)})")
+
+
+def parse_model_entities() -> str:
+    cats = "(" + ", ".join(S.q(c) for c in vocab.CATEGORIES) + ")"
+    return (_items_cte() +
+            f", c AS (SELECT *, {S.clean_model_value('raw_value')} AS value FROM items) "
+            f"SELECT doc_id, (pos + 1)::INTEGER AS seq, value, category, {S.canonical_type('raw_type')} AS entity_type "
+            f"FROM c WHERE category IN {cats} AND raw_value IS NOT NULL AND {S.reject_reason('value')} IS NULL")
+
+
+def clean_values() -> str:
+    return (_items_cte() + f" SELECT doc_id, pos, raw_value, {S.clean_model_value('raw_value')} AS value "
+            "FROM items WHERE raw_value IS NOT NULL")
+
+
+def reject_bundled() -> str:
+    return (_items_cte() + f", c AS (SELECT doc_id, pos, {S.clean_model_value('raw_value')} AS value "
+            "FROM items WHERE raw_value IS NOT NULL) "
+            f"SELECT doc_id, pos, value, {S.reject_reason('value')} AS reason FROM c "
+            f"WHERE {S.reject_reason('value')} IS NOT NULL")
+
+
+def type_alias() -> str:
+    return _items_cte() + f" SELECT doc_id, pos, raw_type, {S.canonical_type('raw_type')} AS entity_type FROM items"
+
+
+def _value_map(stage: str, field: str, role_field: str, out: str) -> str:
+    st = f"STRUCT(value VARCHAR, {role_field} VARCHAR)"
+    return (f"WITH mo AS ({DV.model_sql()}), r AS (SELECT doc_id, pos, "
+            f"{S.ustrip('coalesce(it.value, ' + chr(39) + chr(39) + ')')} AS value, "
+            f"{S.role_normal_form('coalesce(it.' + role_field + ', ' + chr(39) + chr(39) + ')')} AS role "
+            f"FROM {S.parsed_items('mo', stage, field, st)}) "
+            f"SELECT doc_id, value, max_by(role, pos) AS {out} FROM r "
+            f"WHERE length(value) > 0 AND length(role) > 0 GROUP BY doc_id, value")
+
+
 def oracle_sql() -> dict:
     return {
         "redact_emails": _redact(("EMAIL_ADDRESS",)),
@@ -81,4 +125,10 @@ def oracle_sql() -> dict:
         "count_by_category": count_by_category(),
         "dedup_detected": dedup_detected(),
         "redact_documents": _redact(),
+        "parse_model_entities": parse_model_entities(),
+        "clean_values": clean_values(),
+        "reject_bundled": reject_bundled(),
+        "type_alias": type_alias(),
+        "parse_assignments": _value_map("roles", "assignments", "role", "role"),
+        "parse_ownership": _value_map("ownership", "ownership", "owner_role", "owner_role"),
     }
