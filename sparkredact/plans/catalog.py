@@ -16,7 +16,16 @@ from ..operators import parse as P
 from ..operators import redact as X
 from ..sources import derived as DV
 from ..sources import tables as T
+from .. import vocab
 from ..functions.text import clean_model_value
+from ..functions.text import clean_span as X_clean
+from ..operators import classify as C
+from ..operators import merge as M
+from ..operators import roles as RO
+from ..operators import evaluate as EV
+from ..operators import governance as G
+from ..functions import labels as LB
+from pyspark.sql import Window
 
 
 def _recs(*types):
@@ -107,6 +116,406 @@ def parse_ownership(spark, sf_dir):
     return P.parse_ownership(DV.model_outputs(spark, sf_dir))
 
 
+# ------------------------------------------------------------ merge stage
+
+def _ddocs(spark, sf_dir):
+    return T.ensure_parallelism(DV.documents(spark, sf_dir))
+
+
+def _ner(spark, sf_dir):
+    return D.detect(_ddocs(spark, sf_dir).select("doc_id", "content", "language"))
+
+
+def _llm(spark, sf_dir):
+    return P.parse_model_entities(DV.model_outputs(spark, sf_dir))
+
+
+def false_positive_filter(spark, sf_dir):
+    """Every rule-recogniser hit with its deny-list / IBAN-fragment verdict."""
+    docs = _ddocs(spark, sf_dir).select("doc_id", "content", "language")
+    hits = D.explode_outer_nonnull(
+        docs.select("doc_id", "language", R.match_array(F.col("content"), R.SEMANTIC).alias("m")),
+        "m", ("doc_id", "language"), alias="h")
+    v = X_clean(F.col("h.value"))
+    return hits.select("doc_id", F.col("h.rank").alias("rank"), F.col("h.occ").alias("occ"),
+                       v.alias("value"), F.col("h.detector_type").alias("detector_type"),
+                       D.is_semantic_false_positive(v, F.col("h.detector_type"), F.col("language"))
+                       .alias("is_false_positive"))
+
+
+def overlap_join(spark, sf_dir):
+    """D-1 over the de-duplicated pattern entities and the model entities."""
+    p = M.overlap_pairs(M.dedup_detected(_ner(spark, sf_dir)), _llm(spark, sf_dir))
+    return p.select("doc_id", "nseq", "lseq")
+
+
+def _survivors(semantic: bool):
+    def q(spark, sf_dir):
+        s = M.pattern_survivors(_ner(spark, sf_dir), _llm(spark, sf_dir))
+        cond = F.col("entity_type").isin(vocab.SEMANTIC_MERGE_TYPES)
+        return s.where(cond if semantic else ~cond).select("doc_id", "seq", "value", "entity_type")
+    return q
+
+
+def url_in_email(spark, sf_dir):
+    """D-8: URL fragments dropped because a model e-mail contains them."""
+    ner = M.dedup_detected(_ner(spark, sf_dir))
+    flags = M.merge_flags(ner, _llm(spark, sf_dir)).withColumnRenamed("doc_id", "fdoc")
+    j = ner.join(flags, (F.col("doc_id") == F.col("fdoc")) & (F.col("seq") == F.col("nseq"))).drop("fdoc")
+    return j.where((F.col("entity_type") == "url") & F.col("in_email") & ~F.col("same_type_overlap")) \
+            .select("doc_id", "seq", "value")
+
+
+def date_dedup(spark, sf_dir):
+    """D-9 + D-10: the merged entity list."""
+    return M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir)).select(
+        "doc_id", "seq", "value", "category", "entity_type", "source")
+
+
+def _legal(spark, sf_dir):
+    docs = _ddocs(spark, sf_dir)
+    merged = M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir))
+    return merged, M.reclassify_legal(merged, docs)
+
+
+def legal_suffix(spark, sf_dir):
+    """D-11: person entities re-typed because of a corporate suffix."""
+    merged = M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir))
+    return merged.where((F.col("category") == "persone_fisiche") & F.col("value").rlike(M.CORPORATE_SUFFIX_RE)) \
+                 .select("doc_id", "seq", "value")
+
+
+def legal_context(spark, sf_dir):
+    """D-12: person entities re-typed because a legal phrase is near them."""
+    merged, out = _legal(spark, sf_dir)
+    before = merged.where(F.col("category") == "persone_fisiche") \
+                   .where(~F.col("value").rlike(M.CORPORATE_SUFFIX_RE)).select("doc_id", "seq")
+    after = out.where(F.col("category") == "persone_giuridiche").select("doc_id", "seq", "value")
+    return after.join(before, ["doc_id", "seq"], "left_semi")
+
+
+def fiscal_code_validate(spark, sf_dir):
+    """codice_fiscale entities removed by the final shape check."""
+    merged, out = _legal(spark, sf_dir)
+    kept = M.validate_fiscal_code(out)
+    return out.join(kept, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "value", "entity_type")
+
+
+def institutions(spark, sf_dir):
+    """Institution entities appended after the merge."""
+    docs = _ddocs(spark, sf_dir)
+    merged, out = _legal(spark, sf_dir)
+    e = M.add_institutions(M.validate_fiscal_code(out), docs)
+    return e.where(F.col("confidence") == vocab.INSTITUTION_CONFIDENCE).select("doc_id", "seq", "value")
+
+
+def identify(spark, sf_dir):
+    """Whole identification stage: merge, legal re-typing, fiscal check, institutions."""
+    docs = _ddocs(spark, sf_dir)
+    return M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs).select(
+        "doc_id", "seq", "value", "category", "entity_type", "source")
+
+
+def doc_type(spark, sf_dir):
+    """C20 over the derived documents."""
+    return _ddocs(spark, sf_dir).select("doc_id", C.detect_doc_type(F.col("content")).alias("doc_type"))
+
+
+def language_detect(spark, sf_dir):
+    """C19 over the real documents."""
+    return _docs(spark, sf_dir).select("doc_id", "language",
+                                       C.detect_language(F.col("content")).alias("detected_language"))
+
+
+# ------------------------------------------------------------ roles
+
+def _role_inputs(spark, sf_dir):
+    docs = _ddocs(spark, sf_dir)
+    mo = DV.model_outputs(spark, sf_dir)
+    ident = M.identify(_ner(spark, sf_dir), P.parse_model_entities(mo), docs)
+    return docs, ident, P.parse_assignments(mo), P.parse_ownership(mo)
+
+
+def _role_stages(spark, sf_dir):
+    docs, ident, asg, own = _role_inputs(spark, sf_dir)
+    dt = RO.doc_types(docs)
+    e0 = ident.join(dt, "doc_id", "left").withColumn("actor", RO.is_actor(F.col("category"), F.col("entity_type")))
+    a = asg.select(F.col("doc_id").alias("adoc"), F.col("value").alias("aval"), F.col("role").alias("arole"))
+    p1 = (e0.join(a, (e0["doc_id"] == a["adoc"]) & (e0["value"] == a["aval"]) & e0["actor"], "left")
+            .withColumn("semantic_role", F.when(F.col("actor"), F.col("arole")))
+            .drop("adoc", "aval", "arole"))
+    p15 = RO.remap_roles(p1.withColumn("r1", F.col("semantic_role")))
+    p2 = RO.assign_ownership(p15, own).withColumn("r2", F.col("semantic_role"))
+    p3a = RO.propagate_same_type(p2).withColumn("r3a", F.col("semantic_role"))
+    p3b = RO.propagate_proximity(p3a, docs).withColumn("r3b", F.col("semantic_role"))
+    return RO.remap_roles(p3b)
+
+
+def assign_roles(spark, sf_dir):
+    """D-13 + 1.5: actor roles from the role stage, remapped by document type."""
+    r = _role_stages(spark, sf_dir)
+    return r.where("actor").select("doc_id", "seq", "value", F.col("r1").alias("role_lookup"))
+
+
+def role_remap(spark, sf_dir):
+    """D-18: actors whose looked-up role the document type remaps."""
+    docs, ident, asg, own = _role_inputs(spark, sf_dir)
+    e = RO.assign_roles(ident, RO.doc_types(docs), asg)
+    a = asg.select(F.col("doc_id").alias("adoc"), F.col("value").alias("aval"), F.col("role").alias("before"))
+    j = e.join(a, (e["doc_id"] == a["adoc"]) & (e["value"] == a["aval"]) & e["actor"])
+    return j.where(F.col("before") != F.col("semantic_role")).select(
+        "doc_id", "seq", "doc_type", "before", F.col("semantic_role").alias("after"))
+
+
+def ownership(spark, sf_dir):
+    """D-14/D-15: data entities that received an owner role."""
+    r = _role_stages(spark, sf_dir)
+    return r.where(~F.col("actor") & F.col("r2").isNotNull()).select("doc_id", "seq", "value", F.col("r2").alias("owner"))
+
+
+def propagate_same_type(spark, sf_dir):
+    """D-16: entities resolved by same-type substring donors."""
+    r = _role_stages(spark, sf_dir)
+    return r.where(F.col("r2").isNull() & F.col("r3a").isNotNull()).select("doc_id", "seq", "value", F.col("r3a").alias("role"))
+
+
+def propagate_proximity(spark, sf_dir):
+    """D-17: entities resolved by the nearest actor within 200 characters."""
+    r = _role_stages(spark, sf_dir)
+    return r.where(F.col("r3a").isNull() & F.col("r3b").isNotNull()).select("doc_id", "seq", "value", F.col("r3b").alias("role"))
+
+
+def roles_final(spark, sf_dir):
+    """Every identified entity with its final role and the document type."""
+    docs, ident, asg, own = _role_inputs(spark, sf_dir)
+    r = RO.assign_all_roles(ident, docs, asg, own)
+    return r.select("doc_id", "seq", "value", "category", "entity_type", "semantic_role", "doc_type")
+
+
+# ------------------------------------------------------------ labels and substitution
+
+def _final_entities(spark, sf_dir):
+    docs, ident, asg, own = _role_inputs(spark, sf_dir)
+    return docs, RO.assign_all_roles(ident, docs, asg, own)
+
+
+def label_choice(spark, sf_dir):
+    """R2: Italian placeholder label of every entity."""
+    docs, r = _final_entities(spark, sf_dir)
+    return r.select("doc_id", "seq", LB.label_for(F.col("category"), F.col("entity_type"),
+                                                  F.col("semantic_role")).alias("label"))
+
+
+def label_localise(spark, sf_dir):
+    """The label rendered in the document language."""
+    docs, r = _final_entities(spark, sf_dir)
+    r = r.join(docs.select("doc_id", "language"), "doc_id")
+    lab = LB.label_for(F.col("category"), F.col("entity_type"), F.col("semantic_role"))
+    return r.select("doc_id", "seq", LB.localise(lab, F.col("language")).alias("label"))
+
+
+def _packed(r: DataFrame) -> DataFrame:
+    """Entities of each document as one seq-ordered array (one shuffle of
+    entity rows on doc_id; the text is not part of it)."""
+    return r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "seq", "value", "category", "entity_type", "semantic_role"))).alias("ents"))
+
+
+def greedy_dedup(spark, sf_dir):
+    """Values kept for substitution."""
+    docs, r = _final_entities(spark, sf_dir)
+    kept = _packed(r).select("doc_id", F.explode(X.greedy_dedup(F.col("ents"))).alias("e"))
+    return kept.select("doc_id", F.col("e.seq").alias("seq"), F.col("e.value").alias("value"),
+                       F.col("e.entity_type").alias("entity_type"))
+
+
+def number_placeholders(spark, sf_dir):
+    """W1 (+R2, R3): the per-document mapping value -> [LABEL_n]."""
+    docs, r = _final_entities(spark, sf_dir)
+    p = _packed(r).join(docs.select("doc_id", "language"), "doc_id")
+    m = p.select("doc_id", F.explode(X.number_placeholders(X.greedy_dedup(F.col("ents")), F.col("language"))).alias("m"))
+    return m.select("doc_id", F.col("m.ord").alias("ord"), F.col("m.original").alias("original"),
+                    F.col("m.replacement").alias("replacement"))
+
+
+def preview_numbers(spark, sf_dir):
+    """Preview placeholders over the entities before de-duplication."""
+    docs, r = _final_entities(spark, sf_dir)
+    p = _packed(r).join(docs.select("doc_id", "language"), "doc_id")
+    m = p.select("doc_id", F.explode(X.number_placeholders(F.col("ents"), F.col("language"))).alias("m"))
+    return m.select("doc_id", F.col("m.ord").alias("ord"), F.col("m.original").alias("original"),
+                    F.col("m.replacement").alias("proposed_replacement"))
+
+
+def redact_derived(spark, sf_dir):
+    """Substitute every document's identified, role-labelled entities."""
+    docs, r = _final_entities(spark, sf_dir)
+    p = docs.select("doc_id", "content", "language").join(_packed(r), "doc_id", "left") \
+            .withColumn("ents", F.coalesce("ents", F.array().cast(
+                "array<struct<seq:int,value:string,category:string,entity_type:string,semantic_role:string>>")))
+    out = X.anonymize_packed(p, "ents")
+    return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
+
+
+def redact_conversations(spark, sf_dir):
+    """Consistent redaction across the turns of one conversation: detect per
+    turn, build one mapping per conversation, apply it to every turn."""
+    conv = T.ensure_parallelism(T.conversations(spark, sf_dir))
+    turns = conv.select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("content"),
+                        F.lit(None).cast("string").alias("language"))
+    det = D.detect_packed(turns, lang_col="language")
+    ents = (D.explode_outer_nonnull(det, "detected", ("doc_id", "turn"))
+            .select("doc_id", "turn", F.col("e.seq").alias("tseq"), F.col("e.value").alias("value"),
+                    F.col("e.category").alias("category"), F.col("e.entity_type").alias("entity_type")))
+    w = Window.partitionBy("doc_id").orderBy("turn", "tseq")
+    ents = ents.withColumn("seq", F.row_number().over(w)).withColumn("semantic_role", F.lit(None).cast("string"))
+    maps = _packed(ents).select("doc_id", X.number_placeholders(X.greedy_dedup(F.col("ents")), F.lit("it")).alias("mappings"))
+    j = conv.join(maps, F.col("conv_id") == F.col("doc_id"), "left")
+    red = X.substitute(F.col("text"), F.coalesce("mappings", F.array().cast(maps.schema["mappings"].dataType)))
+    return j.select("conv_id", "turn", "role", red.alias("anonymized"))
+
+
+# ------------------------------------------------------------ evaluation
+
+def _eval_inputs(spark, sf_dir):
+    docs = _ddocs(spark, sf_dir)
+    truth = DV.ground_truth(spark, sf_dir).select("doc_id", "value", "category")
+    pred = M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs).select("doc_id", "value", "category")
+    return docs, EV.evaluable(pred, truth), truth
+
+
+def eval_strict(spark, sf_dir):
+    docs, pred, truth = _eval_inputs(spark, sf_dir)
+    return EV.strict_counts(pred, truth)
+
+
+def eval_lenient(spark, sf_dir):
+    docs, pred, truth = _eval_inputs(spark, sf_dir)
+    return EV.lenient_counts(pred, truth)
+
+
+def eval_grouping_sets(spark, sf_dir):
+    """G6 + G7 + T4: the evaluation report."""
+    docs, pred, truth = _eval_inputs(spark, sf_dir)
+    lang = docs.select("doc_id", EV.language_from_name(F.col("filename")).alias("lang"))
+    return EV.report(spark, EV.strict_counts(pred, truth), lang)
+
+
+def run_summary(spark, sf_dir):
+    """Per category and source, entities found in the run,
+    plus documents whose model output parsed (success) or not (error)."""
+    docs = _ddocs(spark, sf_dir)
+    mo = DV.model_outputs(spark, sf_dir)
+    ident = M.identify(_ner(spark, sf_dir), P.parse_model_entities(mo), docs)
+    parsed = (mo.where(F.col("stage") == "entities")
+                .select("doc_id", F.from_json(P.json_payload(F.col("raw")), P.ENTITIES_SCHEMA, P._JSON_OPTS)
+                        ["entities"].isNotNull().alias("ok")))
+    status = parsed.groupBy().agg(F.count("*").alias("total_documents"),
+                                  F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("errors"))
+    by_src = ident.groupBy("source").agg(F.count("*").alias("n"))
+    by_cat = ident.groupBy("category").agg(F.count("*").alias("n"))
+    cats = spark.createDataFrame([(c,) for c in vocab.CATEGORIES], "category string")
+    by_cat = cats.join(by_cat, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+    st = status.select(F.explode(F.array(
+        F.struct(F.lit("status").alias("kind"), F.lit("total_documents").alias("key"), F.col("total_documents").alias("n")),
+        F.struct(F.lit("status"), F.lit("success"), F.col("success")),
+        F.struct(F.lit("status"), F.lit("errors"), F.col("errors")))).alias("r")).select("r.*")
+    return (st.unionByName(by_src.select(F.lit("source").alias("kind"), F.col("source").alias("key"), "n"))
+              .unionByName(by_cat.select(F.lit("category").alias("kind"), F.col("category").alias("key"), "n"))
+              .select("kind", "key", F.col("n").cast("bigint").alias("n")))
+
+
+# ------------------------------------------------------------ ingest, review, audit, retention
+
+RUN_TS = "2026-01-01T00:00:00+00:00"      # run timestamp parameter for audit lines
+NOW = "2024-01-31 00:00:00"               # "now" parameter for TTL expiry
+LRU_BUDGET = 50 * 1024 * 1024             # byte budget parameter for the LRU query
+
+
+def html_to_text(spark, sf_dir):
+    """A3 + A5 over every page."""
+    pages = T.ensure_parallelism(T.pages(spark, sf_dir))
+    txt = G.html_to_text(F.col("html"))
+    return pages.select("page_id", txt.alias("text"), F.length(txt).cast("bigint").alias("char_count"))
+
+
+def format_gate(spark, sf_dir):
+    """A2 over the derived document names and the page URL file names."""
+    files = (_ddocs(spark, sf_dir).select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "filename")
+             .unionByName(T.pages(spark, sf_dir).select(
+                 F.lit("pages").alias("source"), F.col("page_id").alias("id"),
+                 F.regexp_extract("url", r"/([^/?#]*)(?:[?#].*)?$", 1).alias("filename"))))
+    return G.format_gate(files).select("source", "id", "filename", "ext", "supported", "reason")
+
+
+def fingerprint(spark, sf_dir):
+    """A5/A6 over every document."""
+    return G.fingerprint(_docs(spark, sf_dir))
+
+
+def audit_events(spark, sf_dir):
+    """Upload and conversion events per document, content-free."""
+    fp = G.fingerprint(_docs(spark, sf_dir))
+    ts = F.lit(RUN_TS)
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    up = fp.select("doc_id", F.lit("document_uploaded").alias("event"),
+                   G.audit_event(ts, "document_uploaded", F.col("doc_id"), file_hash=F.col("sha256"),
+                                 filename=name, file_size_bytes=F.col("size_bytes")).alias("line"))
+    cv = fp.select("doc_id", F.lit("document_converted").alias("event"),
+                   G.audit_event(ts, "document_converted", F.col("doc_id"), char_count=F.col("char_count")).alias("line"))
+    return up.unionByName(cv)
+
+
+def _cache_entries(spark, sf_dir):
+    ev = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts", "props")
+    touched = G.access_touch(ev)
+    size = ev.groupBy("doc_id").agg((F.sum(F.length("props")) * 1024).cast("bigint").alias("size_bytes"))
+    return touched.join(size, "doc_id")
+
+
+def ttl_expire(spark, sf_dir):
+    """T1 + T8: cache entries still alive at NOW."""
+    return G.ttl_live(_cache_entries(spark, sf_dir), F.to_timestamp(F.lit(NOW))).select(
+        "doc_id", "created_at", "last_accessed")
+
+
+def lru_evict(spark, sf_dir):
+    """Entries kept under the byte budget, newest first."""
+    return G.lru_keep(_cache_entries(spark, sf_dir), LRU_BUDGET).select(
+        "doc_id", "last_accessed", "size_bytes", F.col("running").cast("bigint").alias("running"))
+
+
+def _decisions(spark, sf_dir):
+    ev = T.table(spark, sf_dir, "events")
+    status = (F.when(F.col("event_type").isin("click", "purchase"), F.lit("accepted"))
+               .when(F.col("event_type") == "error", F.lit("removed"))
+               .when(F.col("event_type") == "signup", F.lit("proposed")))
+    return ev.select(F.col("user_id").alias("doc_id"), ((F.col("event_id") % 20) + 1).cast("int").alias("seq"),
+                     status.alias("status"), F.col("ts").alias("decided_at"), "event_id") \
+             .where(F.col("status").isNotNull())
+
+
+def _review_state(spark, sf_dir):
+    docs = _ddocs(spark, sf_dir)
+    ident = M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs)
+    return docs, G.review_state(ident, _decisions(spark, sf_dir))
+
+
+def review_progress(spark, sf_dir):
+    """V1 + G8/G12 per document."""
+    docs, st = _review_state(spark, sf_dir)
+    return G.review_progress(st)
+
+
+def review_apply(spark, sf_dir):
+    """V1 + B12 + R5: redact each document with its accepted entities only."""
+    docs, st = _review_state(spark, sf_dir)
+    acc = G.active_entities(st).withColumn("semantic_role", F.lit(None).cast("string"))
+    p = docs.select("doc_id", "content", "language").join(_packed(acc), "doc_id", "inner")
+    out = X.anonymize_packed(p, "ents")
+    return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
+
+
 def queries() -> dict:
     return {
         "redact_emails": _redact(("EMAIL_ADDRESS",)),
@@ -124,4 +533,42 @@ def queries() -> dict:
         "type_alias": type_alias,
         "parse_assignments": parse_assignments,
         "parse_ownership": parse_ownership,
+        "false_positive_filter": false_positive_filter,
+        "overlap_join": overlap_join,
+        "merge_semantic": _survivors(True),
+        "merge_structural": _survivors(False),
+        "url_in_email": url_in_email,
+        "date_dedup": date_dedup,
+        "legal_suffix": legal_suffix,
+        "legal_context": legal_context,
+        "fiscal_code_validate": fiscal_code_validate,
+        "institutions": institutions,
+        "identify": identify,
+        "doc_type": doc_type,
+        "language_detect": language_detect,
+        "assign_roles": assign_roles,
+        "role_remap": role_remap,
+        "ownership": ownership,
+        "propagate_same_type": propagate_same_type,
+        "propagate_proximity": propagate_proximity,
+        "roles_final": roles_final,
+        "label_choice": label_choice,
+        "label_localise": label_localise,
+        "greedy_dedup": greedy_dedup,
+        "number_placeholders": number_placeholders,
+        "preview_numbers": preview_numbers,
+        "redact_derived": redact_derived,
+        "redact_conversations": redact_conversations,
+        "eval_strict": eval_strict,
+        "eval_lenient": eval_lenient,
+        "eval_grouping_sets": eval_grouping_sets,
+        "run_summary": run_summary,
+        "html_to_text": html_to_text,
+        "format_gate": format_gate,
+        "fingerprint": fingerprint,
+        "audit_events": audit_events,
+        "ttl_expire": ttl_expire,
+        "lru_evict": lru_evict,
+        "review_progress": review_progress,
+        "review_apply": review_apply,
     }

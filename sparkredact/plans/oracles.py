@@ -131,4 +131,399 @@ def oracle_sql() -> dict:
         "type_alias": type_alias(),
         "parse_assignments": _value_map("roles", "assignments", "role", "role"),
         "parse_ownership": _value_map("ownership", "ownership", "owner_role", "owner_role"),
+        **merge_oracles(),
+        **classify_oracles(),
+        **role_oracles(),
+        **label_oracles(),
+        **eval_oracles(),
+        **governance_oracles(),
+    }
+
+
+# ------------------------------------------------------------ merge stage (SQL)
+
+def _merge_ctes() -> str:
+    from ..operators import merge as M
+    cats = "(" + ", ".join(S.q(c) for c in vocab.CATEGORIES) + ")"
+    sem = "(" + ", ".join(S.q(t) for t in vocab.SEMANTIC_MERGE_TYPES) + ")"
+    us = S.ustrip
+    return f"""WITH dd AS ({DV.docs_sql()}),
+    det AS (SELECT doc_id, content, language, {S.detected_array('content', 'language')} AS detected FROM dd),
+    ner AS (SELECT doc_id, e.seq AS seq, e.value AS value, e.category AS category, e.entity_type AS entity_type,
+                   e.confidence AS confidence, e.source AS source FROM (SELECT doc_id, unnest(detected) AS e FROM det)),
+    mo AS ({DV.model_sql()}),
+    items AS (SELECT doc_id, pos, it.value AS raw_value, it.category AS category, it.entity_type AS raw_type
+              FROM {S.parsed_items('mo', 'entities', 'entities', ITEM_T)}),
+    cl AS (SELECT *, {S.clean_model_value('raw_value')} AS value FROM items),
+    llm AS (SELECT doc_id, (pos + 1)::INTEGER AS seq, value, category, {S.canonical_type('raw_type')} AS entity_type,
+                   NULL::DOUBLE AS confidence, 'llm' AS source
+            FROM cl WHERE category IN {cats} AND raw_value IS NOT NULL AND {S.reject_reason('value')} IS NULL),
+    g1 AS (SELECT doc_id, first_seq AS seq, value, category, entity_type, confidence, source FROM (
+             SELECT *, min(seq) OVER (PARTITION BY doc_id, lower(value), entity_type) AS first_seq,
+                    row_number() OVER (PARTITION BY doc_id, lower(value), entity_type
+                                       ORDER BY coalesce(confidence, 0) DESC, seq) AS rn FROM ner) WHERE rn = 1),
+    pairs AS (SELECT n.doc_id, n.seq AS nseq, l.seq AS lseq, n.value AS nval, n.category AS ncat, n.entity_type AS ntype,
+                     lower(n.value) AS nlow, lower({us('n.value')}) AS nslow,
+                     l.category AS lcat, l.entity_type AS ltype, lower(l.value) AS llow, lower({us('l.value')}) AS lslow
+              FROM g1 n JOIN llm l ON n.doc_id = l.doc_id
+               AND (instr(lower(l.value), lower(n.value)) > 0 OR instr(lower(n.value), lower(l.value)) > 0)),
+    flags AS (SELECT doc_id, nseq,
+                bool_or(ltype IN ('indirizzo', 'luogo_nascita', 'cap_citta') AND instr(llow, nslow) > 0 AND nslow <> llow) AS inside_place,
+                bool_or(lcat <> ncat AND instr(llow, nslow) > 0 AND nslow <> llow) AS fragment,
+                bool_or(ltype = ntype AND nslow <> lslow AND instr(lslow, nslow) > 0) AS same_type_substr,
+                count_if(lslow = nslow) AS n_exact,
+                count_if(lslow = nslow AND lcat = ncat) AS n_exact_same_cat,
+                bool_or(ltype = ntype) AS same_type_overlap,
+                bool_or(ltype = 'email' AND instr(llow, nlow) > 0) AS in_email
+              FROM pairs GROUP BY doc_id, nseq),
+    fl AS (SELECT g1.*, f.nseq IS NOT NULL AS has_overlap, coalesce(f.inside_place, false) AS inside_place,
+                  coalesce(f.fragment, false) AS fragment, coalesce(f.same_type_substr, false) AS same_type_substr,
+                  coalesce(f.n_exact, 0) AS n_exact, coalesce(f.n_exact_same_cat, 0) AS n_exact_same_cat,
+                  coalesce(f.same_type_overlap, false) AS same_type_overlap, coalesce(f.in_email, false) AS in_email
+           FROM g1 LEFT JOIN flags f ON g1.doc_id = f.doc_id AND g1.seq = f.nseq),
+    surv AS (SELECT doc_id, seq, value, category, entity_type, confidence, 'merged' AS source FROM fl
+             WHERE CASE WHEN entity_type IN {sem} THEN
+                     has_overlap
+                     AND NOT (entity_type = 'indirizzo' AND NOT regexp_matches({us('value')}, '[,0-9]') AND inside_place)
+                     AND NOT fragment AND NOT same_type_substr AND NOT (n_exact > 0 AND n_exact_same_cat = 0)
+                   ELSE NOT same_type_overlap AND NOT (entity_type = 'url' AND in_email) END),
+    both_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, seq)::INTEGER AS seq,
+                     value, category, entity_type, confidence, source
+              FROM (SELECT *, 0 AS part FROM llm UNION ALL SELECT *, 1 AS part FROM surv)),
+    births AS (SELECT DISTINCT doc_id, lower({us('value')}) AS k FROM both_
+               WHERE category = 'persone_fisiche' AND entity_type = 'data_nascita'),
+    merged AS (SELECT b.* FROM both_ b WHERE NOT (b.category = 'dati_temporali' AND EXISTS (
+                 SELECT 1 FROM births x WHERE x.doc_id = b.doc_id AND x.k = lower({us('b.value')})))),
+    legal AS (SELECT m.*,
+                m.category = 'persone_fisiche' AND regexp_matches(m.value, {S.q(M.CORPORATE_SUFFIX_RE.replace('(?iu)', '(?i)'))}) AS by_suffix,
+                m.category = 'persone_fisiche' AND regexp_matches(d.content, {_legal_pattern_sql('m.value')}) AS by_context
+              FROM merged m JOIN dd d ON d.doc_id = m.doc_id),
+    retyped AS (SELECT doc_id, seq, value,
+                  CASE WHEN by_suffix OR by_context THEN 'persone_giuridiche' ELSE category END AS category,
+                  CASE WHEN by_suffix OR by_context THEN 'nome_azienda' ELSE entity_type END AS entity_type,
+                  confidence, source, by_suffix, by_context FROM legal),
+    valid AS (SELECT * FROM retyped WHERE NOT (entity_type = 'codice_fiscale'
+                AND NOT regexp_matches({us('value')}, {S.q(vocab.FISCAL_CODE_PATTERN.replace('(?i)', ''))}, 'i'))),
+    known AS (SELECT doc_id, list(lower(value)) AS known, max(seq) AS max_seq FROM valid GROUP BY doc_id),
+    cand AS (SELECT doc_id, list_transform(regexp_extract_all(content, {S.q(M.INSTITUTION_RE)}), lambda v: {us('v')}) AS found
+             FROM dd),
+    added AS (SELECT c.doc_id, coalesce(k.max_seq, 0) AS base,
+                list_reduce(c.found, lambda acc, v: CASE WHEN len(list_filter(acc.seen, lambda s: instr(s, lower(v)) > 0)) > 0
+                    THEN acc ELSE {{'seen': list_append(acc.seen, lower(v)), 'added': list_append(acc.added, v)}} END,
+                  {{'seen': coalesce(k.known, []::VARCHAR[]), 'added': []::VARCHAR[]}}).added AS added
+              FROM cand c LEFT JOIN known k ON k.doc_id = c.doc_id WHERE len(c.found) > 0),
+    inst AS (SELECT doc_id, (base + i)::INTEGER AS seq, v AS value, 'persone_giuridiche' AS category,
+                    'nome_organizzazione' AS entity_type, {vocab.INSTITUTION_CONFIDENCE}::DOUBLE AS confidence, 'ner' AS source
+             FROM (SELECT doc_id, base, unnest(added) AS v, unnest(range(1, len(added) + 1)) AS i FROM added)),
+    ident AS (SELECT doc_id, seq, value, category, entity_type, confidence, source FROM valid
+              UNION ALL SELECT * FROM inst)"""
+
+
+def _legal_pattern_sql(value: str) -> str:
+    quoted = f"('\\Q' || replace({value}, '\\E', '\\E\\\\E\\Q') || '\\E')"
+    alts = []
+    for p in vocab.LEGAL_CONTEXT_PHRASES:
+        qp = "\\Q" + p + "\\E"
+        alts.append(f"{S.q(f'(?:{qp}).{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}')} || {quoted}")
+        alts.append(f"{quoted} || {S.q(f'.{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}(?:{qp})')}")
+    return "('(?is)' || " + " || '|' || ".join(alts) + ")"
+
+
+def false_positive_filter() -> str:
+    hits = S.recognizer_array("content", R.SEMANTIC)
+    v = S.clean_span("h.value")
+    return (f"WITH dd AS ({DV.docs_sql()}), x AS (SELECT doc_id, language, unnest({hits}) AS h FROM dd) "
+            f"SELECT doc_id, h.rank AS rank, h.occ AS occ, {v} AS value, h.detector_type AS detector_type, "
+            f"{S.semantic_fp(v, 'h.detector_type', 'language')} AS is_false_positive FROM x")
+
+
+def _merge_q(select: str) -> str:
+    return _merge_ctes() + " " + select
+
+
+def merge_oracles() -> dict:
+    sem = "(" + ", ".join(S.q(t) for t in vocab.SEMANTIC_MERGE_TYPES) + ")"
+    return {
+        "false_positive_filter": false_positive_filter(),
+        "overlap_join": _merge_q("SELECT doc_id, nseq, lseq FROM pairs"),
+        "merge_semantic": _merge_q(f"SELECT doc_id, seq, value, entity_type FROM surv WHERE entity_type IN {sem}"),
+        "merge_structural": _merge_q(f"SELECT doc_id, seq, value, entity_type FROM surv WHERE entity_type NOT IN {sem}"),
+        "url_in_email": _merge_q("SELECT doc_id, seq, value FROM fl WHERE has_overlap AND entity_type = 'url' "
+                                 "AND in_email AND NOT same_type_overlap"),
+        "date_dedup": _merge_q("SELECT doc_id, seq, value, category, entity_type, source FROM merged"),
+        "legal_suffix": _merge_q("SELECT doc_id, seq, value FROM legal WHERE by_suffix"),
+        "legal_context": _merge_q("SELECT doc_id, seq, value FROM legal WHERE by_context AND NOT by_suffix"),
+        "fiscal_code_validate": _merge_q("SELECT doc_id, seq, value, entity_type FROM retyped r WHERE NOT EXISTS "
+                                         "(SELECT 1 FROM valid v WHERE v.doc_id = r.doc_id AND v.seq = r.seq)"),
+        "institutions": _merge_q("SELECT doc_id, seq, value FROM inst"),
+        "identify": _merge_q("SELECT doc_id, seq, value, category, entity_type, source FROM ident"),
+    }
+
+
+def classify_oracles() -> dict:
+    from ..operators import classify as C
+    head = f"substr(content, 1, {vocab.DOC_TYPE_HEAD_CHARS})"
+    case = " ".join(f"WHEN regexp_matches({head}, {S.q('(?i)' + p)}) THEN {S.q(k)}" for k, p in vocab.DOC_TYPE_PATTERNS)
+    toks = f"string_split_regex(lower(content), {S.q(C.TOKEN_SPLIT)})"
+    scores = ", ".join(
+        f"{{'neg': -len(list_filter({toks}, lambda t: list_contains([{', '.join(S.q(w) for w in words)}], t))), 'lang': {S.q(lang)}}}"
+        for lang, words in sorted(C.STOPWORDS.items()))
+    best = f"list_sort([{scores}])[1]"
+    return {
+        "doc_type": f"WITH dd AS ({DV.docs_sql()}) SELECT doc_id, CASE {case} ELSE NULL END AS doc_type FROM dd",
+        "language_detect": (f"SELECT doc_id, language, CASE WHEN b.neg < 0 THEN b.lang ELSE {S.q(vocab.DEFAULT_LANGUAGE)} END "
+                            f"AS detected_language FROM (SELECT doc_id, lang AS language, text AS content, {best.replace('content', 'text')} AS b FROM documents)"),
+    }
+
+
+# ------------------------------------------------------------ roles (SQL)
+
+def _remap_sql(role: str) -> str:
+    body = " ".join(f"WHEN doc_type = {S.q(d)} AND {role} = {S.q(r)} THEN {S.q(t)}" for d, r, t in vocab.ROLE_CONSTRAINTS)
+    cats = "(" + ", ".join(S.q(c) for c in vocab.ROLE_CATEGORIES) + ")"
+    return f"(CASE WHEN category IN {cats} AND {role} IS NOT NULL THEN (CASE {body} ELSE {role} END) ELSE {role} END)"
+
+
+def _role_ctes() -> str:
+    head = f"substr(content, 1, {vocab.DOC_TYPE_HEAD_CHARS})"
+    case = " ".join(f"WHEN regexp_matches({head}, {S.q('(?i)' + p)}) THEN {S.q(k)}" for k, p in vocab.DOC_TYPE_PATTERNS)
+    ptypes = "(" + ", ".join(S.q(t) for t in vocab.PERSON_ROLE_TYPES) + ")"
+    otypes = "(" + ", ".join(S.q(t) for t in vocab.ORG_ROLE_TYPES) + ")"
+    donors = "(" + ", ".join(S.q(t) for t in vocab.PROXIMITY_DONOR_TYPES) + ")"
+    asg_t = "STRUCT(value VARCHAR, role VARCHAR)"
+    own_t = "STRUCT(value VARCHAR, owner_role VARCHAR)"
+    e = chr(39) * 2
+    def vm(stage, field, st, rf):
+        return (f"SELECT doc_id, value, max_by(role, pos) AS role FROM (SELECT doc_id, pos, "
+                f"{S.ustrip(f'coalesce(it.value, {e})')} AS value, {S.role_normal_form(f'coalesce(it.{rf}, {e})')} AS role "
+                f"FROM {S.parsed_items('mo', stage, field, st)}) WHERE length(value) > 0 AND length(role) > 0 GROUP BY doc_id, value")
+    nv = "rtrim(lower(" + S.ustrip("value") + "), '.')"
+    return _merge_ctes() + f""",
+    dt AS (SELECT doc_id, CASE {case} ELSE NULL END AS doc_type FROM dd),
+    asg AS ({vm('roles', 'assignments', asg_t, 'role')}),
+    own AS ({vm('ownership', 'ownership', own_t, 'owner_role')}),
+    e0 AS (SELECT i.*, dt.doc_type,
+             (i.category = 'persone_fisiche' AND i.entity_type IN {ptypes}) OR
+             (i.category = 'persone_giuridiche' AND i.entity_type IN {otypes}) AS actor
+           FROM ident i LEFT JOIN dt ON dt.doc_id = i.doc_id),
+    p1 AS (SELECT e0.*, CASE WHEN e0.actor THEN a.role END AS r1
+           FROM e0 LEFT JOIN asg a ON a.doc_id = e0.doc_id AND a.value = e0.value AND e0.actor),
+    p15 AS (SELECT *, {_remap_sql('r1')} AS r15 FROM p1),
+    ar AS (SELECT doc_id, list(DISTINCT r15) FILTER (WHERE r15 IS NOT NULL) AS valid,
+                  list(DISTINCT r15) FILTER (WHERE r15 IS NOT NULL AND category = 'persone_fisiche') AS person_roles
+           FROM p15 WHERE actor GROUP BY doc_id),
+    p2 AS (SELECT p.*, CASE WHEN NOT p.actor AND p.r15 IS NULL AND o.role IS NOT NULL AND len(coalesce(ar.valid, [])) > 0
+                 THEN (CASE WHEN NOT list_contains(list_concat(ar.valid, ['documento']), o.role)
+                                 AND len(coalesce(ar.person_roles, [])) = 1 THEN ar.person_roles[1] ELSE o.role END)
+                 ELSE p.r15 END AS r2
+           FROM p15 p LEFT JOIN ar ON ar.doc_id = p.doc_id
+           LEFT JOIN own o ON o.doc_id = p.doc_id AND o.value = p.value AND NOT p.actor AND p.r15 IS NULL),
+    pa AS (SELECT n.doc_id, n.seq, min_by(d.r2, d.seq) AS prop
+           FROM (SELECT *, {nv} AS nv FROM p2 WHERE r2 IS NULL) n
+           JOIN (SELECT *, {nv} AS nv FROM p2 WHERE r2 IS NOT NULL) d
+             ON d.doc_id = n.doc_id AND d.entity_type = n.entity_type AND (instr(d.nv, n.nv) > 0 OR instr(n.nv, d.nv) > 0)
+           GROUP BY n.doc_id, n.seq),
+    p3a AS (SELECT p2.*, coalesce(p2.r2, pa.prop) AS r3a FROM p2 LEFT JOIN pa ON pa.doc_id = p2.doc_id AND pa.seq = p2.seq),
+    pos AS (SELECT p.doc_id, p.seq, instr(d.content, p.value) - 1 AS pos FROM p3a p JOIN dd d ON d.doc_id = p.doc_id),
+    p3p AS (SELECT p3a.*, pos.pos FROM p3a LEFT JOIN pos ON pos.doc_id = p3a.doc_id AND pos.seq = p3a.seq),
+    pb AS (SELECT doc_id, seq, role FROM (
+             SELECT n.doc_id, n.seq, d.r3a AS role, row_number() OVER (PARTITION BY n.doc_id, n.seq
+                    ORDER BY abs(d.pos - n.pos), d.seq) AS rn
+             FROM p3p n JOIN p3p d ON d.doc_id = n.doc_id AND abs(d.pos - n.pos) <= {vocab.PROXIMITY_THRESHOLD}
+             WHERE n.r3a IS NULL AND n.pos >= 0 AND d.r3a IS NOT NULL AND d.entity_type IN {donors} AND d.pos >= 0)
+           WHERE rn = 1),
+    p3b AS (SELECT p3p.*, coalesce(p3p.r3a, pb.role) AS r3b FROM p3p LEFT JOIN pb ON pb.doc_id = p3p.doc_id AND pb.seq = p3p.seq),
+    fin AS (SELECT *, CASE WHEN bool_or(actor) OVER (PARTITION BY doc_id) THEN {_remap_sql('r3b')} END AS semantic_role FROM p3b)"""
+
+
+def role_oracles() -> dict:
+    c = _role_ctes()
+    return {
+        "assign_roles": c + " SELECT doc_id, seq, value, r15 AS role_lookup FROM p15 WHERE actor",
+        "role_remap": c + " SELECT p.doc_id, p.seq, p.doc_type, a.role AS before, p.r15 AS after FROM p15 p "
+                          "JOIN asg a ON a.doc_id = p.doc_id AND a.value = p.value AND p.actor WHERE a.role <> p.r15",
+        "ownership": c + " SELECT doc_id, seq, value, r2 AS owner FROM p2 WHERE NOT actor AND r2 IS NOT NULL",
+        "propagate_same_type": c + " SELECT doc_id, seq, value, r3a AS role FROM p3a WHERE r2 IS NULL AND r3a IS NOT NULL",
+        "propagate_proximity": c + " SELECT doc_id, seq, value, r3b AS role FROM p3b WHERE r3a IS NULL AND r3b IS NOT NULL",
+        "roles_final": c + " SELECT doc_id, seq, value, category, entity_type, semantic_role, doc_type FROM fin",
+    }
+
+
+# ------------------------------------------------------------ labels and substitution (SQL)
+
+def label_oracles() -> dict:
+    c = _role_ctes()
+    lab = S.label_for("f.category", "f.entity_type", "f.semantic_role")
+    pk = (", pk AS (SELECT doc_id, list({'seq': seq, 'value': value, 'category': category, "
+          "'entity_type': entity_type, 'semantic_role': semantic_role} ORDER BY seq) AS ents FROM fin GROUP BY doc_id)")
+    lang = "d.language"
+    dedup = S.greedy_dedup("pk.ents", ENT_T)
+    return {
+        "label_choice": c + f" SELECT f.doc_id, f.seq, {lab} AS label FROM fin f",
+        "label_localise": c + f" SELECT f.doc_id, f.seq, {S.localise(lab, 'd.language')} AS label "
+                              "FROM fin f JOIN dd d ON d.doc_id = f.doc_id",
+        "greedy_dedup": c + pk + f" SELECT doc_id, e.seq AS seq, e.value AS value, e.entity_type AS entity_type "
+                                 f"FROM (SELECT doc_id, unnest({dedup}) AS e FROM pk)",
+        "number_placeholders": c + pk + f" SELECT doc_id, m.ord AS ord, m.original AS original, m.replacement AS replacement "
+                                        f"FROM (SELECT pk.doc_id, unnest({S.number_placeholders(dedup, lang)}) AS m "
+                                        f"FROM pk JOIN dd d ON d.doc_id = pk.doc_id)",
+        "preview_numbers": c + pk + f" SELECT doc_id, m.ord AS ord, m.original AS original, m.replacement AS proposed_replacement "
+                                    f"FROM (SELECT pk.doc_id, unnest({S.number_placeholders('pk.ents', lang)}) AS m "
+                                    f"FROM pk JOIN dd d ON d.doc_id = pk.doc_id)",
+        "redact_derived": c + pk + f", mm AS (SELECT d.doc_id, d.content, "
+                                   f"{S.number_placeholders(S.greedy_dedup(f'coalesce(pk.ents, []::{ENT_T}[])', ENT_T), lang)} AS mappings "
+                                   f"FROM dd d LEFT JOIN pk ON pk.doc_id = d.doc_id) "
+                                   f"SELECT doc_id, len(mappings)::BIGINT AS n_mappings, {S.substitute('content', 'mappings')} AS anonymized FROM mm",
+        "redact_conversations": _redact_conversations(),
+    }
+
+
+def _redact_conversations() -> str:
+    det = S.detected_array("text", "NULL::VARCHAR")
+    return f"""WITH t AS (SELECT conv_id, turn, {det} AS detected FROM conversations),
+    e AS (SELECT conv_id, turn, x.seq AS tseq, x.value AS value, x.category AS category, x.entity_type AS entity_type
+          FROM (SELECT conv_id, turn, unnest(detected) AS x FROM t)),
+    n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, tseq)::INTEGER AS seq,
+                 value, category, entity_type FROM e),
+    pk AS (SELECT conv_id, list({{'seq': seq, 'value': value, 'category': category, 'entity_type': entity_type,
+                                 'semantic_role': NULL::VARCHAR}} ORDER BY seq) AS ents FROM n GROUP BY conv_id),
+    mp AS (SELECT conv_id, {S.number_placeholders(S.greedy_dedup('ents', ENT_T), "'it'")} AS mappings FROM pk)
+    SELECT c.conv_id, c.turn, c.role,
+           CASE WHEN mp.mappings IS NULL THEN c.text ELSE {S.substitute('c.text', 'mp.mappings')} END AS anonymized
+    FROM conversations c LEFT JOIN mp ON mp.conv_id = c.conv_id"""
+
+
+# ------------------------------------------------------------ evaluation (SQL)
+
+def _norm_sql(v: str) -> str:
+    chars = vocab.EVAL_TRIM_CHARS
+    cls = "".join("\\" + ch if ch in "\\^-[]" else ch for ch in chars)
+    stripped = f"regexp_replace({v}, {S.q(f'^[{cls}]+|[{cls}]+$')}, '', 'g')"
+    return f"regexp_replace(lower({stripped}), '\\s+', ' ', 'g')"
+
+
+def _eval_ctes() -> str:
+    return _merge_ctes() + f""",
+    gt AS (SELECT doc_id, value, category FROM ({DV.truth_sql()})),
+    pr AS (SELECT i.doc_id, i.value, i.category FROM ident i WHERE i.doc_id IN (SELECT doc_id FROM gt)),
+    ps AS (SELECT DISTINCT doc_id, {_norm_sql('value')} AS v, category FROM pr),
+    ts AS (SELECT DISTINCT doc_id, {_norm_sql('value')} AS v, category FROM gt),
+    strict AS (SELECT coalesce(ps.doc_id, ts.doc_id) AS doc_id, coalesce(ps.category, ts.category) AS category,
+                      count_if(ps.v IS NOT NULL AND ts.v IS NOT NULL) AS tp,
+                      count_if(ps.v IS NOT NULL AND ts.v IS NULL) AS fp,
+                      count_if(ps.v IS NULL AND ts.v IS NOT NULL) AS fn
+               FROM ps FULL OUTER JOIN ts ON ps.doc_id = ts.doc_id AND ps.v = ts.v AND ps.category = ts.category
+               GROUP BY 1, 2),
+    tv AS (SELECT DISTINCT doc_id, v FROM ts), pv AS (SELECT DISTINCT doc_id, v FROM ps),
+    lp AS (SELECT ps.doc_id, ps.category, count_if(tv.v IS NOT NULL) AS tp, count_if(tv.v IS NULL) AS fp
+           FROM ps LEFT JOIN tv ON tv.doc_id = ps.doc_id AND tv.v = ps.v GROUP BY 1, 2),
+    lt AS (SELECT ts.doc_id, ts.category, count(*) AS fn FROM ts
+           WHERE NOT EXISTS (SELECT 1 FROM pv WHERE pv.doc_id = ts.doc_id AND pv.v = ts.v) GROUP BY 1, 2),
+    lenient AS (SELECT coalesce(lp.doc_id, lt.doc_id) AS doc_id, coalesce(lp.category, lt.category) AS category,
+                       coalesce(lp.tp, 0) AS tp, coalesce(lp.fp, 0) AS fp, coalesce(lt.fn, 0) AS fn
+                FROM lp FULL OUTER JOIN lt ON lp.doc_id = lt.doc_id AND lp.category = lt.category)"""
+
+
+def eval_oracles() -> dict:
+    c = _eval_ctes()
+    cats = ", ".join(f"({S.q(x)})" for x in vocab.CATEGORIES)
+    stem = "regexp_replace(d.filename, '\\.[^./]*$', '')"
+    lang = "CASE " + " ".join(
+        f"WHEN ends_with({stem}, {S.q('_' + l)}) THEN {S.q('DE' if l == 'DECH' else l)}"
+        for l in vocab.EVAL_LANG_SUFFIXES) + " ELSE '??' END"
+    def prf(tp, fp, fn):
+        p = f"(CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END)"
+        r = f"(CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END)"
+        f = f"(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+        return f"round({p}, 6) AS precision, round({r}, 6) AS recall, round({f}, 6) AS f1"
+    report = c + f""",
+    dl AS (SELECT d.doc_id, {lang} AS lang FROM dd d),
+    docs_ AS (SELECT DISTINCT s.doc_id, dl.lang FROM strict s LEFT JOIN dl ON dl.doc_id = s.doc_id),
+    full_ AS (SELECT g.doc_id, g.lang, k.category, coalesce(s.tp, 0) AS tp, coalesce(s.fp, 0) AS fp, coalesce(s.fn, 0) AS fn
+              FROM docs_ g, (VALUES {cats}) k(category)
+              LEFT JOIN strict s ON s.doc_id = g.doc_id AND s.category = k.category),
+    agg AS (SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(lang) = 0 THEN 'language'
+                        WHEN grouping(doc_id) = 0 THEN 'document' ELSE 'total' END AS grouping,
+                   coalesce(category, lang, cast(doc_id AS VARCHAR), 'all') AS grp,
+                   sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn
+            FROM full_ GROUP BY GROUPING SETS ((category), (lang), (doc_id), ()))
+    SELECT grouping, grp, tp, fp, fn, {prf('tp::DOUBLE', 'fp', 'fn')} FROM agg"""
+    summary = c + f""",
+    st AS (SELECT count(*) AS total_documents,
+                  count_if({S.json_payload('raw')} <> '' AND json_valid({S.json_payload('raw')})
+                           AND try_cast(json_extract({S.json_payload('raw')}, '$.entities') AS {ITEM_T}[]) IS NOT NULL) AS success
+           FROM mo WHERE stage = 'entities')
+    SELECT 'status' AS kind, 'total_documents' AS key, total_documents::BIGINT AS n FROM st
+    UNION ALL SELECT 'status', 'success', success::BIGINT FROM st
+    UNION ALL SELECT 'status', 'errors', (total_documents - success)::BIGINT FROM st
+    UNION ALL SELECT 'source', source, count(*)::BIGINT FROM ident GROUP BY source
+    UNION ALL SELECT 'category', k.category, count(i.category)::BIGINT FROM (VALUES {cats}) k(category)
+              LEFT JOIN ident i ON i.category = k.category GROUP BY k.category"""
+    return {
+        "eval_strict": c + " SELECT doc_id, category, tp, fp, fn FROM strict",
+        "eval_lenient": c + " SELECT doc_id, category, tp, fp, fn FROM lenient",
+        "eval_grouping_sets": report,
+        "run_summary": summary,
+    }
+
+
+# ------------------------------------------------------------ ingest, review, audit, retention (SQL)
+
+def governance_oracles() -> dict:
+    from ..operators import governance as G
+    from . import catalog as CAT
+    html = "html"
+    for pat, rep in G.HTML_RULES:
+        html = f"regexp_replace({html}, {S.q(pat)}, {S.q(rep.replace(chr(92), chr(92) * 2))}, 'g')"
+    txt = f"regexp_replace({html}, '^\\s+|\\s+$', '', 'g')"
+    supported = vocab.PLAIN_TEXT_EXTENSIONS + vocab.CONVERTER_EXTENSIONS
+    sup = "(" + ", ".join(S.q(x) for x in supported) + ")"
+    listing = ", ".join(sorted(supported))
+    ext = "lower(regexp_extract(filename, '(\\.[^./]+)$', 1))"
+    entries = ("WITH ev AS (SELECT user_id AS doc_id, ts, props FROM events), "
+               "en AS (SELECT doc_id, min(ts) AS created_at, max(ts) AS last_accessed, "
+               "(sum(length(props)) * 1024)::BIGINT AS size_bytes FROM ev GROUP BY doc_id)")
+    decisions = ("SELECT user_id AS doc_id, ((event_id % 20) + 1)::INTEGER AS seq, "
+                 "CASE WHEN event_type IN ('click', 'purchase') THEN 'accepted' WHEN event_type = 'error' THEN 'removed' "
+                 "WHEN event_type = 'signup' THEN 'proposed' END AS status, ts AS decided_at, event_id FROM events")
+    review = _merge_ctes() + f""",
+    dec AS (SELECT * FROM ({decisions}) WHERE status IS NOT NULL),
+    lat AS (SELECT doc_id, seq, arg_max(status, {{'t': decided_at, 'e': event_id}}) AS status FROM dec GROUP BY doc_id, seq),
+    st AS (SELECT i.*, coalesce(l.status, 'proposed') AS status FROM ident i
+           LEFT JOIN lat l ON l.doc_id = i.doc_id AND l.seq = i.seq)"""
+    pk = ("pk AS (SELECT doc_id, list({'seq': seq, 'value': value, 'category': category, 'entity_type': entity_type, "
+          "'semantic_role': NULL::VARCHAR} ORDER BY seq) AS ents FROM st WHERE status = 'accepted' GROUP BY doc_id)")
+    lang = "coalesce(nullif(d.language, ''), 'it')"
+    fp = ("SELECT doc_id, length(text)::BIGINT AS char_count, strlen(text)::BIGINT AS size_bytes, "
+          "sha256(text) AS sha256 FROM documents")
+    return {
+        "html_to_text": f"SELECT page_id, {txt} AS text, length({txt})::BIGINT AS char_count FROM pages",
+        "format_gate": (f"WITH dd AS ({DV.docs_sql()}), files AS ("
+                        "SELECT 'documents' AS source, doc_id AS id, filename FROM dd UNION ALL "
+                        "SELECT 'pages', page_id, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1) FROM pages) "
+                        f"SELECT source, id, filename, {ext} AS ext, {ext} IN {sup} AS supported, "
+                        f"CASE WHEN NOT ({ext} IN {sup}) THEN 'Unsupported format ''' || {ext} || '''. Supported: {listing}' END AS reason "
+                        "FROM files"),
+        "fingerprint": fp,
+        "audit_events": (f"WITH fp AS ({fp}) "
+                         f"SELECT doc_id, 'document_uploaded' AS event, to_json({{'timestamp': {S.q(CAT.RUN_TS)}, "
+                         "'event': 'document_uploaded', 'document_id': cast(doc_id AS VARCHAR), 'file_hash': sha256, "
+                         "'filename': 'doc_' || cast(doc_id AS VARCHAR) || '.txt', 'file_size_bytes': size_bytes})::VARCHAR AS line FROM fp "
+                         f"UNION ALL SELECT doc_id, 'document_converted', to_json({{'timestamp': {S.q(CAT.RUN_TS)}, "
+                         "'event': 'document_converted', 'document_id': cast(doc_id AS VARCHAR), 'char_count': char_count})::VARCHAR FROM fp"),
+        "ttl_expire": (entries + f" SELECT doc_id, created_at, last_accessed FROM en "
+                       f"WHERE epoch_us(TIMESTAMP '{CAT.NOW}') - epoch_us(created_at) <= {vocab.CACHE_TTL_SECONDS} * 1000000"),
+        "lru_evict": (entries + ", r AS (SELECT doc_id, last_accessed, size_bytes, sum(size_bytes) OVER ("
+                      "ORDER BY last_accessed DESC, created_at DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running FROM en) "
+                      f"SELECT * FROM r WHERE running <= {CAT.LRU_BUDGET}"),
+        "review_progress": review + """
+    SELECT doc_id, count(*) AS total, count_if(status = 'accepted') AS accepted, count_if(status = 'removed') AS removed,
+           count_if(status = 'proposed') AS proposed, count(*) - count_if(status = 'removed') AS active,
+           round(CASE WHEN count(*) > 0 THEN (count_if(status = 'accepted') + count_if(status = 'removed')) * 100.0 / count(*) ELSE 0.0 END, 2) AS validated_pct,
+           count_if(status = 'proposed') = 0 AS gate_open
+    FROM st GROUP BY doc_id""",
+        "review_apply": review + f""", {pk},
+    mm AS (SELECT d.doc_id, d.content, {S.number_placeholders(S.greedy_dedup('pk.ents', ENT_T), lang)} AS mappings
+           FROM dd d JOIN pk ON pk.doc_id = d.doc_id)
+    SELECT doc_id, len(mappings)::BIGINT AS n_mappings, {S.substitute('content', 'mappings')} AS anonymized FROM mm""",
     }
