@@ -137,7 +137,7 @@ def access_touch(access_log: DataFrame, key: str = "doc_id", ts: str = "ts") ->
 def ttl_live(entries: DataFrame, now: Column, ttl_seconds: int = vocab.CACHE_TTL_SECONDS) -> DataFrame:
     """Drop entries older than the TTL (now - created_at > ttl)."""
     age = F.unix_micros(now) - F.unix_micros(F.col("created_at"))
-    return entries.where(age <= F.lit(ttl_seconds) * 1_000_000)
+    return entries.where(age <= F.lit(ttl_seconds * 1_000_000).cast("bigint"))
 
 
 def lru_keep(entries: DataFrame, budget_bytes: int = vocab.CACHE_MAX_BYTES,

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import quote_regex, ustrip
+from ..functions.text import ustrip
+from pyspark.sql import Column
 
 ENTITY_COLS = ["doc_id", "seq", "value", "category", "entity_type", "confidence", "source"]
 
@@ -115,16 +116,41 @@ def merge(ner: DataFrame, llm: DataFrame) -> DataFrame:
 CORPORATE_SUFFIX_RE = (r"(?iu)\b(?:" + "|".join(vocab.CORPORATE_SUFFIXES) + r")(?:\b|\s|$|[,;.)])")
 
 
-def legal_context_pattern(value):
-    """D-12 pattern for one value: a legal phrase within 200 characters
-    before or after the value (case-insensitive, across lines)."""
-    v = quote_regex(value)
-    alts = []
-    for p in vocab.LEGAL_CONTEXT_PHRASES:
-        qp = "\\Q" + p + "\\E"
-        alts.append(F.concat(F.lit(f"(?:{qp}).{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}"), v))
-        alts.append(F.concat(v, F.lit(f".{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}(?:{qp})")))
-    return F.concat(F.lit("(?isu)"), F.concat_ws("|", *alts))
+def occurrences(text_lower: Column, needle: Column) -> Column:
+    """1-based starts of the non-overlapping occurrences of ``needle``."""
+    ln = F.length(needle)
+    n = F.when(ln > 0, ((F.length(text_lower) - F.length(F.replace(text_lower, needle, F.lit("")))) / ln)
+               .cast("int")).otherwise(F.lit(0))
+    init = F.struct(F.lit(1).alias("nxt"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, i):
+        p = F.instr(F.substring(text_lower, acc["nxt"], 1 << 30), needle) + acc["nxt"] - 1
+        return F.struct((p + ln).alias("nxt"), F.array_append(acc["out"], p).alias("out"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)["out"]) \
+            .otherwise(F.array().cast("array<int>"))
+
+
+def legal_context_hit(text: Column, value: Column) -> Column:
+    """D-12: a legal phrase within 200 characters before or after an
+    occurrence of the value (case-insensitive, across lines) -- the regex
+    ``phrase.{0,200}value|value.{0,200}phrase`` evaluated as window tests
+    around each occurrence, without compiling a pattern per row."""
+    lc, lv = F.lower(text), F.lower(value)
+    ln = F.length(lv)
+    win = vocab.LEGAL_CONTEXT_WINDOW
+
+    def near(p):
+        hit = F.lit(False)
+        for ph in vocab.LEGAL_CONTEXT_PHRASES:
+            lp = len(ph)
+            lo = F.greatest(p - win - lp, F.lit(1))
+            before = F.substring(lc, lo, p - lo)
+            after = F.substring(lc, p + ln, win + lp)
+            hit = hit | (F.instr(before, ph.lower()) > 0) | (F.instr(after, ph.lower()) > 0)
+        return hit
+
+    return F.exists(occurrences(lc, lv), near)
 
 
 def reclassify_legal(entities: DataFrame, docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -137,8 +163,7 @@ def reclassify_legal(entities: DataFrame, docs: DataFrame, text_col: str = "cont
     cand = e.where(person & ~F.col("by_suffix")).select("doc_id", "seq", "value")
     d = docs.select(F.col("doc_id").alias("ddoc"), F.col(text_col).alias("text"))
     near = (cand.join(d, cand["doc_id"] == d["ddoc"], "inner")
-                .withColumn("ctx_pat", legal_context_pattern(F.col("value")))
-                .where(F.expr("text RLIKE ctx_pat"))
+                .where(legal_context_hit(F.col("text"), F.col("value")))
                 .select(F.col("doc_id").alias("ndoc"), F.col("seq").alias("nseq"), F.lit(True).alias("by_context")))
     j = e.join(near, (e["doc_id"] == near["ndoc"]) & (e["seq"] == near["nseq"]), "left")
     flip = F.col("by_suffix") | F.coalesce("by_context", F.lit(False))

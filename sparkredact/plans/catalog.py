@@ -83,19 +83,19 @@ def _redact(types=None):
 
 def parse_model_entities(spark, sf_dir):
     """J1 over the model outputs of every derived document."""
-    return P.parse_model_entities(DV.model_outputs(spark, sf_dir)).select(
+    return P.parse_model_entities(_model(spark, sf_dir)).select(
         "doc_id", "seq", "value", "category", "entity_type")
 
 
 def clean_values(spark, sf_dir):
     """Raw model value -> cleaned value, every item."""
-    items = P.model_items(DV.model_outputs(spark, sf_dir)).where(F.col("raw_value").isNotNull())
+    items = P.model_items(_model(spark, sf_dir)).where(F.col("raw_value").isNotNull())
     return items.select("doc_id", "pos", "raw_value", clean_model_value(F.col("raw_value")).alias("value"))
 
 
 def reject_bundled(spark, sf_dir):
     """Cleaned values rejected, with the reason."""
-    items = P.model_items(DV.model_outputs(spark, sf_dir)).where(F.col("raw_value").isNotNull())
+    items = P.model_items(_model(spark, sf_dir)).where(F.col("raw_value").isNotNull())
     v = clean_model_value(F.col("raw_value"))
     return (items.select("doc_id", "pos", v.alias("value"))
             .withColumn("reason", P.reject_reason(F.col("value")))
@@ -104,30 +104,59 @@ def reject_bundled(spark, sf_dir):
 
 def type_alias(spark, sf_dir):
     """Raw entity_type -> canonical entity_type, every item."""
-    items = P.model_items(DV.model_outputs(spark, sf_dir))
+    items = P.model_items(_model(spark, sf_dir))
     return items.select("doc_id", "pos", "raw_type", P.canonical_type(F.col("raw_type")).alias("entity_type"))
 
 
 def parse_assignments(spark, sf_dir):
-    return P.parse_assignments(DV.model_outputs(spark, sf_dir))
+    return P.parse_assignments(_model(spark, sf_dir))
 
 
 def parse_ownership(spark, sf_dir):
-    return P.parse_ownership(DV.model_outputs(spark, sf_dir))
+    return P.parse_ownership(_model(spark, sf_dir))
 
 
 # ------------------------------------------------------------ merge stage
 
+_MEMO: dict = {}
+
+
+def _memo(spark, sf_dir, key, build):
+    """Reuse an analysed DataFrame per (session, folder): planning the derived
+    SQL and the detector expressions costs seconds, executing them at this
+    scale costs less."""
+    k = (spark.sparkContext.applicationId, sf_dir, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def _ddocs(spark, sf_dir):
-    return T.ensure_parallelism(DV.documents(spark, sf_dir))
+    # the derived SQL ends in shuffle joins, so it already has shuffle-sized partitions
+    return _memo(spark, sf_dir, "ddocs", lambda: DV.documents(spark, sf_dir))
 
 
 def _ner(spark, sf_dir):
-    return D.detect(_ddocs(spark, sf_dir).select("doc_id", "content", "language"))
+    """Pattern entities of the derived documents.  Several merge steps read
+    them, so the lineage is cut once with a reliable checkpoint in the shared
+    checkpoint folder instead of re-running every regex per consumer."""
+    return _memo(spark, sf_dir, "ner", lambda: D.detect(
+        _ddocs(spark, sf_dir).select("doc_id", "content", "language")).checkpoint(eager=True))
 
 
 def _llm(spark, sf_dir):
-    return P.parse_model_entities(DV.model_outputs(spark, sf_dir))
+    return _memo(spark, sf_dir, "llm", lambda: P.parse_model_entities(_model(spark, sf_dir)))
+
+
+def _ident(spark, sf_dir):
+    """Identified entities (merge -> legal -> fiscal check -> institutions),
+    checkpointed once: roles, redaction, evaluation and review all read it."""
+    return _memo(spark, sf_dir, "ident", lambda: M.identify(
+        _ner(spark, sf_dir), _llm(spark, sf_dir), _ddocs(spark, sf_dir)).checkpoint(eager=True))
+
+
+def _model(spark, sf_dir):
+    return _memo(spark, sf_dir, "model", lambda: DV.model_outputs(spark, sf_dir))
 
 
 def false_positive_filter(spark, sf_dir):
@@ -231,9 +260,8 @@ def language_detect(spark, sf_dir):
 
 def _role_inputs(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
-    mo = DV.model_outputs(spark, sf_dir)
-    ident = M.identify(_ner(spark, sf_dir), P.parse_model_entities(mo), docs)
-    return docs, ident, P.parse_assignments(mo), P.parse_ownership(mo)
+    mo = _model(spark, sf_dir)
+    return docs, _ident(spark, sf_dir), P.parse_assignments(mo), P.parse_ownership(mo)
 
 
 def _role_stages(spark, sf_dir):
@@ -380,7 +408,7 @@ def redact_conversations(spark, sf_dir):
 def _eval_inputs(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
     truth = DV.ground_truth(spark, sf_dir).select("doc_id", "value", "category")
-    pred = M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs).select("doc_id", "value", "category")
+    pred = _ident(spark, sf_dir).select("doc_id", "value", "category")
     return docs, EV.evaluable(pred, truth), truth
 
 
@@ -405,8 +433,8 @@ def run_summary(spark, sf_dir):
     """Per category and source, entities found in the run,
     plus documents whose model output parsed (success) or not (error)."""
     docs = _ddocs(spark, sf_dir)
-    mo = DV.model_outputs(spark, sf_dir)
-    ident = M.identify(_ner(spark, sf_dir), P.parse_model_entities(mo), docs)
+    mo = _model(spark, sf_dir)
+    ident = _ident(spark, sf_dir)
     parsed = (mo.where(F.col("stage") == "entities")
                 .select("doc_id", F.from_json(P.json_payload(F.col("raw")), P.ENTITIES_SCHEMA, P._JSON_OPTS)
                         ["entities"].isNotNull().alias("ok")))
@@ -497,8 +525,7 @@ def _decisions(spark, sf_dir):
 
 def _review_state(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
-    ident = M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs)
-    return docs, G.review_state(ident, _decisions(spark, sf_dir))
+    return docs, G.review_state(_ident(spark, sf_dir), _decisions(spark, sf_dir))
 
 
 def review_progress(spark, sf_dir):

@@ -194,10 +194,13 @@ def _merge_ctes() -> str:
                WHERE category = 'persone_fisiche' AND entity_type = 'data_nascita'),
     merged AS (SELECT b.* FROM both_ b WHERE NOT (b.category = 'dati_temporali' AND EXISTS (
                  SELECT 1 FROM births x WHERE x.doc_id = b.doc_id AND x.k = lower({us('b.value')})))),
+    legal0 AS (SELECT m.*, m.category = 'persone_fisiche'
+                 AND regexp_matches(m.value, {S.q(M.CORPORATE_SUFFIX_RE.replace('(?iu)', '(?i)'))}) AS by_suffix
+               FROM merged m),
     legal AS (SELECT m.*,
-                m.category = 'persone_fisiche' AND regexp_matches(m.value, {S.q(M.CORPORATE_SUFFIX_RE.replace('(?iu)', '(?i)'))}) AS by_suffix,
-                m.category = 'persone_fisiche' AND regexp_matches(d.content, {_legal_pattern_sql('m.value')}) AS by_context
-              FROM merged m JOIN dd d ON d.doc_id = m.doc_id),
+                CASE WHEN m.category = 'persone_fisiche' AND NOT m.by_suffix
+                     THEN {_legal_hit_sql('d.content', 'm.value')} ELSE false END AS by_context
+              FROM legal0 m JOIN dd d ON d.doc_id = m.doc_id),
     retyped AS (SELECT doc_id, seq, value,
                   CASE WHEN by_suffix OR by_context THEN 'persone_giuridiche' ELSE category END AS category,
                   CASE WHEN by_suffix OR by_context THEN 'nome_azienda' ELSE entity_type END AS entity_type,
@@ -219,14 +222,21 @@ def _merge_ctes() -> str:
               UNION ALL SELECT * FROM inst)"""
 
 
-def _legal_pattern_sql(value: str) -> str:
-    quoted = f"('\\Q' || replace({value}, '\\E', '\\E\\\\E\\Q') || '\\E')"
-    alts = []
-    for p in vocab.LEGAL_CONTEXT_PHRASES:
-        qp = "\\Q" + p + "\\E"
-        alts.append(f"{S.q(f'(?:{qp}).{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}')} || {quoted}")
-        alts.append(f"{quoted} || {S.q(f'.{{0,{vocab.LEGAL_CONTEXT_WINDOW}}}(?:{qp})')}")
-    return "('(?is)' || " + " || '|' || ".join(alts) + ")"
+def _legal_hit_sql(text: str, value: str) -> str:
+    lc, lv = f"lower({text})", f"lower({value})"
+    ln = f"length({lv})"
+    n = (f"(CASE WHEN {ln} > 0 THEN cast(floor((length({lc}) - length(replace({lc}, {lv}, ''))) / {ln}) AS INTEGER) "
+         f"ELSE 0 END)")
+    occ = (f"list_reduce(range(1, greatest({n}, 1) + 1), lambda acc, i: {{'nxt': instr(substr({lc}, acc.nxt), {lv}) + acc.nxt - 1 + {ln}, "
+           f"'out': list_append(acc.out, instr(substr({lc}, acc.nxt), {lv}) + acc.nxt - 1)}}, {{'nxt': 1, 'out': []::INTEGER[]}}).out")
+    win = vocab.LEGAL_CONTEXT_WINDOW
+    tests = []
+    for ph in vocab.LEGAL_CONTEXT_PHRASES:
+        lp = len(ph)
+        lo = f"greatest(p - {win} - {lp}, 1)"
+        tests.append(f"instr(substr({lc}, {lo}, p - {lo}), {S.q(ph.lower())}) > 0")
+        tests.append(f"instr(substr({lc}, p + {ln}, {win + lp}), {S.q(ph.lower())}) > 0")
+    return f"(CASE WHEN {n} > 0 THEN len(list_filter({occ}, lambda p: {' OR '.join(tests)})) > 0 ELSE false END)"
 
 
 def false_positive_filter() -> str:
@@ -252,7 +262,7 @@ def merge_oracles() -> dict:
                                  "AND in_email AND NOT same_type_overlap"),
         "date_dedup": _merge_q("SELECT doc_id, seq, value, category, entity_type, source FROM merged"),
         "legal_suffix": _merge_q("SELECT doc_id, seq, value FROM legal WHERE by_suffix"),
-        "legal_context": _merge_q("SELECT doc_id, seq, value FROM legal WHERE by_context AND NOT by_suffix"),
+        "legal_context": _merge_q("SELECT doc_id, seq, value FROM legal WHERE by_context"),
         "fiscal_code_validate": _merge_q("SELECT doc_id, seq, value, entity_type FROM retyped r WHERE NOT EXISTS "
                                          "(SELECT 1 FROM valid v WHERE v.doc_id = r.doc_id AND v.seq = r.seq)"),
         "institutions": _merge_q("SELECT doc_id, seq, value FROM inst"),
