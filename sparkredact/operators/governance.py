@@ -136,7 +136,7 @@ def access_touch(access_log: DataFrame, key: str = "doc_id", ts: str = "ts") ->
 
 def ttl_live(entries: DataFrame, now: Column, ttl_seconds: int = vocab.CACHE_TTL_SECONDS) -> DataFrame:
     """Drop entries older than the TTL (now - created_at > ttl)."""
-    age = F.unix_micros(now) - F.unix_micros(F.col("created_at"))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
     return entries.where(age <= F.lit(ttl_seconds * 1_000_000).cast("bigint"))
 
 
@@ -148,7 +148,7 @@ def lru_keep(entries: DataFrame, budget_bytes: int = vocab.CACHE_MAX_BYTES,
     per bucket) give each bucket's offset, then a window inside each bucket
     -- no single-partition global window.  Ties in last_accessed: the later
     insert is newer (the earlier one goes first)."""
-    b = F.floor(F.unix_seconds(F.col("last_accessed")) / bucket_seconds)
+    b = F.floor(F.unix_seconds(F.col("last_accessed").cast("timestamp")) / bucket_seconds)
     e = entries.withColumn("bucket", b)
     totals = e.groupBy("bucket").agg(F.sum("size_bytes").alias("bsize"))
     # offsets over the (small, bounded) bucket table: bytes in newer buckets

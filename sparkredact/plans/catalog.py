@@ -16,6 +16,7 @@ from ..operators import parse as P
 from ..operators import redact as X
 from ..sources import derived as DV
 from ..sources import tables as T
+from ..session import apply_runtime_conf, ensure_checkpoint_dir
 from .. import vocab
 from ..functions.text import clean_model_value
 from ..functions.text import clean_span as X_clean
@@ -24,6 +25,7 @@ from ..operators import merge as M
 from ..operators import roles as RO
 from ..operators import evaluate as EV
 from ..operators import governance as G
+from ..operators import model as MD
 from ..functions import labels as LB
 from pyspark.sql import Window
 
@@ -132,8 +134,10 @@ def _memo(spark, sf_dir, key, build):
 
 
 def _ddocs(spark, sf_dir):
-    # the derived SQL ends in shuffle joins, so it already has shuffle-sized partitions
-    return _memo(spark, sf_dir, "ddocs", lambda: DV.documents(spark, sf_dir))
+    """The derived documents stand in for an input table: materialise them
+    once per session (reliable checkpoint) so every query scans a table
+    instead of re-planning and re-running the SQL that lays them out."""
+    return _memo(spark, sf_dir, "ddocs", lambda: DV.documents(spark, sf_dir).checkpoint(eager=True))
 
 
 def _ner(spark, sf_dir):
@@ -156,7 +160,7 @@ def _ident(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    return _memo(spark, sf_dir, "model", lambda: DV.model_outputs(spark, sf_dir))
+    return _memo(spark, sf_dir, "model", lambda: DV.model_outputs(spark, sf_dir).checkpoint(eager=True))
 
 
 def false_positive_filter(spark, sf_dir):
@@ -272,7 +276,7 @@ def _role_stages(spark, sf_dir):
     p1 = (e0.join(a, (e0["doc_id"] == a["adoc"]) & (e0["value"] == a["aval"]) & e0["actor"], "left")
             .withColumn("semantic_role", F.when(F.col("actor"), F.col("arole")))
             .drop("adoc", "aval", "arole"))
-    p15 = RO.remap_roles(p1.withColumn("r1", F.col("semantic_role")))
+    p15 = RO.remap_roles(p1.withColumn("r1", F.col("semantic_role"))).withColumn("r15", F.col("semantic_role"))
     p2 = RO.assign_ownership(p15, own).withColumn("r2", F.col("semantic_role"))
     p3a = RO.propagate_same_type(p2).withColumn("r3a", F.col("semantic_role"))
     p3b = RO.propagate_proximity(p3a, docs).withColumn("r3b", F.col("semantic_role"))
@@ -282,7 +286,7 @@ def _role_stages(spark, sf_dir):
 def assign_roles(spark, sf_dir):
     """D-13 + 1.5: actor roles from the role stage, remapped by document type."""
     r = _role_stages(spark, sf_dir)
-    return r.where("actor").select("doc_id", "seq", "value", F.col("r1").alias("role_lookup"))
+    return r.where("actor").select("doc_id", "seq", "value", F.col("r15").alias("role_lookup"))
 
 
 def role_remap(spark, sf_dir):
@@ -407,7 +411,8 @@ def redact_conversations(spark, sf_dir):
 
 def _eval_inputs(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
-    truth = DV.ground_truth(spark, sf_dir).select("doc_id", "value", "category")
+    truth = _memo(spark, sf_dir, "truth", lambda: DV.ground_truth(spark, sf_dir).checkpoint(eager=True)) \
+        .select("doc_id", "value", "category")
     pred = _ident(spark, sf_dir).select("doc_id", "value", "category")
     return docs, EV.evaluable(pred, truth), truth
 
@@ -446,8 +451,8 @@ def run_summary(spark, sf_dir):
     by_cat = cats.join(by_cat, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
     st = status.select(F.explode(F.array(
         F.struct(F.lit("status").alias("kind"), F.lit("total_documents").alias("key"), F.col("total_documents").alias("n")),
-        F.struct(F.lit("status"), F.lit("success"), F.col("success")),
-        F.struct(F.lit("status"), F.lit("errors"), F.col("errors")))).alias("r")).select("r.*")
+        F.struct(F.lit("status").alias("kind"), F.lit("success").alias("key"), F.col("success").alias("n")),
+        F.struct(F.lit("status").alias("kind"), F.lit("errors").alias("key"), F.col("errors").alias("n")))).alias("r")).select("r.*")
     return (st.unionByName(by_src.select(F.lit("source").alias("kind"), F.col("source").alias("key"), "n"))
               .unionByName(by_cat.select(F.lit("category").alias("kind"), F.col("category").alias("key"), "n"))
               .select("kind", "key", F.col("n").cast("bigint").alias("n")))
@@ -502,9 +507,10 @@ def _cache_entries(spark, sf_dir):
 
 
 def ttl_expire(spark, sf_dir):
-    """T1 + T8: cache entries still alive at NOW."""
-    return G.ttl_live(_cache_entries(spark, sf_dir), F.to_timestamp(F.lit(NOW))).select(
-        "doc_id", "created_at", "last_accessed")
+    """Cache writes (one per logged event) still alive at NOW."""
+    ev = T.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"), F.col("ts").alias("last_accessed"))
+    return G.ttl_live(ev, F.to_timestamp(F.lit(NOW))).select("doc_id", "created_at", "last_accessed")
 
 
 def lru_evict(spark, sf_dir):
@@ -543,7 +549,37 @@ def review_apply(spark, sf_dir):
     return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
 
 
+# ------------------------------------------------------------ prompts (model input side)
+
+def entity_prompts(spark, sf_dir):
+    """C21 input: the entity-extraction message of every derived document."""
+    return _ddocs(spark, sf_dir).select("doc_id", MD.entity_prompt(F.col("content")).alias("prompt"))
+
+
+def role_prompts(spark, sf_dir):
+    """J5 + B13: the role-stage message for documents that have actors."""
+    docs = _ddocs(spark, sf_dir)
+    actors = _ident(spark, sf_dir).where(RO.is_actor(F.col("category"), F.col("entity_type")))
+    packed = actors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "category"))).alias("ents"))
+    return packed.join(docs.select("doc_id", "content"), "doc_id").select(
+        "doc_id", MD.role_prompt(F.col("ents"), F.col("content")).alias("prompt"))
+
+
+def _with_conf(fn):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_runtime_conf(spark)
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+    q.__name__ = getattr(fn, "__name__", "query")
+    q.__doc__ = fn.__doc__
+    return q
+
+
 def queries() -> dict:
+    return {k: _with_conf(v) for k, v in _queries().items()}
+
+
+def _queries() -> dict:
     return {
         "redact_emails": _redact(("EMAIL_ADDRESS",)),
         "detect_email": _detect_only(("EMAIL_ADDRESS",)),
@@ -598,4 +634,6 @@ def queries() -> dict:
         "lru_evict": lru_evict,
         "review_progress": review_progress,
         "review_apply": review_apply,
+        "entity_prompts": entity_prompts,
+        "role_prompts": role_prompts,
     }

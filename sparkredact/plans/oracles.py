@@ -137,6 +137,7 @@ def oracle_sql() -> dict:
         **label_oracles(),
         **eval_oracles(),
         **governance_oracles(),
+        **prompt_oracles(),
     }
 
 
@@ -460,8 +461,9 @@ def eval_oracles() -> dict:
     SELECT grouping, grp, tp, fp, fn, {prf('tp::DOUBLE', 'fp', 'fn')} FROM agg"""
     summary = c + f""",
     st AS (SELECT count(*) AS total_documents,
-                  count_if({S.json_payload('raw')} <> '' AND json_valid({S.json_payload('raw')})
-                           AND try_cast(json_extract({S.json_payload('raw')}, '$.entities') AS {ITEM_T}[]) IS NOT NULL) AS success
+                  count_if(CASE WHEN json_valid({S.json_payload('raw')})
+                           THEN try_cast(json_extract({S.json_payload('raw')}, '$.entities') AS {ITEM_T}[]) IS NOT NULL
+                           ELSE false END) AS success
            FROM mo WHERE stage = 'entities')
     SELECT 'status' AS kind, 'total_documents' AS key, total_documents::BIGINT AS n FROM st
     UNION ALL SELECT 'status', 'success', success::BIGINT FROM st
@@ -521,8 +523,9 @@ def governance_oracles() -> dict:
                          "'filename': 'doc_' || cast(doc_id AS VARCHAR) || '.txt', 'file_size_bytes': size_bytes})::VARCHAR AS line FROM fp "
                          f"UNION ALL SELECT doc_id, 'document_converted', to_json({{'timestamp': {S.q(CAT.RUN_TS)}, "
                          "'event': 'document_converted', 'document_id': cast(doc_id AS VARCHAR), 'char_count': char_count})::VARCHAR FROM fp"),
-        "ttl_expire": (entries + f" SELECT doc_id, created_at, last_accessed FROM en "
-                       f"WHERE epoch_us(TIMESTAMP '{CAT.NOW}') - epoch_us(created_at) <= {vocab.CACHE_TTL_SECONDS} * 1000000"),
+        "ttl_expire": ("WITH en AS (SELECT event_id AS doc_id, ts AS created_at, ts AS last_accessed FROM events)"
+                       f" SELECT doc_id, created_at, last_accessed FROM en "
+                       f"WHERE epoch_us(TIMESTAMP '{CAT.NOW}') - epoch_us(created_at) <= {vocab.CACHE_TTL_SECONDS * 1000000}::BIGINT"),
         "lru_evict": (entries + ", r AS (SELECT doc_id, last_accessed, size_bytes, sum(size_bytes) OVER ("
                       "ORDER BY last_accessed DESC, created_at DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running FROM en) "
                       f"SELECT * FROM r WHERE running <= {CAT.LRU_BUDGET}"),
@@ -537,3 +540,22 @@ def governance_oracles() -> dict:
            FROM dd d JOIN pk ON pk.doc_id = d.doc_id)
     SELECT doc_id, len(mappings)::BIGINT AS n_mappings, {S.substitute('content', 'mappings')} AS anonymized FROM mm""",
     }
+
+
+def prompt_oracles() -> dict:
+    cats = "\n".join(f"  - {c}" for c in vocab.CATEGORIES)
+    head = "Extract all PII entities from the document below.\nFocus only on these categories:\n" + cats + "\n\nDocument:\n"
+    ptypes = "(" + ", ".join(S.q(t) for t in vocab.PERSON_ROLE_TYPES) + ")"
+    otypes = "(" + ", ".join(S.q(t) for t in vocab.ORG_ROLE_TYPES) + ")"
+    intro = ("Assign a contextual role to each entity listed below, based on how they appear in the document.\n\n"
+             "Entities to classify:\n")
+    return {
+        "entity_prompts": f"WITH dd AS ({DV.docs_sql()}) SELECT doc_id, {S.q(head)} || content AS prompt FROM dd",
+        "role_prompts": _merge_ctes() + f""",
+    act AS (SELECT doc_id, list('  - "' || value || '" (' || category || ')' ORDER BY seq) AS lines FROM ident
+            WHERE (category = 'persone_fisiche' AND entity_type IN {ptypes})
+               OR (category = 'persone_giuridiche' AND entity_type IN {otypes}) GROUP BY doc_id)
+    SELECT a.doc_id, {S.q(intro)} || array_to_string(a.lines, chr(10)) || {S.q(chr(10) + chr(10) + 'Document (first 3000 chars):' + chr(10))}
+           || substr(d.content, 1, {vocab.ROLE_PROMPT_HEAD_CHARS}) AS prompt
+    FROM act a JOIN dd d ON d.doc_id = a.doc_id""",
+    }

@@ -38,3 +38,16 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "doc_id", path: str | None = None) -> None:
+    """Write a table bucketed and sorted by ``key`` (default ``doc_id``).
+
+    Write documents, model outputs and entity tables with the same bucket
+    count and the ``doc_id`` joins between them (merge, legal context,
+    institutions, proximity, substitution) plan without an Exchange on
+    either side -- the text column is never shuffled."""
+    w = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
