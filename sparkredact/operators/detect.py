@@ -27,12 +27,14 @@ def effective_language(lang: Column) -> Column:
     return F.when(lang.isin(vocab.DETECTOR_LANGUAGES), lang).otherwise(F.lit(vocab.DEFAULT_LANGUAGE))
 
 
-def is_semantic_false_positive(value: Column, detector_type: Column, lang: Column) -> Column:
-    """B5 layers 1-2: deny-list (exact, first line, ``term + ' '`` prefix) and
-    partial-IBAN fragment, only for statistical detector types."""
+def _fp_fields(value: Column) -> dict:
     stripped = ustrip(value)
     lowered = F.lower(stripped)
     first_line = ustrip(rstrip_chars(ustrip(F.split(lowered, "\n", 2)[0]), ":–—-"))
+    return {"stripped": stripped, "lowered": lowered, "first_line": first_line}
+
+
+def _fp_test(stripped: Column, lowered: Column, first_line: Column, detector_type: Column, lang: Column) -> Column:
     terms = dims.deny_terms_for(lang)
     deny = (F.array_contains(terms, lowered)
             | F.array_contains(terms, first_line)
@@ -42,6 +44,14 @@ def is_semantic_false_positive(value: Column, detector_type: Column, lang: Colum
     return detector_type.isin(vocab.SEMANTIC_DETECTOR_TYPES) & (deny | partial_iban)
 
 
+def is_semantic_false_positive(value: Column, detector_type: Column, lang: Column) -> Column:
+    """B5 layers 1-2: deny-list (exact, first line, ``term + ' '`` prefix) and
+    partial-IBAN fragment, only for statistical detector types.  (``value``
+    should be a plain column: the prefix test references it per deny term.)"""
+    f = _fp_fields(value)
+    return _fp_test(f["stripped"], f["lowered"], f["first_line"], detector_type, lang)
+
+
 def detected_array(text: Column, lang: Column,
                    categories: Optional[Iterable[str]] = None,
                    recognizers=None) -> Column:
@@ -62,6 +72,8 @@ def detected_array(text: Column, lang: Column,
         type_map[e["detector_type"]].alias("entity_type"),
         e["confidence"], F.lit("ner").alias("source"),
         e["detector_type"].alias("detector_type"),
+        # computed once per element: the deny-list lambda below reads them per term
+        *[c.alias(k) for k, c in _fp_fields(e["value"]).items()],
     ))
     allowed = list(categories) if categories else []
 
@@ -69,7 +81,7 @@ def detected_array(text: Column, lang: Column,
         ok = (F.length(e["value"]) > 0) & e["category"].isNotNull()
         if allowed:
             ok = ok & e["category"].isin(allowed)                    # B1
-        ok = ok & ~is_semantic_false_positive(e["value"], e["detector_type"], lang)   # B5
+        ok = ok & ~_fp_test(e["stripped"], e["lowered"], e["first_line"], e["detector_type"], lang)   # B5
         ok = ok & ~((e["detector_type"] == "DATE_TIME")
                     & ~e["value"].rlike(vocab.SPECIFIC_DATE_PATTERN))                # B6
         ok = ok & ~((e["detector_type"] == "NRP")

@@ -16,7 +16,7 @@ from ..operators import parse as P
 from ..operators import redact as X
 from ..sources import derived as DV
 from ..sources import tables as T
-from ..session import apply_runtime_conf, ensure_checkpoint_dir
+from ..session import apply_runtime_conf, ensure_checkpoint_dir, materialize
 from .. import vocab
 from ..functions.text import clean_model_value
 from ..functions.text import clean_span as X_clean
@@ -137,30 +137,32 @@ def _ddocs(spark, sf_dir):
     """The derived documents stand in for an input table: materialise them
     once per session (reliable checkpoint) so every query scans a table
     instead of re-planning and re-running the SQL that lays them out."""
-    return _memo(spark, sf_dir, "ddocs", lambda: DV.documents(spark, sf_dir).checkpoint(eager=True))
+    return _memo(spark, sf_dir, "ddocs", lambda: T.ensure_parallelism(
+        materialize(spark, DV.documents(spark, sf_dir), "ddocs")))
 
 
 def _ner(spark, sf_dir):
     """Pattern entities of the derived documents.  Several merge steps read
     them, so the lineage is cut once with a reliable checkpoint in the shared
     checkpoint folder instead of re-running every regex per consumer."""
-    return _memo(spark, sf_dir, "ner", lambda: D.detect(
-        _ddocs(spark, sf_dir).select("doc_id", "content", "language")).checkpoint(eager=True))
+    return _memo(spark, sf_dir, "ner", lambda: materialize(spark, D.detect(
+        _ddocs(spark, sf_dir).select("doc_id", "content", "language")), "ner"))
 
 
 def _llm(spark, sf_dir):
-    return _memo(spark, sf_dir, "llm", lambda: P.parse_model_entities(_model(spark, sf_dir)))
+    return _memo(spark, sf_dir, "llm", lambda: materialize(spark, P.parse_model_entities(_model(spark, sf_dir)), "llm"))
 
 
 def _ident(spark, sf_dir):
     """Identified entities (merge -> legal -> fiscal check -> institutions),
     checkpointed once: roles, redaction, evaluation and review all read it."""
-    return _memo(spark, sf_dir, "ident", lambda: M.identify(
-        _ner(spark, sf_dir), _llm(spark, sf_dir), _ddocs(spark, sf_dir)).checkpoint(eager=True))
+    return _memo(spark, sf_dir, "ident", lambda: materialize(spark, M.identify(
+        _ner(spark, sf_dir), _llm(spark, sf_dir), _ddocs(spark, sf_dir)), "ident"))
 
 
 def _model(spark, sf_dir):
-    return _memo(spark, sf_dir, "model", lambda: DV.model_outputs(spark, sf_dir).checkpoint(eager=True))
+    return _memo(spark, sf_dir, "model", lambda: T.ensure_parallelism(
+        materialize(spark, DV.model_outputs(spark, sf_dir), "model")))
 
 
 def false_positive_filter(spark, sf_dir):
@@ -169,10 +171,10 @@ def false_positive_filter(spark, sf_dir):
     hits = D.explode_outer_nonnull(
         docs.select("doc_id", "language", R.match_array(F.col("content"), R.SEMANTIC).alias("m")),
         "m", ("doc_id", "language"), alias="h")
-    v = X_clean(F.col("h.value"))
+    hits = hits.withColumn("value", X_clean(F.col("h.value")))
     return hits.select("doc_id", F.col("h.rank").alias("rank"), F.col("h.occ").alias("occ"),
-                       v.alias("value"), F.col("h.detector_type").alias("detector_type"),
-                       D.is_semantic_false_positive(v, F.col("h.detector_type"), F.col("language"))
+                       "value", F.col("h.detector_type").alias("detector_type"),
+                       D.is_semantic_false_positive(F.col("value"), F.col("h.detector_type"), F.col("language"))
                        .alias("is_false_positive"))
 
 
@@ -244,9 +246,7 @@ def institutions(spark, sf_dir):
 
 def identify(spark, sf_dir):
     """Whole identification stage: merge, legal re-typing, fiscal check, institutions."""
-    docs = _ddocs(spark, sf_dir)
-    return M.identify(_ner(spark, sf_dir), _llm(spark, sf_dir), docs).select(
-        "doc_id", "seq", "value", "category", "entity_type", "source")
+    return _ident(spark, sf_dir).select("doc_id", "seq", "value", "category", "entity_type", "source")
 
 
 def doc_type(spark, sf_dir):
@@ -411,7 +411,7 @@ def redact_conversations(spark, sf_dir):
 
 def _eval_inputs(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
-    truth = _memo(spark, sf_dir, "truth", lambda: DV.ground_truth(spark, sf_dir).checkpoint(eager=True)) \
+    truth = _memo(spark, sf_dir, "truth", lambda: materialize(spark, DV.ground_truth(spark, sf_dir), "truth")) \
         .select("doc_id", "value", "category")
     pred = _ident(spark, sf_dir).select("doc_id", "value", "category")
     return docs, EV.evaluable(pred, truth), truth

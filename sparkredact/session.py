@@ -75,3 +75,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Cut lineage by writing ``df`` once as parquet under the shared
+    checkpoint folder and reading it back.  (An eager ``checkpoint()`` of an
+    unpersisted plan runs it twice: once for the count, once for the write.)
+    The folder is the cluster's shared ``spark.checkpoint.dir``, so the table
+    survives executor loss."""
+    import uuid
+    path = shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -31,3 +31,12 @@ def test_numbering_is_dense_per_label_and_values_are_replaced(spark, items):
         if o in out.anonymized:
             assert any(o in m.replacement for m in out.mappings[i + 1:]) or \
                 any(o in r.replacement for r in out.mappings[:i])
+
+
+def test_partitioning_does_not_change_output(spark):
+    from sparkredact.streaming.redact_stream import redact_stream_df
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = redact_stream_df(docs.repartition(3))
+    b = redact_stream_df(docs.repartition(7, "lang"))
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
