@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import ustrip
+from .containment import contains_pairs
 from pyspark.sql import Column
 
 ENTITY_COLS = ["doc_id", "seq", "value", "category", "entity_type", "confidence", "source"]
@@ -48,9 +49,13 @@ def overlap_pairs(ner: DataFrame, llm: DataFrame) -> DataFrame:
     m = llm.select(F.col("doc_id").alias("ldoc"), F.col("seq").alias("lseq"), F.col("value").alias("lval"),
                    F.col("category").alias("lcat"), F.col("entity_type").alias("ltype"),
                    F.lower("value").alias("llow"), F.lower(ustrip(F.col("value"))).alias("lslow"))
-    cond = (F.col("doc_id") == F.col("ldoc")) & (
-        _contains(F.col("llow"), F.col("nlow")) | _contains(F.col("nlow"), F.col("llow")))
-    return n.join(m, cond, "inner").drop("ldoc")
+    # anchored containment joins in both directions (no all-pairs scan per
+    # document), then one row per (pattern entity, model entity)
+    m = m.withColumnRenamed("ldoc", "doc_id")
+    n_in_l = contains_pairs(m, n, ["doc_id"], "llow", "nlow")
+    l_in_n = contains_pairs(n, m, ["doc_id"], "nlow", "llow")
+    cols = ["doc_id", "nseq", "nval", "ncat", "ntype", "nlow", "nslow", "lseq", "lval", "lcat", "ltype", "llow", "lslow"]
+    return n_in_l.select(*cols).unionByName(l_in_n.select(*cols)).dropDuplicates(["doc_id", "nseq", "lseq"])
 
 
 def merge_flags(ner: DataFrame, llm: DataFrame) -> DataFrame:
@@ -132,11 +137,13 @@ def occurrences(text_lower: Column, needle: Column) -> Column:
 
 
 def legal_context_hit(text: Column, value: Column) -> Column:
-    """D-12: a legal phrase within 200 characters before or after an
+    """D-12 on lower-cased ``text`` and ``value`` columns (plain column
+    references: they are read inside lambdas, once per occurrence and
+    window): a legal phrase within 200 characters before or after an
     occurrence of the value (case-insensitive, across lines) -- the regex
     ``phrase.{0,200}value|value.{0,200}phrase`` evaluated as window tests
     around each occurrence, without compiling a pattern per row."""
-    lc, lv = F.lower(text), F.lower(value)
+    lc, lv = text, value          # callers pass lower-cased plain columns
     ln = F.length(lv)
     win = vocab.LEGAL_CONTEXT_WINDOW
 
@@ -163,7 +170,8 @@ def reclassify_legal(entities: DataFrame, docs: DataFrame, text_col: str = "cont
     cand = e.where(person & ~F.col("by_suffix")).select("doc_id", "seq", "value")
     d = docs.select(F.col("doc_id").alias("ddoc"), F.col(text_col).alias("text"))
     near = (cand.join(d, cand["doc_id"] == d["ddoc"], "inner")
-                .where(legal_context_hit(F.col("text"), F.col("value")))
+                .withColumn("lc", F.lower("text")).withColumn("lv", F.lower("value"))
+                .where(legal_context_hit(F.col("lc"), F.col("lv")))
                 .select(F.col("doc_id").alias("ndoc"), F.col("seq").alias("nseq"), F.lit(True).alias("by_context")))
     j = e.join(near, (e["doc_id"] == near["ndoc"]) & (e["seq"] == near["nseq"]), "left")
     flip = F.col("by_suffix") | F.coalesce("by_context", F.lit(False))
