@@ -34,34 +34,36 @@ class Recognizer:
     group: int = 0
     # Literal that every match contains: rows without it skip the regex scan.
     requires: Optional[str] = None
+    # Every match contains a digit: rows without any digit skip the scan.
+    needs_digit: bool = False
 
 
 def _custom() -> list[Recognizer]:
-    return [Recognizer(t, p, s, tuple(ctx)) for t, p, s, ctx in vocab.CUSTOM_RECOGNIZERS]
+    return [Recognizer(t, p, s, tuple(ctx), needs_digit=True) for t, p, s, ctx in vocab.CUSTOM_RECOGNIZERS]
 
 
 # Structural recognisers (pattern + checksum), in priority order.
 STRUCTURAL = [
     Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0, requires="@"),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", 1.0,
-               validator=checks.iban_valid),
+               validator=checks.iban_valid, needs_digit=True),
     Recognizer("CREDIT_CARD",
                r"\b(?:4[0-9]{3}|5[0-5][0-9]{2}|6[0-9]{3}|1[0-9]{3}|3[0-9]{3})[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}\b",
-               1.0, validator=checks.luhn_valid),
+               1.0, validator=checks.luhn_valid, needs_digit=True),
     Recognizer("IP_ADDRESS", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.95,
-               validator=checks.ipv4_valid),
+               validator=checks.ipv4_valid, needs_digit=True),
     Recognizer("PHONE_NUMBER",
-               r"(?:\+[0-9]{1,3} ?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -][0-9]{3,4}[ -]?[0-9]{3,4}\b", 0.75),
+               r"(?:\+[0-9]{1,3} ?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -][0-9]{3,4}[ -]?[0-9]{3,4}\b", 0.75, needs_digit=True),
     Recognizer("URL",
                r"\b(?:https?://)?(?:www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|eu|it|de|fr|ch|uk)\b(?:/[^\s<>\"]*)?",
                0.6),
     Recognizer("DATE_TIME",
                r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}\b|\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
-               0.85),
+               0.85, needs_digit=True),
     Recognizer("MEDICAL_LICENSE", r"\b[ABCDEFGHJKMPRSTUX][A-Z][0-9]{7}\b", 0.4,
-               validator=checks.dea_valid),
-    Recognizer("CRYPTO", r"\b(?:bc1|[13])[a-km-zA-HJ-NP-Z1-9]{25,39}\b", 0.5),
-    Recognizer("NRP", r"\b[A-Z]{6}[0-9]{2}[A-EHLMPR-T][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 0.7),
+               validator=checks.dea_valid, needs_digit=True),
+    Recognizer("CRYPTO", r"\b(?:bc1|[13])[a-km-zA-HJ-NP-Z1-9]{25,39}\b", 0.5, needs_digit=True),
+    Recognizer("NRP", r"\b[A-Z]{6}[0-9]{2}[A-EHLMPR-T][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 0.7, needs_digit=True),
 ] + _custom()
 
 # Rule recognisers standing in for a statistical NER model (persons,
@@ -80,7 +82,7 @@ SEMANTIC = [
                0.85, group=1),
     Recognizer("LOCATION",
                _START + r"((?:Via|Viale|Piazza|Corso|Rue|Avenue|Street|Road)[ \t]+(?:" + _UP + r"[ \t]+){1,3}[0-9]{1,4})",
-               0.85, group=1),
+               0.85, group=1, needs_digit=True),
 ]
 
 DEFAULT_RECOGNIZERS = STRUCTURAL + SEMANTIC
@@ -146,11 +148,16 @@ def match_array(text: Column, recognizers: list[Recognizer] = None) -> Column:
     only computed for recognisers with context words."""
     recognizers = recognizers or DEFAULT_RECOGNIZERS
     empty = F.array().cast("array<string>")
+    # most prose has no digit at all; one short scan lets those rows skip
+    # every digit-bearing recogniser
+    has_digit = text.rlike("[0-9]")
     parts = []
     for rank, r in enumerate(recognizers):
         vals = F.regexp_extract_all(text, F.lit(r.pattern), r.group)
         if r.requires:
             vals = F.when(F.instr(text, r.requires) > 0, vals).otherwise(empty)
+        if r.needs_digit:
+            vals = F.when(has_digit, vals).otherwise(empty)
         if r.context:
             whole = F.regexp_extract_all(text, F.lit(r.pattern), 0) if r.group else vals
             starts = F.when(F.size(vals) > 0, _offsets(text, r.pattern, whole)) \
