@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import dims, vocab
 from ..functions.text import rstrip_chars, ustrip
 from .classify import detect_doc_type, effective_doc_type
+from .containment import contains_pairs
 
 BIN = vocab.PROXIMITY_THRESHOLD + 1
 
@@ -85,10 +86,16 @@ def propagate_same_type(e: DataFrame) -> DataFrame:
         F.col("doc_id").alias("ddoc"), F.col("seq").alias("dseq"), F.col("entity_type").alias("dtype"),
         F.col("nv").alias("dnv"), F.col("semantic_role").alias("drole"))
     need = base.where(F.col("semantic_role").isNull()).select("doc_id", "seq", "entity_type", "nv")
-    cond = ((need["doc_id"] == donors["ddoc"]) & (need["entity_type"] == donors["dtype"])
-            & ((F.instr(donors["dnv"], need["nv"]) > 0) | (F.instr(need["nv"], donors["dnv"]) > 0)))
-    got = (need.join(donors, cond, "inner").groupBy("doc_id", "seq")
-               .agg(F.min_by("drole", "dseq").alias("prop_role")))
+    d = donors.withColumnRenamed("ddoc", "doc_id").withColumnRenamed("dtype", "entity_type")
+    keys = ["doc_id", "entity_type"]
+    # containment either way via anchored joins; an empty normalised value is
+    # contained in everything (Python ``"" in s``), so it pairs with every
+    # same-type entity of its document
+    pairs = (contains_pairs(d, need.where(F.length("nv") > 0), keys, "dnv", "nv")
+             .unionByName(contains_pairs(need, d.where(F.length("dnv") > 0), keys, "nv", "dnv"))
+             .unionByName(need.where(F.length("nv") == 0).join(d, keys))
+             .unionByName(need.join(d.where(F.length("dnv") == 0), keys)))
+    got = pairs.groupBy("doc_id", "seq").agg(F.min_by("drole", "dseq").alias("prop_role"))
     out = base.join(got, ["doc_id", "seq"], "left")
     return out.withColumn("semantic_role", F.coalesce("semantic_role", "prop_role")).drop("prop_role", "nv")
 

@@ -84,3 +84,19 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = RS.redact_stream_df(spark.read.parquet(f"{src}/documents.parquet"))
     assert got.count() == batch.count() > 0
     assert got.exceptAll(batch).count() == 0
+
+
+def test_same_type_propagation_first_donor_wins(spark):
+    E2 = E + ", actor boolean, semantic_role string, doc_type string"
+    rows = [
+        (1, 1, "Delta S.r.l.", "persone_giuridiche", "nome_azienda", None, "llm", True, "fornitore", None),
+        (1, 2, "Delta Group S.r.l.", "persone_giuridiche", "nome_azienda", None, "llm", True, "cliente", None),
+        (1, 3, "Delta S.r.l", "persone_giuridiche", "nome_azienda", None, "llm", True, None, None),
+        (1, 4, "Delta", "dati_contatto", "indirizzo", None, "llm", False, None, None),
+        (1, 5, "Group", "persone_giuridiche", "nome_azienda", None, "llm", True, None, None),
+    ]
+    df = spark.createDataFrame(rows, E2)
+    out = {r.seq: r.semantic_role for r in RO.propagate_same_type(df).collect()}
+    # seq 3: "delta s.r.l" inside donors 1 and 2 -> first donor by seq (1)
+    # seq 4: other entity type, no donor; seq 5: only donor 2 contains it
+    assert out == {1: "fornitore", 2: "cliente", 3: "fornitore", 4: None, 5: "cliente"}
