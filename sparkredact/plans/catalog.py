@@ -26,6 +26,7 @@ from ..operators import roles as RO
 from ..operators import evaluate as EV
 from ..operators import governance as G
 from ..operators import model as MD
+from ..sources import io as IO
 from ..functions import labels as LB
 from pyspark.sql import Window
 
@@ -575,6 +576,21 @@ def _with_conf(fn):
     return q
 
 
+# ------------------------------------------------------------ corpus listing, run ids
+
+def corpus_prefix(spark, sf_dir):
+    """A4 + A5: derived documents whose file name starts with a prefix, in
+    file-name order, with their character counts."""
+    d = _ddocs(spark, sf_dir).where(F.col("filename").startswith("doc_1"))
+    return d.select("filename", F.length("content").cast("bigint").alias("char_count")).orderBy("filename")
+
+
+def run_ids(spark, sf_dir):
+    """Run ids ``yyyyMMdd'T'HHmmss'Z'`` of every logged event (UTC)."""
+    ev = T.table(spark, sf_dir, "events")      # ts is TIMESTAMP_NTZ holding UTC wall time
+    return ev.select("event_id", IO.run_id_of(F.col("ts")).alias("run_id"))
+
+
 def queries() -> dict:
     return {k: _with_conf(v) for k, v in _queries().items()}
 
@@ -636,4 +652,6 @@ def _queries() -> dict:
         "review_apply": review_apply,
         "entity_prompts": entity_prompts,
         "role_prompts": role_prompts,
+        "corpus_prefix": corpus_prefix,
+        "run_ids": run_ids,
     }

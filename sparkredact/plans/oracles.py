@@ -138,6 +138,9 @@ def oracle_sql() -> dict:
         **eval_oracles(),
         **governance_oracles(),
         **prompt_oracles(),
+        "corpus_prefix": (f"WITH dd AS ({DV.docs_sql()}) SELECT filename, length(content)::BIGINT AS char_count "
+                          "FROM dd WHERE starts_with(filename, 'doc_1') ORDER BY filename"),
+        "run_ids": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS run_id FROM events",
     }
 
 
