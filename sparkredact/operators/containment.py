@@ -7,8 +7,7 @@ each right value is joined on an *anchor*:
 
 * right values of length >= K join on their first K characters against the
   distinct K-grams of the left value;
-* shorter right values (1 .. K-1 characters) join on equality against the
-  distinct short substrings of the left value.
+* the rare shorter right values (1 .. K-1 characters) join on the keys alone.
 
 Any occurrence of r inside l starts with r's anchor at some position of l,
 so the candidate set is complete; ``instr`` then confirms each candidate.
@@ -39,8 +38,8 @@ def contains_pairs(left: DataFrame, right: DataFrame, keys: list[str], lcol: str
     l_long = left.select("*", F.explode(_grams(F.col(lcol), K)).alias("_anchor"))
     r_long = right.where(F.length(rcol) >= K).withColumn("_anchor", F.substring(rcol, 1, K))
     long_pairs = l_long.join(r_long, keys + ["_anchor"]).drop("_anchor")
-    l_short = left.select("*", F.explode(F.array_distinct(F.flatten(F.array(
-        *[_grams(F.col(lcol), m) for m in range(1, K)])))).alias("_anchor"))
-    r_short = right.where((F.length(rcol) >= 1) & (F.length(rcol) < K)).withColumn("_anchor", F.col(rcol))
-    short_pairs = l_short.join(r_short, keys + ["_anchor"]).drop("_anchor")
+    # right values shorter than K (1-2 characters) are rare; they join on the
+    # keys alone instead of exploding every left value's short substrings
+    r_short = right.where((F.length(rcol) >= 1) & (F.length(rcol) < K))
+    short_pairs = left.join(r_short, keys)
     return long_pairs.unionByName(short_pairs).where(F.instr(F.col(lcol), F.col(rcol)) > 0)
