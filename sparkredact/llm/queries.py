@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano
+from sparkredact.llm import elias_fano, jaccard_join, sos_packing
 from sparkredact.llm.common import table
 
 
@@ -21,8 +21,18 @@ def op9_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op7_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sos_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op7_sos_packing": op7_sos_packing,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
     }
 
