@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, jaccard_join, sos_packing
+from sparkredact.llm import elias_fano, jaccard_join, pivot_index, sos_packing
 from sparkredact.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op9_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op7_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pivot_near_duplicates": op3_pivot_near_duplicates,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op7_sos_packing": op7_sos_packing,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
