@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, jaccard_join, pivot_index, sos_packing
+from sparkredact.llm import elias_fano, jaccard_join, pivot_index, sos_packing, toxicity
 from sparkredact.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op9_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def op3_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -35,6 +43,7 @@ def op7_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_crf_toxicity": op1_crf_toxicity,
         "op3_pivot_near_duplicates": op3_pivot_near_duplicates,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op7_sos_packing": op7_sos_packing,
