@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, jaccard_join, pivot_index, sos_packing, toxicity
+from sparkredact.llm import elias_fano, entropy_mix, jaccard_join, pivot_index, sos_packing, toxicity
 from sparkredact.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_crf_toxicity": op1_crf_toxicity,
         "op3_pivot_near_duplicates": op3_pivot_near_duplicates,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op6_entropy_mix": op6_entropy_mix,
         "op7_sos_packing": op7_sos_packing,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
     }
