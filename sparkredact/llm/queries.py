@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, entropy_mix, jaccard_join, pivot_index, sos_packing, toxicity
+from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, pivot_index, sos_packing, toxicity
 from sparkredact.llm.common import table
 
 
@@ -46,6 +46,53 @@ def op7_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
 
+def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# Words by their code points, windows by their words: nothing of the Spark side is used here.
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT r, doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM texts
+), places AS (
+  SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM words WHERE len(ws) >= 5
+), windows AS (
+  SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS w FROM places
+), repeated AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1
+), covered AS (
+  SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM repeated) GROUP BY r
+), counts AS (
+  SELECT w.doc_id, w.source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM words w LEFT JOIN covered c USING (r)
+), rules AS (
+  SELECT *, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule,
+         unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines]) AS failed FROM counts
+), hosts AS (
+  SELECT source, rule, count(*) AS n, sum(failed::INT)::DOUBLE AS f FROM rules GROUP BY ALL
+), moments AS (
+  SELECT rule, sum(n)::DOUBLE AS n, count(*) AS h, sum(n * n)::DOUBLE AS nn, sum(f) / sum(n) AS m, sum(f * f / n) AS q FROM hosts GROUP BY rule
+), rho AS (
+  SELECT rule, m, h, CASE WHEN h > 1 AND m > 0 AND m < 1 THEN
+    least(greatest(((q - n * m * m) / (m * (1 - m)) - (h - 1)) / greatest(n - nn / n - (h - 1), 1e-9), 0), 0.999) ELSE 0.5 END AS rho FROM moments
+), verdicts AS (
+  SELECT source, bool_or(CASE WHEN rho = 0 THEN m ELSE (f + (1 - rho) / rho * m) / (hosts.n + (1 - rho) / rho) END > 0.5) AS rejected
+  FROM hosts JOIN rho USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT rejected) AS kept
+FROM counts JOIN verdicts ON counts.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_toxicity": op1_crf_toxicity,
@@ -54,8 +101,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_entropy_mix": op6_entropy_mix,
         "op7_sos_packing": op7_sos_packing,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
+        "op10_host_quality_rules": op10_host_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_host_quality_rules": OP10_SQL,
+    }
