@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, pivot_index, sos_packing, toxicity
+from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, pivot_index, sos_packing, toxicity, url_templates
 from sparkredact.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "spans")
 
 
+# Fixed values of the contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -96,6 +104,7 @@ FROM counts JOIN verdicts ON counts.source IS NOT DISTINCT FROM verdicts.source
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_toxicity": op1_crf_toxicity,
+        "op2_url_templates": op2_url_templates,
         "op3_pivot_near_duplicates": op3_pivot_near_duplicates,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_entropy_mix": op6_entropy_mix,
