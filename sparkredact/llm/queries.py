@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, pivot_index, sos_packing, toxicity, url_templates
+from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, line_templates, pivot_index, sos_packing, toxicity, url_templates
 from sparkredact.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="dropped_lines")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_templates": op2_url_templates,
         "op3_pivot_near_duplicates": op3_pivot_near_duplicates,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_line_templates": op5_line_templates,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_sos_packing": op7_sos_packing,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
