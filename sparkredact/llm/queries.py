@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, line_templates, pivot_index, sos_packing, toxicity, url_templates
+from sparkredact.llm import elias_fano, entropy_mix, host_rules, jaccard_join, line_templates, pivot_index, secret_forest, sos_packing, toxicity, url_templates
 from sparkredact.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_templates": op5_line_templates,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_sos_packing": op7_sos_packing,
+        "op8_secret_forest": op8_secret_forest,
         "op9_elias_fano_token_files": op9_elias_fano_token_files,
         "op10_host_quality_rules": op10_host_quality_rules,
     }
