@@ -4,11 +4,11 @@ A line's digits are masked; its leaf is its token count and its leading tokens.
 In a leaf that holds several lines the tokens most of them share position by
 position are the template and the rest are variable fields; lines near enough to
 it belong to it, others are templates of their own.  A template that recurs in
-documents of different kinds is boilerplate and its lines are dropped.
+documents which are otherwise their own is boilerplate and its lines are dropped.
 
-Copies of one document repeat all its lines but are one kind: documents count by
-the hash of their text, and kinds by their least and greatest leaf, so copies and
-near copies are left to the operators for them.
+Copies and near copies of a document repeat most of its lines: documents count by
+the hash of their text, and only those of whose lines at most a given share recur
+speak for a template, so copies are left to the operators for them.
 """
 
 from __future__ import annotations
@@ -43,13 +43,12 @@ def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
 
 
 def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """Per text and mask once: doc (hash of the text), kind, mask, leaf."""
+    """Per text and mask once: doc (hash of the text), lines (how many masks the text has), mask, leaf."""
     rows = _lines(texts, leading, min_tokens)
     rows = rows.select("_doc", F.filter("_lines", lambda x: x.isNotNull()).cast(f"array<{_LINE}>").alias("lines")).where(F.size("lines") > 0)
-    leaves = F.transform("lines", lambda x: x.leaf)
-    rows = rows.select("_doc", F.xxhash64(F.array_min(leaves), F.array_max(leaves)).alias("kind"),
-                       F.array_distinct(F.transform("lines", lambda x: F.struct(x.mask.alias("mask"), x.leaf.alias("leaf")))).alias("lines"))
-    return rows.select(F.col("_doc").alias("doc"), "kind", F.explode("lines").alias("line")).select("doc", "kind", "line.mask", "line.leaf")
+    rows = rows.select("_doc", F.array_distinct(F.transform("lines", lambda x: F.struct(x.mask.alias("mask"), x.leaf.alias("leaf")))).alias("each"))
+    return (rows.select(F.col("_doc").alias("doc"), F.size("each").alias("lines"), F.explode("each").alias("line"))
+            .select("doc", "lines", "line.mask", "line.leaf"))
 
 
 def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float) -> DataFrame:
@@ -74,31 +73,36 @@ def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens:
             .select("mask", F.xxhash64("leaf", F.lit("template")).alias("template")))
 
 
-def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int, kinds: float) -> tuple[DataFrame, DataFrame]:
-    """Lines to drop, as (doc, mask), and the templates that recur, as (template, docs, kinds)."""
+def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int, own: float) -> tuple[DataFrame, DataFrame]:
+    """Lines to drop, as (doc, mask), and the templates that recur, as (template, docs, speaking)."""
     entries = write_table(_entries(texts, leading, min_tokens).distinct(), "lines")
     general = write_table(_generalised(texts, entries, leading, min_tokens, likeness), "templates")
     placed = entries.join(general, "mask", "left").withColumn("template", F.coalesce("template", "mask"))
-    per_kind = placed.groupBy("template", "kind", "doc").agg(F.count("*").alias("n")).groupBy("template", "kind").agg(F.count("*").alias("docs"))
-    found = (per_kind.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds"))
-             .where((F.col("kinds") >= min_docs) & (F.col("kinds") >= kinds * F.col("docs"))))
+    # A text counts once for a template, whichever of its lines belong to it.
+    several = placed.groupBy("template", "doc").agg(F.first("lines")).groupBy("template").agg(F.count("*").alias("docs")).where("docs > 1")
+    shared = write_table(placed.join(several, "template").select("doc", "lines", "mask", "template", "docs"), "shared-lines")
+    speaking = shared.groupBy("doc", "lines").agg(F.count("*").alias("shared")).where(F.col("shared") <= own * F.col("lines")).select("doc")
+    found = (shared.join(speaking, "doc").groupBy("template", "doc").agg(F.first("docs").alias("docs"))
+             .groupBy("template").agg(F.first("docs").alias("docs"), F.count("*").alias("speaking"))
+             .where((F.col("speaking") >= min_docs) & (F.col("speaking") >= own * F.col("docs"))))
     found = write_table(found, "recurring")
-    return placed.join(found, "template", "left_semi").select("doc", "mask"), found
+    return shared.join(found, "template", "left_semi").select("doc", "mask"), found
 
 
 def drop_recurring(docs: DataFrame, text_col: str = "text", leading: int = 3, min_tokens: int = 5, likeness: float = 0.75,
-                   min_docs: int = 3, kinds: float = 0.5, count_col: str | None = None) -> DataFrame:
+                   min_docs: int = 3, own: float = 0.5, count_col: str | None = None) -> DataFrame:
     """``docs``, all columns, without the lines of recurring templates in ``text_col``.
 
-    A template recurs if at least ``min_docs`` kinds of documents hold it and
-    these are at least the share ``kinds`` of the different texts that do.  Lines
+    A text speaks for its templates if at most the share ``own`` of its lines
+    are in other texts too.  A template recurs if at least ``min_docs`` texts
+    speak for it, and these are at least the share ``own`` of those with it.  Lines
     of fewer than ``min_tokens`` tokens stay.  Null texts stay null, a text whose
     lines all go becomes empty, and every row is kept; repeated rows are cleaned
     alike.  ``count_col`` names a column for the number of dropped lines.
     """
     doc = F.xxhash64(text_col, F.length(text_col))
     texts = docs.select(doc.alias("_doc"), docs[text_col].alias("_text")).where("_text is not null")
-    gone, _ = recurring(texts, leading, min_tokens, likeness, min_docs, kinds)
+    gone, _ = recurring(texts, leading, min_tokens, likeness, min_docs, own)
     # Bounded by the lines of one text.
     gone = gone.groupBy("doc").agg(F.collect_set("mask").alias("masks")).select(F.col("doc").alias("_doc"), F.col("masks").alias("_masks"))
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
