@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkredact.llm.common import word_count, write_table
 
 NEWTON_STEPS = 24
-ROUNDS = 5
+ROUNDS = 6
 BINS = 1024
 
 
@@ -74,7 +74,11 @@ def _bin(k: Column) -> Column:
 
 
 def _fits(copies: Column, way: Column, gap: Column, most: int) -> Column:
-    return (F.col("size") > 0) & (F.col("size") <= gap) & F.when(way > 0, copies < most).otherwise(copies > 0)
+    return (F.col("size") > 0) & (F.col("size") <= gap) & _free(copies, way, most)
+
+
+def _free(copies: Column, way: Column, most: int) -> Column:
+    return F.when(way > 0, copies < most).otherwise(copies > 0)
 
 
 def _copies(most: int) -> Column:
@@ -83,7 +87,11 @@ def _copies(most: int) -> Column:
         F.least(F.floor(_rate(most) + _unit("id", "size", F.lit(-1))), F.lit(most)))
     copies = F.when(F.col("size") > 0, copies).otherwise(1).cast("int")
     return F.aggregate("rounds", copies, lambda now, r: F.when(
-        _fits(now, r.way, r.gap, most) & (_bin(r.k) <= r.last), now + r.way).otherwise(now))
+        (_fits(now, r.way, r.gap, most) & (_bin(r.k) <= r.last)) | ((F.col("size") == r.size) & (_key() == r.key)), now + r.way).otherwise(now))
+
+
+def _key() -> Column:
+    return F.xxhash64("id", "size", F.lit(-2))
 
 
 def _join(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -92,6 +100,11 @@ def _join(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return sized.join(plan, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
+def _with(plan: DataFrame, more: DataFrame) -> DataFrame:
+    """Columns of ``more`` (source, ...) to the sources that have them; null is a source as well."""
+    return plan.join(more.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def solve(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2) -> DataFrame:
     """``sized`` (id, source, size) to the parameters of each source that ``_copies`` reads."""
     sources = write_table(sized.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.when(F.col("size") > 0, 1)).alias("filled")), "sources")
@@ -114,24 +127,27 @@ def solve(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2
         if not plan.where("open").limit(1).count():
             break
         plan = plan.drop("open")
-    none = F.array().cast("array<struct<k: int, way: int, gap: double, last: int>>")
+    none = F.array().cast("array<struct<k: int, way: int, gap: double, last: int, size: bigint, key: bigint>>")
     plan = plan.select("source", "total", "target", "mean", "tilt", none.alias("rounds"))
 
     for k in range(ROUNDS):
         # What is missing now, by source; then what each bin of fitting documents would add.
         now = _join(sized, plan).withColumn("copies", _copies(most))
-        taken = now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).withColumnRenamed("source", "_of")
+        taken = now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
         miss = F.col("target") - F.coalesce("taken", F.lit(0))
-        gaps = write_table(plan.join(taken, F.col("source").eqNullSafe(F.col("_of")), "left")
-                           .withColumn("way", F.when(miss < 0, -1).otherwise(1)).withColumn("gap", F.abs(miss)).drop("_of", "taken"), "gaps")
+        gaps = write_table(_with(plan, taken).withColumn("way", F.when(miss < 0, -1).otherwise(1)).withColumn("gap", F.abs(miss)).drop("taken"), "gaps")
         now = _join(sized, gaps).withColumn("copies", _copies(most))
         bins = (now.where(_fits(F.col("copies"), F.col("way"), F.col("gap"), most)).groupBy("source", _bin(F.lit(k)).alias("bin"))
                 .agg(F.sum("size").alias("sum"), F.first("gap").alias("gap")))
         upto = F.sum("sum").over(Window.partitionBy("source").orderBy("bin"))  # at most BINS rows a source
-        last = bins.withColumn("upto", upto).where("upto <= gap").groupBy("source").agg(F.max("bin").alias("last")).withColumnRenamed("source", "_of")
-        flips = F.struct(F.lit(k).alias("k"), "way", "gap", F.coalesce("last", F.lit(-1)).cast("int").alias("last"))
-        plan = write_table(gaps.join(last, F.col("source").eqNullSafe(F.col("_of")), "left").select(
-            "source", "total", "target", "mean", "tilt", F.concat("rounds", F.array(flips)).alias("rounds")), "flips")
+        last = bins.withColumn("upto", upto).groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("bin"))).alias("last"), F.count("*").alias("bins"))
+        # Where nothing fits and much is missing: the smallest document beyond the gap; the next round goes the other way.
+        beyond = (now.where((F.col("size") > F.col("gap")) & (F.col("gap") > 0.002 * F.col("target")) & _free(F.col("copies"), F.col("way"), most))
+                  .groupBy("source").agg(F.min(F.struct("size", _key().alias("key"))).alias("beyond")))
+        plan = _with(_with(gaps, last), beyond)
+        beyond = [F.when(F.col("bins").isNull(), F.col(f"beyond.{c}")).cast("long").alias(c) for c in ("size", "key")]
+        flips = F.struct(F.lit(k).alias("k"), "way", "gap", F.coalesce("last", F.lit(-1)).cast("int").alias("last"), *beyond)
+        plan = write_table(plan.select("source", "total", "target", "mean", "tilt", F.concat("rounds", F.array(flips)).alias("rounds")), "flips")
     return plan
 
 
