@@ -1,0 +1,166 @@
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkredact.llm import entropy_mix, host_rules, line_templates, secret_forest, url_templates
+from sparkredact.llm.common import word_count
+from sparkredact.llm.queries import URL_RULES
+from tests.llm.fixtures import documents, empty, odd_texts, with_clashes, words
+import random
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_word_count(spark):
+    docs = documents(spark, odd_texts())
+    for r in docs.select("text", word_count(F.col("text")).alias("n")).collect():
+        assert r.n == len(WORD.findall(r.text or ""))
+
+
+def targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    budget, out, left = 1.5 * sum(sizes.values()), {}, set(sizes)
+    while left:
+        level = budget / sum(weight[s] for s in left)
+        over = [s for s in left if weight[s] * level > 2 * sizes[s]]
+        if not over:
+            return out | {s: weight[s] * level for s in left}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            budget -= out[s]
+            left.discard(s)
+    return out
+
+
+def test_mix_meets_its_targets(spark):
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(0, 120)) for _ in range(400)] + odd_texts()
+    docs = documents(spark, texts, ["z", "é", None, "a", "Z", "z", "z"])
+    rows = entropy_mix.mix(with_clashes(docs)).collect()
+    again = entropy_mix.mix(with_clashes(docs)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(texts)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        assert r.size == len(WORD.findall(texts[r.id] or "")) and r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    want = targets(sizes)
+    for s in sizes:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - want[s]) <= max(0.01 * want[s], 15)
+    mixed = entropy_mix.mixed_documents(with_clashes(docs))
+    assert mixed.columns == with_clashes(docs).columns
+    assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter({r.id: r.copies for r in rows if r.copies})
+    assert entropy_mix.mix(empty(docs)).count() == 0
+    assert entropy_mix.mixed_documents(empty(docs)).count() == 0
+    nothing = documents(spark, [None, "", " "], ["a", None])
+    assert [(r.target, r.copies) for r in entropy_mix.mix(nothing).collect()] == [(0.0, 1)] * 3
+
+
+URLS = ["http://A.Example.com/en/1?x=1", "https://www.example.com/en/2", "x.example.net/es/3", None, "", "ftp://b.net/es/q#f", "http://b.net/fr",
+        "http://b.net/fr/", "http://c.com", "http://c.com/", "http://notexample.com/en/5", "http://É.org/a//b/", "http://net/fr/é", "a://b://c/d", "http://deep.org/" + "/".join("abcdefghij")]
+FIXED = [("a.example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/2", "www.example.com/en/", "allow"), ("", "", None, None), ("", "", None, None),
+         ("", "", None, None), ("b.net", "/es/q", "net/es/", "block"), ("b.net", "/fr", None, None), ("b.net", "/fr/", "net/fr/", "block"), ("c.com", "", None, None),
+         ("c.com", "/", "com/", "allow"), ("notexample.com", "/en/5", "com/", "allow"), ("É.org", "/a//b/", None, None), ("net", "/fr/é", "net/fr/", "block"),
+         ("b:", "//c/d", None, None), ("deep.org", "/a/b/c/d/e/f/g/h/i/j", None, None)]
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0])], "page_id long, url string").selectExpr("*", "'x' as host", "'y' as template", "1 as n")
+    rows = sorted(url_templates.filter_urls(pages, URL_RULES).collect(), key=lambda r: r.page_id)
+    assert len(rows) == len(URLS) + 1
+    for r in rows:
+        host, path, rule, verdict = FIXED[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+    assert url_templates.filter_urls(pages.where("1 = 0"), URL_RULES).count() == 0
+
+
+def test_templates_generalise_merge_and_reject(spark):
+    urls = [f"http://h.org/{part}/{i}" for part in ("spam", "junk", "news", "blog") for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(0, 160, 2)], "page_id long, bad int")
+    rows = url_templates.filter_urls(pages, [], labels).collect()
+    assert {r.template for r in rows} == {"/spam/*", "/junk/*", "/news/*", "/blog/*"}
+    assert all((r.verdict == "block") == (r.page_id < 80) for r in rows)
+    assert len({r.purity for r in rows}) == 2  # similar branches share their labels
+    assert {r.verdict for r in url_templates.filter_urls(pages, []).collect()} == {"allow"}
+
+
+def test_recurring_lines_go_and_copies_stay(spark):
+    rng = random.Random(8)
+    own = [[words(rng, 20) for _ in range(4)] for _ in range(12)]
+    passage = words(rng, 60)
+    texts = ["\n".join([o[0], passage if i < 5 else o[1], f"Posted by user{i} on day {i} of the year 20{i} here", *o[2:]]) for i, o in enumerate(own)]
+    copy = "\n".join(words(rng, 20) for _ in range(5))
+    near = copy.replace(copy.split()[50], "changed")
+    texts += [copy] * 6 + [near, None, "", "short line", "short line", "short line"]
+    docs = with_clashes(documents(spark, texts))
+    docs = docs.unionAll(docs.where("doc_id = 0"))
+    out = line_templates.drop_recurring(docs, count_col="gone")
+    assert out.columns == [*docs.columns, "gone"]
+    rows = out.collect()
+    assert len(rows) == docs.count() and len({r.text for r in rows if r.doc_id == 0}) == 1
+    for r in rows:
+        if r.doc_id < 12:
+            kept = [own[r.doc_id][0], *([] if r.doc_id < 5 else [own[r.doc_id][1]]), *own[r.doc_id][2:]]
+            assert r.text.split("\n") == kept and r.gone == (2 if r.doc_id < 5 else 1)
+        else:
+            assert r.text == texts[r.doc_id] and r.gone == 0
+    odd = documents(spark, odd_texts())
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(odd).collect()} == dict(enumerate(odd_texts()))
+    assert line_templates.drop_recurring(empty(docs)).count() == 0
+
+
+def host_counts(text):
+    ws = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(ws[i:i + 5]) for i in range(len(ws) - 4)]
+    many = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if many[w] > 1 for k in range(5)}
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_host_verdicts(spark):
+    rng = random.Random(2)
+    texts = odd_texts() + ["a b c d e f a b c d e", "a a a a a a a", "a#b *$%&|<> x\ny\n\ny\n y", "p q r s t u p q r s t v p q r s t"]
+    good = [words(rng, 50, 10_000) for _ in range(30)]
+    bad = [words(rng, 40, 10_000) + " # $ % & * | < >" for _ in range(30)]
+    docs = documents(spark, [*good, *bad, *texts], ["good"] * 30 + ["bad"] * 30 + [None] * len(texts))
+    rows = {r.doc_id: r for r in host_rules.judge(with_clashes(docs)).collect()}
+    for i, t in enumerate([*good, *bad, *texts]):
+        r = rows[i]
+        n, chars, symbols, dup, repeat = host_counts(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat), t
+        assert r.base_failed == (n < 10 or 100 * repeat > 20 * n)
+    assert all(rows[i].kept for i in range(30)) and not any(rows[i].kept for i in range(30, 60))
+    assert all(rows[i].host_rejected and not rows[i].base_failed for i in range(30, 60))
+    repeated = docs.where("doc_id = 0").unionAll(docs.where("doc_id = 0"))
+    assert [r.kept for r in host_rules.judge(repeated).collect()] == [True, True]
+    assert host_rules.judge(empty(docs)).count() == 0
+
+
+def test_secrets_are_found_and_other_keys_left(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(40))
+    real, texts = {}, []
+    for i in range(40):
+        secret = key()
+        lead = words(rng, 12)
+        if i % 2:
+            texts.append(f'{lead} token = "{secret}" {words(rng, 5)}')
+            real[i] = (len(lead) + 10, secret)
+        else:
+            texts.append(f"{lead} see mail{i}.some-words.example.com or 4111111111111111 {words(rng, 5)}")
+    docs = with_clashes(documents(spark, [*texts, *odd_texts()], ["src/app", "tests/x", None]))
+    rows = secret_forest.scan(docs.unionAll(docs.where("doc_id = 1"))).collect()
+    texts += odd_texts()
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.value and 0 <= r.probability <= 1 for r in rows)
+    assert {(r.doc_id, r.start, r.value) for r in rows if r.is_secret} == {(i, *x) for i, x in real.items()}
+    assert sum(r.doc_id == 1 for r in rows) == 2
+    plain = documents(spark, ["AKIA" + "A1B2C3D4E5F6G7H8", "nothing", None])
+    assert [(r.doc_id, r.is_secret) for r in secret_forest.scan(plain).collect()] == [(0, True)]
+    assert secret_forest.scan(empty(docs)).count() == 0
