@@ -141,32 +141,55 @@ def _boost(text: Column, r: Recognizer):
     return f
 
 
-def match_array(text: Column, recognizers: list[Recognizer] = None) -> Column:
+def unconfirmed_safe() -> list[Recognizer]:
+    """Recognisers whose hits survive the merge when no model output confirms
+    them: person, organisation and place hits need a confirmation."""
+    types = {t: e for t, _, e in vocab.DETECTOR_TYPE_MAP}
+    return [r for r in DEFAULT_RECOGNIZERS if types.get(r.detector_type) not in vocab.SEMANTIC_MERGE_TYPES]
+
+
+def extractions(text: Column, recognizers: list[Recognizer]) -> dict[str, Column]:
+    """Matches per recogniser as columns, for ``match_array`` to read several
+    times: projected first, each pattern runs over a text once."""
+    empty = F.array().cast("array<string>")
+    out = {}
+    for i, r in enumerate(recognizers):
+        found = {f"_values_{i}": r.group}
+        if r.context and r.group:
+            found[f"_whole_{i}"] = 0
+        for name, group in found.items():
+            vals = F.regexp_extract_all(text, F.lit(r.pattern), group)
+            if r.requires:
+                vals = F.when(F.instr(text, r.requires) > 0, vals).otherwise(empty)
+            if r.needs_digit:
+                # most prose has no digit at all; those rows skip the pattern
+                vals = F.when(text.rlike("[0-9]"), vals).otherwise(empty)
+            out[name] = vals
+    return out
+
+
+def match_array(text: Column, recognizers: list[Recognizer] = None, projected: bool = False) -> Column:
     """One array<struct<first, rank, occ, start, value, detector_type, score>>
     per row; ``first`` is the 1-based position of the value's first
     occurrence, the detection-order key.  ``start`` (0-based match offset) is
-    only computed for recognisers with context words."""
+    only computed for recognisers with context words.  ``projected``: the row
+    has the columns of ``extractions``."""
     recognizers = recognizers or DEFAULT_RECOGNIZERS
-    empty = F.array().cast("array<string>")
-    # most prose has no digit at all; one short scan lets those rows skip
-    # every digit-bearing recogniser
-    has_digit = text.rlike("[0-9]")
+    found = extractions(text, recognizers)
+    if projected:
+        found = {name: F.col(name) for name in found}
     parts = []
     for rank, r in enumerate(recognizers):
-        vals = F.regexp_extract_all(text, F.lit(r.pattern), r.group)
-        if r.requires:
-            vals = F.when(F.instr(text, r.requires) > 0, vals).otherwise(empty)
-        if r.needs_digit:
-            vals = F.when(has_digit, vals).otherwise(empty)
+        vals = found[f"_values_{rank}"]
         if r.context:
-            whole = F.regexp_extract_all(text, F.lit(r.pattern), 0) if r.group else vals
+            whole = found.get(f"_whole_{rank}", vals)
             starts = F.when(F.size(vals) > 0, _offsets(text, r.pattern, whole)) \
                       .otherwise(F.array().cast("array<int>"))
             starts = F.zip_with(starts, F.zip_with(whole, vals, lambda m, v: F.length(m) - F.length(v)),
                                 lambda s0, d: s0 + d)
+            z = F.arrays_zip(vals.alias("v"), starts.alias("s"))
         else:
-            starts = F.transform(vals, lambda v: F.lit(None).cast("int"))
-        z = F.arrays_zip(vals.alias("v"), starts.alias("s"))
+            z = F.transform(vals, lambda v: F.struct(v.alias("v"), F.lit(None).cast("int").alias("s")))
         arr = F.transform(z, _to_struct(text, r, rank))
         if r.validator is not None:
             arr = F.filter(arr, _validate(r))

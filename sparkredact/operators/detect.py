@@ -54,9 +54,9 @@ def is_semantic_false_positive(value: Column, detector_type: Column, lang: Colum
 
 def detected_array(text: Column, lang: Column,
                    categories: Optional[Iterable[str]] = None,
-                   recognizers=None) -> Column:
+                   recognizers=None, projected: bool = False) -> Column:
     """Array of detected entities for one document, in detection order."""
-    raw = F.array_sort(R.match_array(text, recognizers))   # by (first occurrence, rank, occ)
+    raw = F.array_sort(R.match_array(text, recognizers, projected))   # by (first occurrence, rank, occ)
     ent = F.transform(raw, lambda e, i: F.struct(
         (i + 1).alias("seq"),
         clean_span(e["value"]).alias("value"),
@@ -94,8 +94,9 @@ def detected_array(text: Column, lang: Column,
 
 def detect_packed(docs: DataFrame, text_col: str = "content", lang_col: str = "language",
                   categories=None, recognizers=None, out_col: str = "detected") -> DataFrame:
-    return docs.withColumn(out_col, detected_array(F.col(text_col), F.col(lang_col),
-                                                   categories, recognizers))
+    found = R.extractions(F.col(text_col), recognizers or R.DEFAULT_RECOGNIZERS)
+    return docs.withColumns(found).withColumn(out_col, detected_array(
+        F.col(text_col), F.col(lang_col), categories, recognizers, projected=True)).drop(*found)
 
 
 def explode_outer_nonnull(df: DataFrame, array_col: str, keep, alias: str = "e") -> DataFrame:

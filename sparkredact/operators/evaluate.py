@@ -43,7 +43,8 @@ def language_from_name(filename: Column) -> Column:
 
 
 def _norm_set(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", normal_form(F.col("value")).alias("v"), "category").distinct()
+    return (df.where(F.col("value").isNotNull())
+            .select("doc_id", normal_form(F.col("value")).alias("v"), "category").distinct())
 
 
 def strict_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -76,13 +77,28 @@ def lenient_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
                     F.coalesce("fp", F.lit(0)).alias("fp"), F.coalesce("fn", F.lit(0)).alias("fn"))
 
 
-def evaluable(pred: DataFrame, truth: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """D-22: keep predictions of documents that have truth (and, when run
-    records are given, whose run succeeded)."""
+def evaluable(pred: DataFrame, truth: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """D-22: predictions and truth of the documents that are evaluated: those
+    annotated (a row of ``truth``, with a null value where nothing is annotated)
+    and, when run records are given, whose run succeeded.  A document that is
+    skipped leaves both sides, so its truth is no miss."""
     keep = truth.select("doc_id").distinct()
     if runs is not None:
-        keep = keep.join(runs.where(F.col("status") == "success").select("doc_id"), "doc_id", "left_semi")
-    return pred.join(keep, "doc_id", "left_semi")
+        keep = keep.join(runs.where(F.col("status") == "success").select("doc_id").distinct(), "doc_id", "left_semi")
+    return pred.join(keep, "doc_id", "left_semi"), truth.join(keep, "doc_id", "left_semi")
+
+
+def skipped(docs: DataFrame, truth: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """D-22: (doc_id, reason) of the documents that are not evaluated."""
+    out = docs.select("doc_id").join(truth.select("doc_id").distinct().withColumn("annotated", F.lit(True)), "doc_id", "left")
+    if runs is not None:
+        state = runs.groupBy("doc_id").agg(F.max((F.col("status") == "success").cast("int")).alias("ok"))
+        out = out.join(state, "doc_id", "left")
+    else:
+        out = out.withColumn("ok", F.lit(1))
+    reason = (F.when(F.col("annotated").isNull(), F.lit("no annotation")).when(F.col("ok").isNull(), F.lit("not run"))
+               .when(F.col("ok") == 0, F.lit("run failed")))
+    return out.select("doc_id", reason.alias("reason")).where("reason is not null")
 
 
 def prf(tp: Column, fp: Column, fn: Column):

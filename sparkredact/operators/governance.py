@@ -28,7 +28,7 @@ def format_gate(files: DataFrame, name_col: str = "filename") -> DataFrame:
     listing = ", ".join(sorted(supported))
     return files.withColumn("ext", ext).withColumn("supported", ext.isin(supported)).withColumn(
         "reason", F.when(~F.col("supported"),
-                         F.concat(F.lit("Unsupported format '"), ext, F.lit(f"'. Supported: {listing}"))))
+                         F.concat(F.lit("cannot read files of type "), ext, F.lit(f"; readable types are {listing}"))))
 
 
 # (tag pattern, replacement) applied in order; all Java/RE2-compatible.

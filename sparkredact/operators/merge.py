@@ -122,15 +122,23 @@ CORPORATE_SUFFIX_RE = (r"(?iu)\b(?:" + "|".join(vocab.CORPORATE_SUFFIXES) + r")(
 
 
 def occurrences(text_lower: Column, needle: Column) -> Column:
-    """1-based starts of the non-overlapping occurrences of ``needle``."""
+    """1-based starts of all occurrences of ``needle``, overlapping ones too.
+
+    Only a needle with a border (a prefix that is its suffix) can overlap
+    itself; then at most its length times as many occurrences exist."""
     ln = F.length(needle)
     n = F.when(ln > 0, ((F.length(text_lower) - F.length(F.replace(text_lower, needle, F.lit("")))) / ln)
                .cast("int")).otherwise(F.lit(0))
+    border = (ln > 1) & F.exists(F.sequence(F.lit(1), F.greatest(ln - 1, F.lit(1))), lambda k: F.substring(
+        needle, F.lit(1), ln - k) == F.substring(needle, k + 1, ln))
+    n = F.when(border, n * ln).otherwise(n)
     init = F.struct(F.lit(1).alias("nxt"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, i):
         p = F.instr(F.substring(text_lower, acc["nxt"], 1 << 30), needle) + acc["nxt"] - 1
-        return F.struct((p + ln).alias("nxt"), F.array_append(acc["out"], p).alias("out"))
+        found = p >= acc["nxt"]
+        return F.struct(F.when(found, p + 1).otherwise(acc["nxt"]).alias("nxt"),
+                        F.when(found, F.array_append(acc["out"], p)).otherwise(acc["out"]).alias("out"))
 
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)["out"]) \
             .otherwise(F.array().cast("array<int>"))

@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from .. import vocab
 
 
+ENTITY_HEAD = "List every piece of personal data in the text that follows.\nReport these categories and no others:\n"
+ENTITY_TEXT = "\n\nText:\n"
+ROLE_HEAD = "Say which role each of these people and organisations plays in the text.\n\nNames:\n"
+ROLE_TEXT = "\n\nStart of the text:\n"
+
+
 def category_block(categories=None) -> Column:
     cats = categories or vocab.CATEGORIES
     return F.lit("\n".join(f"  - {c}" for c in cats))
@@ -24,8 +30,7 @@ def category_block(categories=None) -> Column:
 
 def entity_prompt(content: Column, categories=None) -> Column:
     """Entity-extraction user message: category list, then the document."""
-    return F.concat(F.lit("Extract all PII entities from the document below.\nFocus only on these categories:\n"),
-                    category_block(categories), F.lit("\n\nDocument:\n"), content)
+    return F.concat(F.lit(ENTITY_HEAD), category_block(categories), F.lit(ENTITY_TEXT), content)
 
 
 def role_prompt_lines(ents: Column) -> Column:
@@ -37,9 +42,7 @@ def role_prompt_lines(ents: Column) -> Column:
 def role_prompt(ents: Column, content: Column) -> Column:
     """Role-stage user message over the first 3000 characters."""
     return F.concat(
-        F.lit("Assign a contextual role to each entity listed below, based on how they appear in the document.\n\n"
-              "Entities to classify:\n"), role_prompt_lines(ents),
-        F.lit("\n\nDocument (first 3000 chars):\n"), F.substring(content, 1, vocab.ROLE_PROMPT_HEAD_CHARS))
+        F.lit(ROLE_HEAD), role_prompt_lines(ents), F.lit(ROLE_TEXT), F.substring(content, 1, vocab.ROLE_PROMPT_HEAD_CHARS))
 
 
 def run_model(prompts: DataFrame, model_fn: Callable[[pd.Series], pd.Series], stage: str) -> DataFrame:

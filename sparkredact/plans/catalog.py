@@ -70,7 +70,7 @@ def dedup_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redact(types=None):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        recs = _recs(*types) if types else None
+        recs = _recs(*types) if types else R.unconfirmed_safe()
         docs = _docs(spark, sf_dir).select("doc_id", "content", "language")
         packed = D.detect_packed(docs, recognizers=recs)
         packed = packed.withColumn("ents", F.transform("detected", lambda e: F.struct(
@@ -396,7 +396,7 @@ def redact_conversations(spark, sf_dir):
     conv = T.ensure_parallelism(T.conversations(spark, sf_dir))
     turns = conv.select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("content"),
                         F.lit(None).cast("string").alias("language"))
-    det = D.detect_packed(turns, lang_col="language")
+    det = D.detect_packed(turns, lang_col="language", recognizers=R.unconfirmed_safe())
     ents = (D.explode_outer_nonnull(det, "detected", ("doc_id", "turn"))
             .select("doc_id", "turn", F.col("e.seq").alias("tseq"), F.col("e.value").alias("value"),
                     F.col("e.category").alias("category"), F.col("e.entity_type").alias("entity_type")))
@@ -415,7 +415,7 @@ def _eval_inputs(spark, sf_dir):
     truth = _memo(spark, sf_dir, "truth", lambda: materialize(spark, DV.ground_truth(spark, sf_dir), "truth")) \
         .select("doc_id", "value", "category")
     pred = _ident(spark, sf_dir).select("doc_id", "value", "category")
-    return docs, EV.evaluable(pred, truth), truth
+    return (docs, *EV.evaluable(pred, truth))
 
 
 def eval_strict(spark, sf_dir):

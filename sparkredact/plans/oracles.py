@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import vocab
 from ..functions import recognizers as R
 from ..sources import derived as DV
@@ -59,7 +61,7 @@ def dedup_detected() -> str:
 
 
 def _redact(types=None) -> str:
-    recs = _recs(*types) if types else None
+    recs = _recs(*types) if types else R.unconfirmed_safe()
     ents = ("list_transform(detected, lambda e: {'seq': e.seq, 'value': e.value, 'category': e.category, "
             "'entity_type': e.entity_type, 'semantic_role': NULL::VARCHAR})")
     lang = "coalesce(nullif(language, ''), 'it')"
@@ -227,20 +229,12 @@ def _merge_ctes() -> str:
 
 
 def _legal_hit_sql(text: str, value: str) -> str:
-    lc, lv = f"lower({text})", f"lower({value})"
-    ln = f"length({lv})"
-    n = (f"(CASE WHEN {ln} > 0 THEN cast(floor((length({lc}) - length(replace({lc}, {lv}, ''))) / {ln}) AS INTEGER) "
-         f"ELSE 0 END)")
-    occ = (f"list_reduce(range(1, greatest({n}, 1) + 1), lambda acc, i: {{'nxt': instr(substr({lc}, acc.nxt), {lv}) + acc.nxt - 1 + {ln}, "
-           f"'out': list_append(acc.out, instr(substr({lc}, acc.nxt), {lv}) + acc.nxt - 1)}}, {{'nxt': 1, 'out': []::INTEGER[]}}).out")
+    """The rule as a pattern: phrase, up to 200 characters, value; or the other way round."""
+    phrases = "(" + "|".join(re.escape(p.lower()) for p in vocab.LEGAL_CONTEXT_PHRASES) + ")"
     win = vocab.LEGAL_CONTEXT_WINDOW
-    tests = []
-    for ph in vocab.LEGAL_CONTEXT_PHRASES:
-        lp = len(ph)
-        lo = f"greatest(p - {win} - {lp}, 1)"
-        tests.append(f"instr(substr({lc}, {lo}, p - {lo}), {S.q(ph.lower())}) > 0")
-        tests.append(f"instr(substr({lc}, p + {ln}, {win + lp}), {S.q(ph.lower())}) > 0")
-    return f"(CASE WHEN {n} > 0 THEN len(list_filter({occ}, lambda p: {' OR '.join(tests)})) > 0 ELSE false END)"
+    v = f"regexp_escape(lower({value}))"
+    return (f"(length({value}) > 0 AND regexp_matches(lower({text}), {S.q(phrases)} || '.{{0,{win}}}' || {v} || '|' || {v} "
+            f"|| '.{{0,{win}}}' || {S.q(phrases)}, 's'))")
 
 
 def false_positive_filter() -> str:
@@ -393,7 +387,7 @@ def label_oracles() -> dict:
 
 
 def _redact_conversations() -> str:
-    det = S.detected_array("text", "NULL::VARCHAR")
+    det = S.detected_array("text", "NULL::VARCHAR", None, R.unconfirmed_safe())
     return f"""WITH t AS (SELECT conv_id, turn, {det} AS detected FROM conversations),
     e AS (SELECT conv_id, turn, x.seq AS tseq, x.value AS value, x.category AS category, x.entity_type AS entity_type
           FROM (SELECT conv_id, turn, unnest(detected) AS x FROM t)),
@@ -517,7 +511,7 @@ def governance_oracles() -> dict:
                         "SELECT 'documents' AS source, doc_id AS id, filename FROM dd UNION ALL "
                         "SELECT 'pages', page_id, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1) FROM pages) "
                         f"SELECT source, id, filename, {ext} AS ext, {ext} IN {sup} AS supported, "
-                        f"CASE WHEN NOT ({ext} IN {sup}) THEN 'Unsupported format ''' || {ext} || '''. Supported: {listing}' END AS reason "
+                        f"CASE WHEN NOT ({ext} IN {sup}) THEN 'cannot read files of type ' || {ext} || '; readable types are {listing}' END AS reason "
                         "FROM files"),
         "fingerprint": fp,
         "audit_events": (f"WITH fp AS ({fp}) "
@@ -546,19 +540,17 @@ def governance_oracles() -> dict:
 
 
 def prompt_oracles() -> dict:
-    cats = "\n".join(f"  - {c}" for c in vocab.CATEGORIES)
-    head = "Extract all PII entities from the document below.\nFocus only on these categories:\n" + cats + "\n\nDocument:\n"
+    from ..operators import model as MD
+    head = MD.ENTITY_HEAD + "\n".join(f"  - {c}" for c in vocab.CATEGORIES) + MD.ENTITY_TEXT
     ptypes = "(" + ", ".join(S.q(t) for t in vocab.PERSON_ROLE_TYPES) + ")"
     otypes = "(" + ", ".join(S.q(t) for t in vocab.ORG_ROLE_TYPES) + ")"
-    intro = ("Assign a contextual role to each entity listed below, based on how they appear in the document.\n\n"
-             "Entities to classify:\n")
     return {
         "entity_prompts": f"WITH dd AS ({DV.docs_sql()}) SELECT doc_id, {S.q(head)} || content AS prompt FROM dd",
         "role_prompts": _merge_ctes() + f""",
     act AS (SELECT doc_id, list('  - "' || value || '" (' || category || ')' ORDER BY seq) AS lines FROM ident
             WHERE (category = 'persone_fisiche' AND entity_type IN {ptypes})
                OR (category = 'persone_giuridiche' AND entity_type IN {otypes}) GROUP BY doc_id)
-    SELECT a.doc_id, {S.q(intro)} || array_to_string(a.lines, chr(10)) || {S.q(chr(10) + chr(10) + 'Document (first 3000 chars):' + chr(10))}
+    SELECT a.doc_id, {S.q(MD.ROLE_HEAD)} || array_to_string(a.lines, chr(10)) || {S.q(MD.ROLE_TEXT)}
            || substr(d.content, 1, {vocab.ROLE_PROMPT_HEAD_CHARS}) AS prompt
     FROM act a JOIN dd d ON d.doc_id = a.doc_id""",
     }

@@ -60,11 +60,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when unset (tests).
 
-    On a cluster this must be shared storage named by the deployment; the
-    local fallback exists for single-machine test runs only.
+    On a cluster this must be shared storage named by the deployment: without
+    it the run stops, since a folder of one machine would lose the rows that
+    other machines write.  Only a local session gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sparkredact-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

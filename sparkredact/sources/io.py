@@ -55,23 +55,31 @@ def read_text_corpus(spark: SparkSession, path: str, prefix: str | None = None)
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation files -> (document, value, category, entity_type);
-    a document without a file simply has no rows (left join = no truth)."""
+    """Annotation files -> (document, value, category, entity_type).  A file
+    with an empty list is one row of nulls: the document is annotated and all it
+    predicts is false.  Only a document without a file has no row."""
     gt = spark.read.schema(GROUND_TRUTH_SCHEMA).option("multiLine", "true").json(path)
-    return gt.select("document", F.explode_outer("entities").alias("e")).where(F.col("e").isNotNull()) \
-             .select("document", "e.value", "e.category", "e.entity_type")
+    return gt.select("document", F.explode_outer("entities").alias("e")).select("document", "e.value", "e.category", "e.entity_type")
 
 
-def read_run_records(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """A8 + S4: per-document run records (summary files excluded); default
-    run = the latest run id by name."""
+SUMMARY_SUFFIX = "_SUMMARY.json"
+
+
+def latest_run(spark: SparkSession, path: str) -> str | None:
+    """The stamp of the summary file that is last by name; none without a summary."""
+    names = (spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{SUMMARY_SUFFIX}").text(path)
+             .select(F.col("_metadata.file_name").alias("name")))
+    last = names.agg(F.max("name")).first()[0]
+    return last[:-len(SUMMARY_SUFFIX)] if last else None
+
+
+def read_run_records(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """The per-document records of one run, the files named ``{run}_*.json``
+    but for its summary; by default those of the latest run.  No run, no rows."""
+    run = run or latest_run(spark, path)
     recs = (spark.read.schema(RUN_RECORD_SCHEMA).option("multiLine", "true")
-            .option("pathGlobFilter", "*.json").json(path)
-            .where(~F.col("_metadata.file_name").endswith("_SUMMARY.json")))
-    if run_id is None:
-        latest = recs.agg(F.max("run_id").alias("run_id"))
-        return recs.join(latest, "run_id", "left_semi")
-    return recs.where(F.col("run_id") == run_id)
+            .option("pathGlobFilter", f"{run}_*.json" if run else f"*{SUMMARY_SUFFIX}").json(path))
+    return recs.where(~F.col("_metadata.file_name").endswith(SUMMARY_SUFFIX))
 
 
 def run_id_of(ts) -> "F.Column":
@@ -87,9 +95,10 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     getattr(w, fmt)(path)
 
 
-def write_redacted_text(df: DataFrame, path: str, col: str = "anonymized") -> None:
-    """A10: redacted text as text files (one line per record)."""
-    df.select(col).write.mode("overwrite").text(path)
+def write_redacted_text(df: DataFrame, path: str, col: str = "anonymized", id_col: str = "doc_id") -> None:
+    """A10: redacted text, a JSON object per document with its id, so that texts
+    of several lines keep their boundaries."""
+    df.select(id_col, col).write.mode("overwrite").json(path)
 
 
 def write_audit(lines: DataFrame, path: str) -> None:

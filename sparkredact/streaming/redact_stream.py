@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import recognizers as R
 from ..operators import detect as D
 from ..operators import redact as X
 from ..session import shared_dir
@@ -22,7 +23,7 @@ DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BI
 def redact_stream_df(stream: DataFrame, recognizers=None) -> DataFrame:
     """The per-document transform, usable on batch or streaming input."""
     docs = stream.select("doc_id", F.col("text").alias("content"), F.col("lang").alias("language"))
-    packed = D.detect_packed(docs, recognizers=recognizers)
+    packed = D.detect_packed(docs, recognizers=recognizers or R.unconfirmed_safe())
     packed = packed.withColumn("ents", F.transform("detected", lambda e: F.struct(
         e["seq"].alias("seq"), e["value"].alias("value"), e["category"].alias("category"),
         e["entity_type"].alias("entity_type"), F.lit(None).cast("string").alias("semantic_role"))))
