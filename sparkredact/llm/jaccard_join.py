@@ -34,6 +34,8 @@ from sparkredact.llm.shingles import shingle_set
 LARGEST_LIGHT = 12
 # Frequent shingles known to the ordering. It decides speed alone, never which pairs link.
 FREQUENT = 1 << 17
+# Rows of 50 bytes that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def need(n, m):
@@ -57,6 +59,23 @@ def subsets(n: int, boundary: int) -> Iterator[tuple[int, int, int]]:
         yield min(n, m), max(n, m), need(n, m)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each range of hashes that holds one of the set; twice as many ranges as hashes, 8192 at most."""
+    log = min(max((2 * len(own) - 1).bit_length(), 6), 13)
+    bits = np.zeros(1 << log, np.uint8)
+    bits[own >> np.uint64(64 - log)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(n: int, one: bytes, m: int, two: bytes) -> int:
+    """Upper bound of the intersection: each range that one set alone touches holds an element of its own."""
+    x, y = np.unpackbits(np.frombuffer(one, np.uint8)), np.unpackbits(np.frombuffer(two, np.uint8))
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).any(axis=1)
+    return (n + m - int((x != y).sum())) // 2
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles met in many documents, ascending by hash, with the count seen (2 x k)."""
     block = 2_000_000  # hashes counted at a time
@@ -86,33 +105,35 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per row: rid, doc_id, n, fp (digest of the set) and lead, the shingles that may be indexed."""
+    """Per row: rid, doc_id, text_hash, n, fp (digest of the set), lead (shingles that may be indexed), sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = shared.value
         for batch in batches:
-            sizes, fps, leads = [], [], []
-            for text in batch.column(1):
+            sizes, fps, leads, sketches = [], [], [], []
+            for text in batch.column(2):
                 own = shingle_set(text.as_py())
                 n = len(own)
                 sizes.append(n)
+                sketches.append(sketch(own))
                 fps.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
                 if len(common) and n > LARGEST_LIGHT:
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     own = own[np.lexsort((own, np.where(common[at] == own, times[at], 0)))]
                 leads.append(own[:n if n <= LARGEST_LIGHT else probe_length(n)].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(leads, pa.binary())],
-                names=["doc_id", "n", "fp", "lead"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(leads, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "n", "fp", "lead", "sketch"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(digest, "doc_id long, n long, fp binary, lead binary")
+    rows = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+            .mapInArrow(digest, "doc_id long, text_hash long, n long, fp binary, lead binary, sketch binary"))
     return write_table(rows.withColumn("rid", F.monotonically_increasing_id()), "digests")
 
 
-def _boundary(classes: DataFrame) -> int:
+def _boundary(able: DataFrame) -> int:
     """Largest light size: enumerating a set's subsets costs no more than scanning its lists."""
-    small = classes.where(F.col("n") <= LARGEST_LIGHT)
+    small = able.where(F.col("n") <= LARGEST_LIGHT).dropDuplicates(["fp"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +186,13 @@ def _entries(classes: DataFrame, boundary: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, digests: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Whole sets of the wanted classes (cls), computed anew from their texts."""
-    reps = digests.join(wanted, F.col("rid") == F.col("cls"), "left_semi").select("rid", F.col("doc_id").alias("of_doc"), "fp")
+    """Whole sets of the wanted classes (cls), computed anew from their texts.
+
+    Few classes are in a pair that the filters left.  Up to ``BROADCAST_ROWS`` of
+    them go to the texts; more are joined by a shuffle.
+    """
+    reps = write_table(digests.join(wanted, F.col("rid") == F.col("cls"), "left_semi").select("rid", F.col("doc_id").alias("of_doc"), "fp"), "wanted")
+    few = reps.count() <= BROADCAST_ROWS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +204,12 @@ def _sets(docs: DataFrame, digests: DataFrame, wanted: DataFrame) -> DataFrame:
                     found.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(found, pa.binary())], names=["rid", "own"])
 
-    rows = docs.join(reps, F.col("doc_id") == F.col("of_doc")).select("rid", "fp", F.col("text").cast("binary"))
-    return write_table(rows.mapInArrow(sets, "rid long, own binary").dropDuplicates(["rid"]), "sets")
+    rows = docs.join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("of_doc"))
+    return write_table(rows.select("rid", "fp", F.col("text").cast("binary")).mapInArrow(sets, "rid long, own binary"), "sets")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold."""
+def _links(pairs: DataFrame, docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets meet the threshold; sketches spare most others the comparison."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,13 +222,34 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 kept.append(int((y[at] == x).sum()) >= need(len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, one, two = (batch.column(i).to_pylist() for i in range(2, 6))
+            kept = [most_shared(*x) >= need(x[0], x[2]) for x in zip(n, one, m, two)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one = digests.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = digests.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    sketched = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    pairs = write_table(sketched.mapInArrow(may, "a long, b long"), "pairs")
+    sets = _sets(docs, digests, pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct())
     one = sets.select(F.col("rid").alias("a"), F.col("own").alias("own_a"))
     two = sets.select(F.col("rid").alias("b"), F.col("own").alias("own_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+    return write_table(found, "links")
+
+
+def _may_link(x: str, y: str):
+    """Sizes of two entries of a list, x not the larger, and what follows their shingle, allow a link.
+
+    Exact for the first shingle the two sets share, and every linked pair has one.
+    """
+    n, m, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
+    return (4 * n >= 3 * m) & (F.least(n - i, m - j) >= F.floor((3 * (n + m) + 6) / 7))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, text_hash.
 
     A null, empty or wordless text has no shingle and links with nothing; a row
     without a doc_id neither, and its component_id is null.  Repeated rows come
@@ -212,37 +259,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     digests = _digests(docs, _frequent(docs))
     able = digests.where("n > 0 and doc_id is not null")
     classes = able.groupBy("fp").agg(F.min("rid").alias("cls"), F.first("n").alias("n"), F.first("lead").alias("lead"))
-    classes = write_table(classes.select("cls", "n", "lead"), "classes")
 
     by_key = Window.partitionBy("key")
-    entries = _entries(classes, _boundary(classes)).withColumn("length", F.count("*").over(by_key)).where("length > 1").drop("length")
+    entries = _entries(classes, _boundary(able)).withColumn("length", F.count("*").over(by_key)).where("length > 1").drop("length")
     entries = write_table(entries, "entries")
-    sets = _sets(docs, digests, entries.select("cls").distinct())
 
-    smallest = F.min(F.struct("n", "cls"))
-    centre = entries.groupBy("key").agg(smallest.alias("least"))
-    before = F.lag(F.struct("n", "cls")).over(by_key.orderBy("n", "cls"))
+    # Each member with the list's smallest set, or the one before it where that is too small.
+    member = F.struct("n", "cls", "pos")
+    centre = entries.groupBy("key").agg(F.min(member).alias("least"))
+    before = F.lag(member).over(by_key.orderBy("n", "cls", "pos"))
     other = F.when(F.col("least.n") * 4 >= F.col("n") * 3, F.col("least")).otherwise(F.col("before"))
     stars = (entries.withColumn("before", before).join(centre, "key").withColumn("other", other)
-             .where("other.cls <> cls and other.n * 4 >= n * 3")
+             .where(F.col("other.cls") != F.col("cls")).where((F.col("pos") < 0) | _may_link("other.", ""))
              .select(F.least("cls", "other.cls").alias("a"), F.greatest("cls", "other.cls").alias("b")).distinct())
-    linked = write_table(_links(stars, sets), "links")
-    first = components(linked)
+    first = components(_links(stars, docs, digests))
 
     # Lists that still hold more than one component: all their pairs of different ones.
     placed = (entries.where("pos >= 0").join(first, F.col("cls") == F.col("node"), "left")
               .withColumn("component", F.coalesce("component", "cls")).drop("node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = write_table(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    x = placed.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "component")))
-    y = placed.select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "component")))
-    bound = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    pairs = (x.join(y, "key")
-             .where("component_x <> component_y and (n_x < n_y or n_x = n_y and cls_x < cls_y) and 4 * n_x >= 3 * n_y")
-             .where(F.col("pos_x") < F.col("n_x") - F.floor((6 * F.col("n_x") + 6) / 7) + 1)
-             .where(bound >= F.floor((3 * (F.col("n_x") + F.col("n_y")) + 6) / 7))
-             .select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct())
-    rest = write_table(_links(pairs, sets), "links")
+    x = placed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "component")))
+    y = placed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "component")))
+    pairs = (x.join(y, "key").where("x_component <> y_component and (x_n < y_n or x_n = y_n and x_cls < y_cls)")
+             .where(F.col("x_pos") < F.col("x_n") - F.floor((6 * F.col("x_n") + 6) / 7) + 1).where(_may_link("x_", "y_"))
+             .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct())
+    rest = _links(pairs, docs, digests)
     # The first components, as edges to their least member, and the links between them.
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
 
@@ -251,4 +293,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return (digests.withColumn("fp", F.when(F.col("doc_id").isNotNull(), F.col("fp"))).join(named, "fp", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are the least of their component.
+
+    Rows that link with nothing stay, and of a repeated row one.  Only the keys
+    of what goes are joined, broadcast up to ``BROADCAST_ROWS`` of them.
+    """
+    found = write_table(join(docs, id_col, text_col), "components")
+    keys = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    gone = write_table(found.where("component_id <> doc_id").select(*keys).distinct(), "gone")
+    again = write_table(found.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).count().where("count > 1").drop("count"), "repeated")
+
+    def matching(rows: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
+        keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed
+        return rows.join(keyed, (rows[id_col] == F.col("_id")) & (F.xxhash64(rows[text_col]) == F.col("_hash")), how)
+
+    kept = matching(docs, gone, "left_anti")
+    if again.limit(1).count():
+        kept = matching(kept, again, "left_anti").unionAll(matching(kept, again, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept

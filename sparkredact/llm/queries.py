@@ -46,7 +46,7 @@ def op3_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

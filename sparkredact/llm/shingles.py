@@ -29,7 +29,7 @@ class WordHashes(dict):
 
 
 @lru_cache(maxsize=1)
-def word_hashes(limit: int = 500_000) -> WordHashes:
+def word_hashes(limit: int = 300_000) -> WordHashes:
     """One memo per worker."""
     return WordHashes(limit)
 
