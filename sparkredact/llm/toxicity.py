@@ -9,8 +9,8 @@ expected number, the highest marginal and the length give the document's score.
 Labels are of documents, so the words the field learns from are labelled by
 association: a word of a toxic document is toxic if one of its features occurs
 in toxic documents far more often than chance allows; every other word is clean.
-The field is fitted on a bounded sample of labelled rows (``toxic_rows`` and
-``clean_rows``); counts of labels are over all of them.
+The field is fitted on a bounded sample of labelled rows (``toxic_rows``,
+``clean_rows``, ``max_chars``); counts of labels are over all of them.
 """
 
 from __future__ import annotations
@@ -154,8 +154,10 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25
         grad[BUCKETS] = miss.sum()
         grad[BUCKETS + 1] = miss[firsts].sum()
         a, b, e = p[inner - 1], q[inner], np.exp(np.clip(emission[inner], -30, 30))
-        joint = np.exp(trans)[:, :, None] * np.stack([1 - a, a])[:, None] * np.stack([1 - b, e * b])[None]
-        grad[BUCKETS + 2:] = ((joint / joint.sum(axis=(0, 1))).sum(axis=2) - want).ravel()
+        from_to = [(1 - a) * (1 - b), (1 - a) * (e * b), a * (1 - b), a * (e * b)]
+        joint = [x * f for x, f in zip(from_to, np.exp(trans).ravel())]
+        whole = joint[0] + joint[1] + joint[2] + joint[3]
+        grad[BUCKETS + 2:] = [(x / whole).sum() for x in joint] - want.ravel()
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = 0.4 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
@@ -177,11 +179,12 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 3000, max_chars: int = 20_000) -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     At most ``toxic_rows`` and ``clean_rows`` of them, in the order of a hash of
-    doc_id; each stands for its share of all.  Null labels are left out; of
+    doc_id, without texts of over ``max_chars`` (so the sample is bounded in
+    bytes too); each stands for its share of all.  Null labels are left out; of
     several labels of one document the highest holds.
     """
     of = (labels.select(labels["doc_id"].alias("of_doc"), labels["toxic"].alias("toxic"))
@@ -191,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows
     parts = [of.where(F.col("toxic") == kind).orderBy(F.xxhash64("of_doc"), "of_doc").limit(limit)
              for kind, limit in ((True, toxic_rows), (False, clean_rows))]
     sample = F.broadcast(parts[0].unionAll(parts[1]))  # two limits bound it
-    rows = (docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    rows = (docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text") <= max_chars)
             .join(sample, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "toxic").toArrow())
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pylist()
     toxic = np.array([r["toxic"] for r in rows], bool)
