@@ -118,13 +118,11 @@ def _fields() -> str:
 def _base(customer: str, orders: str, supplier: str) -> str:
     return f"""
     ord AS (SELECT o_custkey, min(o_orderdate) AS first_order FROM {orders} GROUP BY o_custkey),
-    nsup AS (SELECT count(*) AS n FROM {supplier}),
     f AS (
       SELECT {_fields()}
       FROM {customer} c
-      CROSS JOIN nsup
       LEFT JOIN ord o ON o.o_custkey = c.c_custkey
-      LEFT JOIN {supplier} s ON s.s_suppkey = c.c_custkey % nsup.n
+      LEFT JOIN {supplier} s ON s.s_suppkey = c.c_custkey % (SELECT count(*) FROM {supplier})
     )"""
 
 
@@ -204,6 +202,10 @@ def model_sql(customer="customer", orders="orders", supplier="supplier") -> str:
         + " ELSE " + item("company", "persone_giuridiche", "'nome_azienda'") + " END",
         item("supplier", "persone_giuridiche", "'nome_azienda'"),
         item("cf", "identificativi", "'codice_fiscale'"),
+        # a code cut short, which the final shape check drops
+        "CASE WHEN r % 8 = 3 THEN " + item("substr(cf, 1, 10)", "identificativi", "'codice_fiscale'") + " END",
+        # a longer form of the company, which no role assignment names
+        "CASE WHEN r % 6 = 1 THEN " + item("company || ' Group'", "persone_giuridiche", "'nome_azienda'") + " END",
         item("iban", "dati_finanziari", "'iban'"),
         item("plate", "identificativi", "'targa_auto'"),
         "CASE WHEN contract_date IS NOT NULL THEN " + item("contract_date", "dati_temporali", "'data_contratto'") + " END",
