@@ -18,51 +18,49 @@ from pyspark.sql import functions as F
 
 from sparkredact.llm.common import write_table
 
-_BREAK = r"[\x20\x09-\x0D]+"
-_LINE = "struct<mask: bigint, pos: int, leaf: bigint>"
+_BLANKS = " \t\x0b\x0c\r"
+# Masks that may be broadcast, 32 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
-def _masked(line: Column) -> Column:
-    return F.regexp_replace(line, "[0-9]+", "#")
-
-
-def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, _BREAK), "")
+def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
+    """Adds ``_lines``: for each line of the text its mask (hash of the masked line), leaf and, if short, null.
 
+    Tokens are what blanks and tabs part; a line's leaf is their number and its
+    first ``leading`` ones.  Digits are masked in the whole text at once.
+    """
+    def line(x):
+        tokens = F.length(x) - F.length(F.translate(x, _BLANKS, "")) + 1
+        return F.when(tokens >= min_tokens, F.struct(F.xxhash64(x).alias("mask"), F.xxhash64(tokens, F.substring_index(x, " ", leading)).alias("leaf")))
 
-def _line(line: Column, pos: Column, leading: int, min_tokens: int) -> Column:
-    """mask (hash of the masked tokens), leaf (hash of their count and the leading ones); null if short."""
-    return F.transform(F.array(_tokens(_masked(line))), lambda t: F.when(F.size(t) >= min_tokens, F.struct(
-        F.xxhash64(F.array_join(t, " ")).alias("mask"), pos.cast("int").alias("pos"),
-        F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, leading), " ")).alias("leaf"))))[0]
+    rows = rows.withColumn("_masked", _masked_lines(F.col("_text")))
+    return rows.withColumn("_lines", F.transform("_masked", line))
 
 
-def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """Adds ``_lines``, one struct or null for each line of the text."""
-    return rows.withColumn("_lines", F.transform(F.split("_text", "\n"), lambda x, i: _line(x, i, leading, min_tokens)))
+def _masked_lines(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, "[0-9]+", "#"), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)))
 
 
 def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
     """Per text and mask once: doc (hash of the text), lines (how many masks the text has), mask, leaf."""
     rows = _lines(texts, leading, min_tokens)
-    rows = rows.select("_doc", F.filter("_lines", lambda x: x.isNotNull()).cast(f"array<{_LINE}>").alias("lines")).where(F.size("lines") > 0)
-    rows = rows.select("_doc", F.array_distinct(F.transform("lines", lambda x: F.struct(x.mask.alias("mask"), x.leaf.alias("leaf")))).alias("each"))
+    rows = rows.select("_doc", F.array_distinct(F.filter("_lines", lambda x: x.isNotNull())).alias("each")).where(F.size("each") > 0)
     return (rows.select(F.col("_doc").alias("doc"), F.size("each").alias("lines"), F.explode("each").alias("line"))
             .select("doc", "lines", "line.mask", "line.leaf"))
 
 
-def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float) -> DataFrame:
+def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> DataFrame:
     """mask, template: lines that belong to the template of a leaf with several lines."""
     masks = entries.groupBy("leaf", "mask").agg(F.count("*").alias("n"))
-    several = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("total")).where("masks > 1").drop("masks")
-    masks = write_table(masks.join(several, "leaf"), "shared-leaves")
+    several = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("total")).where((F.col("masks") > 1) & (F.col("total") >= min_docs))
+    masks = write_table(masks.join(several.drop("masks"), "leaf"), "shared-leaves")
     # The words of those lines, once each.
-    rows = _lines(texts, leading, min_tokens)
-    rows = rows.select(F.explode(F.filter(F.arrays_zip("_lines", F.split("_text", "\n").alias("raw")), lambda x: x["_lines"].isNotNull())).alias("x"))
-    rows = rows.select(F.col("x._lines.mask").alias("mask"), F.col("x.raw").alias("raw"))
-    rows = rows.join(masks, "mask").groupBy("mask").agg(
-        F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("total").alias("total"), F.min("raw").alias("raw"))
-    rows = write_table(rows.withColumn("tokens", _tokens(_masked(F.col("raw")))).drop("raw"), "leaf-lines")
+    rows = _lines(texts, leading, min_tokens).select(F.explode(F.arrays_zip("_lines", "_masked")).alias("x"))
+    rows = rows.select(F.col("x._lines.mask").alias("mask"), F.col("x._masked").alias("line")).where("mask is not null")
+    rows = rows.join(F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks, "mask").groupBy("mask").agg(
+        F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("total").alias("total"), F.min("line").alias("line"))
+    tokens = F.split("line", "[" + _BLANKS + "]")
+    rows = write_table(rows.withColumn("tokens", tokens).drop("line"), "leaf-lines")
     counts = (rows.select("leaf", "n", "total", F.posexplode("tokens").alias("pos", "token"))
               .groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("total").alias("total")))
     common = (counts.where(2 * F.col("n") > F.col("total")).groupBy("leaf")
@@ -76,7 +74,7 @@ def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens:
 def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int, own: float) -> tuple[DataFrame, DataFrame]:
     """Lines to drop, as (doc, mask), and the templates that recur, as (template, docs, speaking)."""
     entries = write_table(_entries(texts, leading, min_tokens).distinct(), "lines")
-    general = write_table(_generalised(texts, entries, leading, min_tokens, likeness), "templates")
+    general = write_table(_generalised(texts, entries, leading, min_tokens, likeness, min_docs), "templates")
     placed = entries.join(general, "mask", "left").withColumn("template", F.coalesce("template", "mask"))
     # A text counts once for a template, whichever of its lines belong to it.
     several = placed.groupBy("template", "doc").agg(F.first("lines")).groupBy("template").agg(F.count("*").alias("docs")).where("docs > 1")
@@ -108,9 +106,9 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", leading: int = 3, mi
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
     rows = docs.select(row, doc.alias("_doc"), docs[text_col].alias("_text")).join(gone, "_doc", "left")
     lines = F.split("_text", "\n")
-    kept = F.filter(F.arrays_zip(lines.alias("raw"), F.transform(lines, lambda x: F.xxhash64(F.array_join(_tokens(_masked(x)), " "))).alias("mask"),
-                                 F.transform(lines, lambda x: F.size(_tokens(_masked(x))) >= min_tokens).alias("long")),
-                    lambda x: ~(x.long & F.array_contains("_masks", x.mask)))
+    short = F.lit(min_tokens)
+    kept = F.filter(F.arrays_zip(lines.alias("raw"), _masked_lines(F.col("_text")).alias("masked")), lambda x: ~(
+        (F.length(x.masked) - F.length(F.translate(x.masked, _BLANKS, "")) + 1 >= short) & F.array_contains("_masks", F.xxhash64(x.masked))))
     clean = F.when(F.col("_masks").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda x: x.raw), "\n"))
     rows = rows.withColumn("_clean", clean)
     out = [F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
