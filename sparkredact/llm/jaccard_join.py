@@ -9,10 +9,10 @@ sizes n and m link when they share at least ``need(n, m)`` shingles.
   (the rarest first, so passages that many documents share stay out of them).
 
 The boundary is where enumerating costs more than scanning, both counted over
-the whole table.  Lists are first cut to stars: each member against the list's
-smallest set.  What a star links is one component; members of different
+the whole table.  Each class is first compared with a few members of its lists,
+drawn by hash.  What these link is one component; members of different
 components in a list are then all compared, so no link between components is
-lost, while a large group of near copies costs one comparison a member and list.
+lost, while a large group of near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from sparkredact.llm.shingles import shingle_set
 LARGEST_LIGHT = 12
 # Frequent shingles known to the ordering. It decides speed alone, never which pairs link.
 FREQUENT = 1 << 17
+# Comparisons of a class before its lists are searched in full for other components.
+PARTNERS = 8
 # Rows of 50 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -240,12 +242,12 @@ def _links(pairs: DataFrame, docs: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def _may_link(x: str, y: str):
-    """Sizes of two entries of a list, x not the larger, and what follows their shingle, allow a link.
+    """Sizes of two entries of a list, and what follows their shingle, allow a link.
 
     Exact for the first shingle the two sets share, and every linked pair has one.
     """
     n, m, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
-    return (4 * n >= 3 * m) & (F.least(n - i, m - j) >= F.floor((3 * (n + m) + 6) / 7))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.least(n - i, m - j) >= F.floor((3 * (n + m) + 6) / 7))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,14 +266,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entries = _entries(classes, _boundary(able)).withColumn("length", F.count("*").over(by_key)).where("length > 1").drop("length")
     entries = write_table(entries, "entries")
 
-    # Each member with the list's smallest set, or the one before it where that is too small.
+    # Lists of subsets link all their members to their smallest set.
     member = F.struct("n", "cls", "pos")
-    centre = entries.groupBy("key").agg(F.min(member).alias("least"))
-    before = F.lag(member).over(by_key.orderBy("n", "cls", "pos"))
-    other = F.when(F.col("least.n") * 4 >= F.col("n") * 3, F.col("least")).otherwise(F.col("before"))
-    stars = (entries.withColumn("before", before).join(centre, "key").withColumn("other", other)
-             .where(F.col("other.cls") != F.col("cls")).where((F.col("pos") < 0) | _may_link("other.", ""))
-             .select(F.least("cls", "other.cls").alias("a"), F.greatest("cls", "other.cls").alias("b")).distinct())
+    light = entries.where("pos < 0")
+    stars = (light.join(light.groupBy("key").agg(F.min(member).alias("other")), "key").where(F.col("other.cls") != F.col("cls")).select("cls", "other"))
+    # In the others each member meets the one before it in an order by chance, of its own in every list;
+    # a class keeps ``PARTNERS`` of these at most, which join most of a large group of near copies.
+    chance = by_key.orderBy(F.xxhash64("cls", "key"), "cls")
+    met = (entries.where("pos >= 0").withColumn("other", F.lag(member).over(chance))
+           .where((F.col("other.cls") != F.col("cls")) & _may_link("other.", ""))
+           .groupBy("cls", F.pmod("key", F.lit(PARTNERS)).alias("slot")).agg(F.min_by("other", F.xxhash64("cls", "other.cls")).alias("other")).select("cls", "other"))
+    stars = stars.unionAll(met).select(F.least("cls", "other.cls").alias("a"), F.greatest("cls", "other.cls").alias("b")).distinct()
     first = components(_links(stars, docs, digests))
 
     # Lists that still hold more than one component: all their pairs of different ones.
