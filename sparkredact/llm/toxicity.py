@@ -226,7 +226,8 @@ def _scores(texts: list[str | None], model: Model, memo: Emissions, with_spans:
     chain = Chain(np.array([len(f) for f in found], np.int64))
     emission = np.fromiter((memo[w] for f in found for w in f), np.float64, int(chain.sizes.sum()))
     marginal = chain.marginals(emission, model.trans, model.start)[0]
-    score = 1 / (1 + np.exp(-np.clip(model.summary(marginal, chain) @ model.document, -30, 30)))
+    # Rounded: sums may differ in the last place with a text's place in its batch.
+    score = np.round(1 / (1 + np.exp(-np.clip((model.summary(marginal, chain) * model.document).sum(axis=1), -30, 30))), 12)
     if with_spans:
         marked = np.flatnonzero(marginal >= 0.5)
         owner = np.searchsorted(chain.starts, marked, side="right") - 1
