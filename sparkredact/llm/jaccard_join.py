@@ -120,7 +120,7 @@ def _digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 sizes.append(n)
                 sketches.append(sketch(own))
                 fps.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-                if len(common) and n > LARGEST_LIGHT:
+                if len(common):  # one order for all sets: light ones meet heavy ones in the lists
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     own = own[np.lexsort((own, np.where(common[at] == own, times[at], 0)))]
                 leads.append(own[:n if n <= LARGEST_LIGHT else probe_length(n)].tobytes())

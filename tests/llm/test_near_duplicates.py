@@ -76,6 +76,17 @@ def test_join_is_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in found.items() if c == i)
 
 
+def test_light_sets_meet_heavy_ones_despite_a_frequent_phrase(spark):
+    rng = random.Random(11)
+    phrase, texts = words(rng, 10), []
+    for i in range(48):  # 10 to 12 shingles, six of them of the phrase, and the same text with one to four words more
+        t = words(rng, 4 + i % 3, 100_000) + " " + phrase
+        texts += [t, t + " " + words(rng, 1 + i % 4, 100_000)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, texts)).collect()}
+    assert {n for n, _ in found.values()} >= set(range(10, 16))
+    assert found == brute(list(enumerate(texts)))
+
+
 def test_join_of_null_ids_repeats_and_nothing(spark):
     docs = documents(spark, ["a b c d e f g"] * 3 + ["p q r s t u v"])
     null = docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))
