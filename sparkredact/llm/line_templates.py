@@ -6,9 +6,9 @@ position are the template and the rest are variable fields; lines near enough to
 it belong to it, others are templates of their own.  A template that recurs in
 documents which are otherwise their own is boilerplate and its lines are dropped.
 
-Copies and near copies of a document repeat most of its lines: documents count by
-the hash of their text, and only those of whose lines at most a given share recur
-speak for a template, so copies are left to the operators for them.
+Copies and near copies of a document repeat most of its lines: a group of texts
+that the Jaccard join links is one voice, however many texts it has, and a template
+recurs if enough voices hold it, whatever share of each text it makes up.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkredact.llm import jaccard_join
 from sparkredact.llm.common import write_table
 
 _BLANKS = " \t\x0b\x0c\r"
@@ -42,11 +43,10 @@ def _masked_lines(text: Column) -> Column:
 
 
 def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """Per text and mask once: doc (hash of the text), lines (how many masks the text has), mask, leaf."""
+    """Per text and mask once: doc (hash of the text), mask, leaf."""
     rows = _lines(texts, leading, min_tokens)
-    rows = rows.select("_doc", F.array_distinct(F.filter("_lines", lambda x: x.isNotNull())).alias("each")).where(F.size("each") > 0)
-    return (rows.select(F.col("_doc").alias("doc"), F.size("each").alias("lines"), F.explode("each").alias("line"))
-            .select("doc", "lines", "line.mask", "line.leaf"))
+    rows = rows.select("_doc", F.array_distinct(F.filter("_lines", lambda x: x.isNotNull())).alias("each"))
+    return rows.select(F.col("_doc").alias("doc"), F.explode("each").alias("line")).select("doc", "line.mask", "line.leaf")
 
 
 def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> DataFrame:
@@ -71,36 +71,41 @@ def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens:
             .select("mask", F.xxhash64("leaf", F.lit("template")).alias("template")))
 
 
-def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int, own: float) -> tuple[DataFrame, DataFrame]:
-    """Lines to drop, as (doc, mask), and the templates that recur, as (template, docs, speaking)."""
+def _voices(texts: DataFrame, carriers: DataFrame) -> DataFrame:
+    """doc, voice: the least text of the group of copies and near copies that a carrier (doc) is in."""
+    held = texts.join(carriers, F.col("_doc") == F.col("doc"), "left_semi")
+    found = jaccard_join.join(held, "_doc", "_text")
+    return write_table(found.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("voice")).distinct(), "voices")
+
+
+def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Lines to drop, as (doc, mask), and the templates that recur, as (template, voices)."""
     entries = write_table(_entries(texts, leading, min_tokens).distinct(), "lines")
     general = write_table(_generalised(texts, entries, leading, min_tokens, likeness, min_docs), "templates")
     placed = entries.join(general, "mask", "left").withColumn("template", F.coalesce("template", "mask"))
     # A text counts once for a template, whichever of its lines belong to it.
-    several = placed.groupBy("template", "doc").agg(F.first("lines")).groupBy("template").agg(F.count("*").alias("docs")).where("docs > 1")
-    shared = write_table(placed.join(several, "template").select("doc", "lines", "mask", "template", "docs"), "shared-lines")
-    speaking = shared.groupBy("doc", "lines").agg(F.count("*").alias("shared")).where(F.col("shared") <= own * F.col("lines")).select("doc")
-    found = (shared.join(speaking, "doc").groupBy("template", "doc").agg(F.first("docs").alias("docs"))
-             .groupBy("template").agg(F.first("docs").alias("docs"), F.count("*").alias("speaking"))
-             .where((F.col("speaking") >= min_docs) & (F.col("speaking") >= own * F.col("docs"))))
+    several = placed.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    shared = write_table(placed.join(several, "template", "left_semi").select("doc", "mask", "template"), "shared-lines")
+    voices = _voices(texts, write_table(shared.select("doc").distinct(), "carriers"))
+    found = (shared.join(voices, "doc").select("template", "voice").distinct().groupBy("template").agg(F.count("*").alias("voices"))
+             .where(F.col("voices") >= min_docs))
     found = write_table(found, "recurring")
     return shared.join(found, "template", "left_semi").select("doc", "mask"), found
 
 
 def drop_recurring(docs: DataFrame, text_col: str = "text", leading: int = 3, min_tokens: int = 5, likeness: float = 0.75,
-                   min_docs: int = 3, own: float = 0.5, count_col: str | None = None) -> DataFrame:
+                   min_docs: int = 3, count_col: str | None = None) -> DataFrame:
     """``docs``, all columns, without the lines of recurring templates in ``text_col``.
 
-    A text speaks for its templates if at most the share ``own`` of its lines
-    are in other texts too.  A template recurs if at least ``min_docs`` texts
-    speak for it, and these are at least the share ``own`` of those with it.  Lines
+    A template recurs if texts of at least ``min_docs`` groups have it; copies and
+    near copies (five-word shingles of similarity 0.75) are one group.  Lines
     of fewer than ``min_tokens`` tokens stay.  Null texts stay null, a text whose
     lines all go becomes empty, and every row is kept; repeated rows are cleaned
     alike.  ``count_col`` names a column for the number of dropped lines.
     """
     doc = F.xxhash64(text_col, F.length(text_col))
     texts = docs.select(doc.alias("_doc"), docs[text_col].alias("_text")).where("_text is not null")
-    gone, _ = recurring(texts, leading, min_tokens, likeness, min_docs, own)
+    gone, _ = recurring(texts, leading, min_tokens, likeness, min_docs)
     # Bounded by the lines of one text.
     gone = gone.groupBy("doc").agg(F.collect_set("mask").alias("masks")).select(F.col("doc").alias("_doc"), F.col("masks").alias("_masks"))
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")

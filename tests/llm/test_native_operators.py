@@ -114,6 +114,35 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert line_templates.drop_recurring(empty(docs)).count() == 0
 
 
+def dropped(spark, texts):
+    rows = line_templates.drop_recurring(documents(spark, texts)).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_near_copies_are_one_voice_and_shares_do_not_matter(spark):
+    rng = random.Random(12)
+    line = lambda n=20: words(rng, n, 100_000)
+    hot, page, most, brief, inner = line(), [line() for _ in range(5)], [line(), line()], [line(), line()], line()
+    texts, want = [], []
+
+    def add(kept, lines):
+        texts.append("\n".join(lines))
+        want.append("\n".join(kept))
+
+    for i in range(12):  # near copies of one page, with a passage that four other pages have
+        x = list(page)
+        x[i % 5] = " ".join("changed" + "abcdefghijkl"[i] if k == i else w for k, w in enumerate(x[i % 5].split()))
+        add([*x, inner], [*x, hot, inner])
+    for _ in range(4):
+        own = [line() for _ in range(3)]
+        add(own, [own[0], hot, *own[1:]])
+        own = [line()]
+        add(own, [*most, *own])  # two lines of a passage and one of its own
+        own = [line(4) for _ in range(5)]
+        add(own, [*brief, *own])  # no long line of its own
+    assert dropped(spark, texts) == want
+
+
 def host_counts(text):
     ws = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
