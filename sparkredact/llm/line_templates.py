@@ -27,11 +27,11 @@ BROADCAST_ROWS = 300_000
 def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
     """Adds ``_lines``: for each line of the text its mask (hash of the masked line), leaf and, if short, null.
 
-    Tokens are what blanks and tabs part; a line's leaf is their number and its
-    first ``leading`` ones.  Digits are masked in the whole text at once.
+    Tokens are what runs of blanks and tabs part; a line's leaf is their number and
+    its first ``leading`` ones.  Digits and runs are masked in the whole text at once.
     """
     def line(x):
-        tokens = F.length(x) - F.length(F.translate(x, _BLANKS, "")) + 1
+        tokens = _tokens(x)
         return F.when(tokens >= min_tokens, F.struct(F.xxhash64(x).alias("mask"), F.xxhash64(tokens, F.substring_index(x, " ", leading)).alias("leaf")))
 
     rows = rows.withColumn("_masked", _masked_lines(F.col("_text")))
@@ -39,7 +39,13 @@ def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
 
 
 def _masked_lines(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(text, "[0-9]+", "#"), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)))
+    """Lines of the text, digits masked, trimmed, each run of blanks and tabs one blank."""
+    text = F.translate(F.regexp_replace(text, "[0-9]+", "#"), _BLANKS, " " * len(_BLANKS))
+    return F.transform(F.split(F.regexp_replace(text, "  +", " "), "\n"), lambda x: F.btrim(x))
+
+
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
 def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
@@ -59,7 +65,7 @@ def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens:
     rows = rows.select(F.col("x._lines.mask").alias("mask"), F.col("x._masked").alias("line")).where("mask is not null")
     rows = rows.join(F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks, "mask").groupBy("mask").agg(
         F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("total").alias("total"), F.min("line").alias("line"))
-    tokens = F.split("line", "[" + _BLANKS + "]")
+    tokens = F.split("line", " ")
     rows = write_table(rows.withColumn("tokens", tokens).drop("line"), "leaf-lines")
     counts = (rows.select("leaf", "n", "total", F.posexplode("tokens").alias("pos", "token"))
               .groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("total").alias("total")))
@@ -113,7 +119,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", leading: int = 3, mi
     lines = F.split("_text", "\n")
     short = F.lit(min_tokens)
     kept = F.filter(F.arrays_zip(lines.alias("raw"), _masked_lines(F.col("_text")).alias("masked")), lambda x: ~(
-        (F.length(x.masked) - F.length(F.translate(x.masked, _BLANKS, "")) + 1 >= short) & F.array_contains("_masks", F.xxhash64(x.masked))))
+        (_tokens(x.masked) >= short) & F.array_contains("_masks", F.xxhash64(x.masked))))
     clean = F.when(F.col("_masks").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda x: x.raw), "\n"))
     rows = rows.withColumn("_clean", clean)
     out = [F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]

@@ -143,6 +143,17 @@ def test_near_copies_are_one_voice_and_shares_do_not_matter(spark):
     assert dropped(spark, texts) == want
 
 
+def test_white_space_does_not_part_lines(spark):
+    rng = random.Random(13)
+    passage, texts, want = words(rng, 20).split(), [], []
+    for i, blank in enumerate([" ", "  ", "\t", " \t  "]):
+        own = [words(rng, 20, 100_000) for _ in range(3)]
+        field = "".join(rng.choice("abcdefgh") for _ in range(9))
+        texts.append("\n".join([own[0], blank.join(passage), own[1], blank.join(f"Posted by user {field} in the evening of this day".split()), "aa   bb \t cc", own[2]]))
+        want.append("\n".join([*own[:2], "aa   bb \t cc", own[2]]))
+    assert dropped(spark, texts) == want
+
+
 def host_counts(text):
     ws = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
