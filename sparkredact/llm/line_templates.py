@@ -3,7 +3,7 @@
 A line's digits are masked; its leaf is its token count and its leading tokens.
 In a leaf that holds several lines the tokens most of them share position by
 position are the template and the rest are variable fields; lines near enough to
-it belong to it, others are templates of their own.  A template that recurs in
+it belong to it, the others part by a frequent token and grow templates in turn.  A template that recurs in
 documents which are otherwise their own is boilerplate and its lines are dropped.
 
 Copies and near copies of a document repeat most of its lines: a group of texts
@@ -13,6 +13,8 @@ recurs if enough voices hold it, whatever share of each text it makes up.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
 
 
 def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> DataFrame:
-    """mask, template: lines that belong to the template of a leaf with several lines."""
+    """mask, template: lines that belong to one of the templates of a leaf with several lines."""
     masks = entries.groupBy("leaf", "mask").agg(F.count("*").alias("n"))
     several = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("total")).where((F.col("masks") > 1) & (F.col("total") >= min_docs))
     masks = write_table(masks.join(several.drop("masks"), "leaf"), "shared-leaves")
@@ -66,15 +68,41 @@ def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens:
     rows = rows.join(F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks, "mask").groupBy("mask").agg(
         F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("total").alias("total"), F.min("line").alias("line"))
     tokens = F.split("line", " ")
-    rows = write_table(rows.withColumn("tokens", tokens).drop("line"), "leaf-lines")
+    rows = write_table(rows.select("leaf", "mask", "n", "total", tokens.alias("tokens")), "leaf-lines")
+    found = []
+    while not rows.isEmpty():
+        done, rows = _round(rows, likeness, min_docs)
+        found.append(done)
+    return reduce(DataFrame.unionAll, found) if found else rows.select("mask", F.lit(0).cast("long").alias("template"))
+
+
+def _round(rows: DataFrame, likeness: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """mask, template of the lines near the majority of their leaf, and the others in smaller leaves.
+
+    The others part by their token at the position of the most frequent token
+    outside the majority; rare tokens there stay together.  That position then
+    never parts them again, so rounds end.
+    """
     counts = (rows.select("leaf", "n", "total", F.posexplode("tokens").alias("pos", "token"))
-              .groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("total").alias("total")))
-    common = (counts.where(2 * F.col("n") > F.col("total")).groupBy("leaf")
-              .agg(F.collect_list(F.struct("pos", "token")).alias("shared")))  # one token a position at most
+              .groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+              .withColumn("major", 2 * F.col("n") > F.col("total")).where(F.col("major") | (F.col("n") >= min_docs)))
+    counts = write_table(counts, "leaf-tokens")
+    forms = counts.groupBy("leaf").agg(
+        F.collect_list(F.when(F.col("major"), F.struct("pos", "token"))).alias("shared"),  # one token a position at most
+        F.max(F.when(~F.col("major"), F.struct("n", (-F.col("pos")).alias("at")))).alias("next"))
+    forms = forms.withColumn("at", -F.col("next.at")).drop("next")
     own = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
     hits = F.size(F.array_intersect(own, "shared"))
-    return (rows.join(common, "leaf").where(hits >= likeness * F.size("tokens"))
-            .select("mask", F.xxhash64("leaf", F.lit("template")).alias("template")))
+    judged = rows.join(forms, "leaf", "left").withColumn("near", F.coalesce(hits >= likeness * F.size("tokens"), F.lit(False)))
+    judged = write_table(judged.drop("shared"), "leaf-judged")
+    done = judged.where("near").select("mask", F.xxhash64("leaf", F.lit("template")).alias("template"))
+    left = judged.where("not near and at is not null").withColumn("token", F.get("tokens", F.col("at")))
+    frequent = counts.where(F.col("n") >= min_docs).select("leaf", F.col("pos").alias("at"), "token", F.lit(True).alias("frequent"))
+    left = left.join(frequent, ["leaf", "at", "token"], "left")
+    left = left.withColumn("leaf", F.xxhash64("leaf", "at", F.when(F.col("frequent"), F.col("token")), F.coalesce("frequent", F.lit(False))))
+    left = write_table(left.select("leaf", "mask", "n", "tokens"), "leaf-rest")
+    several = left.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("total")).where((F.col("masks") > 1) & (F.col("total") >= min_docs))
+    return done, write_table(left.join(several.drop("masks"), "leaf").select(*rows.columns), "leaf-lines")
 
 
 def _voices(texts: DataFrame, carriers: DataFrame) -> DataFrame:

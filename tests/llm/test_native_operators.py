@@ -154,6 +154,21 @@ def test_white_space_does_not_part_lines(spark):
     assert dropped(spark, texts) == want
 
 
+def test_a_leaf_grows_several_templates(spark):
+    rng = random.Random(14)
+    formats = ["The account of {} was opened by the clerk today", "The account of {} has moved to another branch now",
+               "The account of {} is closed until further written notice", "The notes on {} were read aloud to all members"]
+    exact = "The notes on everyone else remain as they ever were"
+    texts, want = [], []
+    for i in range(24):  # three formats of a third each; one behind a frequent exact line
+        own = [words(rng, 20, 100_000) for _ in range(3)]
+        name = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+        lines = [formats[i % 3].format(name()), formats[3].format(name()) if i < 6 else exact]
+        texts.append("\n".join([own[0], lines[0], own[1], lines[1], own[2]]))
+        want.append("\n".join(own))
+    assert dropped(spark, texts) == want
+
+
 def host_counts(text):
     ws = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
