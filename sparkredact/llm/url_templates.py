@@ -1,7 +1,7 @@
 """URL filter: fixed host and path rules first, then a path-template tree per host.
 
-Level by level a host's paths become templates: a segment that holds little of
-its parent's urls is variable and turns into ``*``, the others stay.  Sibling
+Level by level a host's paths become templates: a segment with few urls and labels
+among many such siblings is variable and turns into ``*``, the others stay.  Sibling
 templates that differ in their last plain segment and whose labelled shares
 don't differ significantly are merged, and a merged template whose smoothed share
 of bad labels is high is rejected.  All steps are joins and aggregates over
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from sparkredact.llm.common import write_table
 
-# Segments beyond this depth count as one.
-MAX_DEPTH = 6
-# A plain segment holds at least this share of its parent's urls, and two of them.
-PLAIN_SHARE, PLAIN_URLS = 0.05, 2
+# A segment is plain with this many urls or labelled ones, whatever its share; and with two urls
+# where its parent's children vary little: as many urls a child, or more, on average.
+PLAIN_URLS, PLAIN_LABELS, FEW_URLS = 10, 4, 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,29 +43,39 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _segments(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    deep = F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.array_join(F.slice(parts, MAX_DEPTH, F.greatest(F.size(parts), F.lit(1))), "/")))
-    return F.when(F.size(parts) > MAX_DEPTH, deep).otherwise(parts)
+    return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, segments, n, bad, good) with their ``template``."""
-    now = write_table(paths.withColumn("template", F.lit("")).withColumn("plain", F.lit(0)), "paths")
-    for depth in range(1, (now.agg(F.max(F.size("segments"))).first()[0] or 0) + 1):
-        deep = now.where(F.size("segments") >= depth).withColumn("segment", F.col("segments")[depth - 1])
-        children = deep.groupBy("host", "template", "segment").agg(F.sum("n").alias("here"))
-        parents = deep.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        # At most 1 / PLAIN_SHARE of a parent's children are plain.
-        plain = (children.join(parents, ["host", "template"])
-                 .where((F.col("here") >= PLAIN_URLS) & (F.col("here") >= PLAIN_SHARE * F.col("all")))
+    """``paths`` (host, segments, n, bad, good) with their ``template``.
+
+    A level is a round; rounds end where no node holds two urls, so the longest
+    path that two urls share sets their number.
+    """
+    now = write_table(paths.withColumn("template", F.lit("")).withColumn("plain", F.lit(0)).withColumn("open", F.lit(True)), "paths")
+    depth = 0
+    while not (deep := now.where(F.col("open") & (F.size("segments") > depth))).isEmpty():
+        depth += 1
+        deep = deep.withColumn("segment", F.col("segments")[depth - 1])
+        children = deep.groupBy("host", "template", "segment").agg(F.sum("n").alias("here"), F.sum(F.col("bad") + F.col("good")).alias("labelled"))
+        children = write_table(children, "children")
+        parents = children.groupBy("host", "template").agg(F.sum("here").alias("all"), F.count("*").alias("kinds"))
+        nodes = children.join(parents, ["host", "template"])
+        steady = (F.col("here") >= FEW_URLS) & (F.col("all") >= FEW_URLS * F.col("kinds"))
+        plain = (nodes.where((F.col("here") >= PLAIN_URLS) | (F.col("labelled") >= PLAIN_LABELS) | steady)
                  .select("host", "template", "segment", F.lit(True).alias("is_plain")))
+        # What is below a node with one url is variable to its end.
+        single = parents.where(F.col("all") < 2).select("host", "template", F.lit(True).alias("single"))
+        at = F.col("open") & (F.size("segments") >= depth)
         moved = (now.withColumn("segment", F.get("segments", F.lit(depth - 1))).join(plain, ["host", "template", "segment"], "left")
-                 .withColumn("part", F.when(F.col("is_plain"), F.col("segment")).otherwise("*")))
+                 .join(single, ["host", "template"], "left").withColumn("part", F.when(F.col("is_plain"), F.col("segment")).otherwise("*")))
+        rest = F.when(F.col("single") & F.col("is_plain").isNull(), F.repeat(F.lit("/*"), F.size("segments") - depth + 1)).otherwise(F.concat(F.lit("/"), "part"))
         now = write_table(moved.select(
             "host", "segments", "n", "bad", "good",
-            F.when(F.size("segments") >= depth, F.concat("template", F.lit("/"), "part")).otherwise(F.col("template")).alias("template"),
-            F.when((F.size("segments") >= depth) & F.col("is_plain"), depth).otherwise(F.col("plain")).alias("plain")), "paths")
-    return now
+            F.when(at, F.concat("template", rest)).otherwise(F.col("template")).alias("template"),
+            F.when(at & F.col("is_plain"), depth).otherwise(F.col("plain")).alias("plain"),
+            (F.col("open") & ~F.coalesce(at & F.col("single"), F.lit(False))).alias("open")), "paths")
+    return now.drop("open")
 
 
 def judged(found: DataFrame, strength: float, limit: float, z: float) -> DataFrame:
@@ -81,17 +90,21 @@ def judged(found: DataFrame, strength: float, limit: float, z: float) -> DataFra
     family = F.when(F.col("plain") > 0, F.array_join(F.transform(parts, lambda x, i: F.when(i == F.col("plain"), "{}").otherwise(x)), "/")).otherwise(F.col("template"))
     rate = (F.col("bad") + strength * prior) / (labelled + strength)
     tops = tops.withColumn("family", family).withColumn("known", labelled > 0).withColumn("rate", rate)
-    # A family's size is bounded by the plain children a parent may have.
-    order = Window.partitionBy("host", "family", "known").orderBy("rate", "template")
+    # Siblings of equal counts are alike, so a family is ordered by its distinct counts.
+    alike = ["host", "family", "known", "bad", "good"]
+    kinds = tops.groupBy(*alike).agg(F.min("template").alias("least"), F.count("*").alias("many"), F.first("rate").alias("rate"))
+    kinds = kinds.withColumn("one", F.struct("rate", "least"))
+    order = Window.partitionBy("host", "family", "known").orderBy("one")
     n, p = labelled + strength, F.col("rate")
     error = F.sqrt(p * (1 - p) / n + F.lag(p).over(order) * (1 - F.lag(p).over(order)) / F.lag(n).over(order))
-    apart = F.when(F.lag("rate").over(order).isNull() | ~F.col("known"), 1).when(p - F.lag(p).over(order) > z * error, 1).otherwise(0)
-    tops = tops.withColumn("apart", apart).withColumn("place", F.sum("apart").over(order))
+    apart = F.when(F.lag("rate").over(order).isNull() | (p - F.lag(p).over(order) > z * error), 1).otherwise(0)
+    kinds = kinds.withColumn("apart", apart).withColumn("place", F.sum("apart").over(order))
     branch = Window.partitionBy("host", "family", "known", "place")
-    sums = F.sum("bad").over(branch), F.sum(labelled).over(branch)
+    sums = F.sum(F.col("bad") * F.col("many")).over(branch), F.sum(labelled * F.col("many")).over(branch)
     purity = (sums[0] + strength * prior) / (sums[1] + strength)
-    return tops.select("host", "template", F.min("template").over(branch).alias("branch"), purity.alias("purity"),
-                       ((sums[1] > 0) & (purity >= limit)).alias("rejected"))
+    kinds = kinds.select(*alike, F.min("least").over(branch).alias("branch"), purity.alias("purity"), ((sums[1] > 0) & (purity >= limit)).alias("rejected"))
+    # Unlabelled siblings are never merged.
+    return tops.join(kinds, alike).select("host", "template", F.when(F.col("known"), F.col("branch")).otherwise(F.col("template")).alias("branch"), "purity", "rejected")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, strength: float = 4.0,

@@ -114,6 +114,19 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert line_templates.drop_recurring(empty(docs)).count() == 0
 
 
+def test_small_and_deep_sections_are_judged_by_their_own_labels(spark):
+    urls = [f"http://h.org/s{'abcdefghijklmnopqrstuvwxyz'[k]}/{k}-{i}" for k in range(26) for i in range(20)]  # each under 5%
+    deep = [f"http://d.org/a/b/c/d/e/f/g/{part}/{i}" for part in ("bad", "good") for i in range(20)]
+    lang = [f"http://w.net/{k}/p{i}" for k in ("es", "fr") for i in range(12)] + [f"http://w.net/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i}/p" for i in range(300)] + ["http://w.net/de/x", "http://w.net/it/y"]
+    pages = spark.createDataFrame(list(enumerate([*urls, *deep, *lang])), "page_id long, url string")
+    first, second = len(urls), len(urls) + len(deep)
+    bad = lambda i: int(i // 20 == 7) if i < first else int(i - first < 20) if i < second else int(i - second < 24)
+    labels = spark.createDataFrame([(i, bad(i)) for i in range(second + 24)], "page_id long, bad int")
+    rows = url_templates.filter_urls(pages, [], labels).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == {i for i in range(len(urls) + len(deep) + len(lang)) if bad(i)}
+    assert {r.template for r in rows if r.host == "d.org"} == {"/a/b/c/d/e/f/g/bad/*", "/a/b/c/d/e/f/g/good/*"}
+
+
 def dropped(spark, texts):
     rows = line_templates.drop_recurring(documents(spark, texts)).collect()
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
