@@ -31,7 +31,7 @@ from sparkredact.llm.common import write_table
 GROUPS = 13
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 # Words of a block, blocks, rows of searches dealt to one task, and words a task counts before it reports.
-BLOCK, MOST_BLOCKS, _DEALT, _HELD = 4096, 1 << 16, 1 << 16, 1 << 19
+BLOCK, MOST_BLOCKS, _DEALT, _HELD = 8192, 1 << 16, 1 << 18, 1 << 19
 
 
 def altered(doc_id: int | None, run: str, every: int = 31) -> str:
@@ -87,50 +87,48 @@ def _as_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
-def _within(surplus: np.ndarray, deficit: np.ndarray) -> np.ndarray:
-    return (surplus <= 1) & (deficit <= 1)
+def _spent(moved: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeks that may go on, with what they have spent: a surplus of one, then a
+    deficit of one.  A pair whose deficit comes first is found from its other word."""
+    up, down = surplus + np.maximum(moved, 0), deficit + np.maximum(-moved, 0)
+    ok = np.flatnonzero((up <= 1) & (down <= up))
+    return ok, up[ok], down[ok]
 
 
-def search(leaves: np.ndarray, seeks: np.ndarray, reached) -> None:
+def search(leaves: np.ndarray, seeks: np.ndarray, reached, few: int = 8) -> None:
     """Depth-first over the sorted ``leaves``, all of ``seeks`` together.
 
     Calls ``reached(lo, hi, who, surplus, deficit, depth)`` where a branch is a
-    leaf or has few: ``leaves[lo:hi]`` agree with the seeks ``who`` down to
+    leaf or has ``few``: ``leaves[lo:hi]`` agree with the seeks ``who`` down to
     ``depth`` within the budget they have spent.
     """
-    start = np.zeros(len(seeks), np.int16)
+    start = np.zeros(len(seeks), np.int8)
     todo = [(0, len(leaves), 0, np.arange(len(seeks)), start, start)]
+    columns = np.ascontiguousarray(seeks.T.astype(np.int16))
     while todo:
         lo, hi, depth, who, surplus, deficit = todo.pop()
-        if not len(who):
-            continue
-        if depth == GROUPS or hi - lo <= 4:
+        if depth == GROUPS or hi - lo <= few:
             reached(lo, hi, who, surplus, deficit, depth)
             continue
         level = leaves[lo:hi, depth]
         cuts = [0, *(np.flatnonzero(level[1:] != level[:-1]) + 1).tolist(), hi - lo]
-        own = seeks[who, depth].astype(np.int16)
+        own = columns[depth, who]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            moved = int(level[a]) - own
-            up, down = surplus + np.maximum(moved, 0), deficit + np.maximum(-moved, 0)
-            ok = np.flatnonzero(_within(up, down))
-            todo.append((lo + a, lo + b, depth + 1, who[ok], up[ok], down[ok]))
+            ok, up, down = _spent(int(level[a]) - own, surplus, deficit)
+            if len(ok):
+                todo.append((lo + a, lo + b, depth + 1, who[ok], up.astype(np.int8), down.astype(np.int8)))
 
 
-def _blocks_of(seeks: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks_of(seeks: np.ndarray, firsts: list[bytes], lasts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(seek, block) for every block with a path that a seek reaches within its budget.
 
     Walks the paths between each block's first and last depth-first: a child of a
     branch is a count, and the blocks that hold it are an interval.
     """
-    n = len(firsts)
-    start = np.zeros(len(seeks), np.int16)
-    todo = [(0, n, 0, b"", np.arange(len(seeks)), start, start)]
-    keys_first, keys_last = [bytes(f) for f in firsts], [bytes(x) for x in lasts]
+    start = np.zeros(len(seeks), np.int8)
+    todo = [(0, len(firsts), 0, b"", np.arange(len(seeks)), start, start)]
     while todo:
         lo, hi, depth, prefix, who, surplus, deficit = todo.pop()
-        if not len(who):
-            continue
         if depth == GROUPS or hi - lo == 1:
             for block in range(lo, hi):
                 yield who, np.full(len(who), block)
@@ -139,45 +137,63 @@ def _blocks_of(seeks: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iter
         for count in np.unique(np.clip(np.concatenate([own - 1, own, own + 1]), 0, 255)).tolist():
             branch = prefix + bytes([count])
             # Blocks whose interval of paths meets those that begin with ``branch``.
-            a = bisect_left(keys_last, branch, lo, hi)
-            b = bisect_right(keys_first, branch + b"\xff" * (GROUPS - depth - 1), lo, hi)
-            if a >= b:
-                continue
-            moved = count - own
-            up, down = surplus + np.maximum(moved, 0), deficit + np.maximum(-moved, 0)
-            ok = np.flatnonzero(_within(up, down))
-            todo.append((a, b, depth + 1, branch, who[ok], up[ok], down[ok]))
+            a = bisect_left(lasts, branch, lo, hi)
+            b = bisect_right(firsts, branch + b"\xff" * (GROUPS - depth - 1), lo, hi)
+            if a < b:
+                ok, up, down = _spent(count - own, surplus, deficit)
+                if len(ok):
+                    todo.append((a, b, depth + 1, branch, who[ok], up.astype(np.int8), down.astype(np.int8)))
+
+
+# Letters of the words that are kept as rows; longer words are cut out of their text as needed.
+_SHORT = 32
 
 
-def _letters(words: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+class _Words:
+    """Words as rows of letters."""
 
+    def __init__(self, words: list[str]):
+        raw = [w.encode("latin-1") for w in words]
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
+        self.short = np.frombuffer(b"".join(r[:_SHORT].ljust(_SHORT, b"\0") for r in raw), np.uint8).reshape(-1, _SHORT)
 
-def one_apart(short: list[bytes], long: list[bytes]) -> np.ndarray:
-    """Whether each pair differs by exactly one letter replaced, or inserted into the first."""
-    out = np.zeros(len(short), bool)
-    sizes = np.array([(len(a), len(b)) for a, b in zip(short, long)]).reshape(-1, 2)
-    by = np.argsort(sizes[:, 1], kind="stable")
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The words ``at``, filled with 0 to ``width``."""
+        if width <= _SHORT:
+            return self.short[at, :width]
+        n = np.arange(width)
+        inside = n < self.sizes[at, None]
+        return np.where(inside, self.letters[np.minimum(self.starts[at, None] + n, len(self.letters) - 1)], 0)
+
+
+def one_apart(short: _Words, x: np.ndarray, long: _Words, y: np.ndarray, same_path: np.ndarray | None = None) -> np.ndarray:
+    """Whether each pair differs by exactly one letter replaced, or inserted into the
+    first.  Replaced pairs under the same path count only from the smaller word."""
+    out = np.zeros(len(x), bool)
+    by = np.argsort(long.sizes[y], kind="stable")
     at = 0
     while at < len(by):
-        # A slice of words of like length, bounded in letters.
-        width = int(sizes[by[at], 1])
-        most = max(1, (1 << 20) // max(width, 1))
-        part = by[at:at + most]
-        part = part[sizes[part, 1] <= 2 * width]
+        width = int(long.sizes[y[by[at]]])
+        part = by[at:at + max(1, (1 << 20) // max(width, 1))]
+        part = part[long.sizes[y[part]] <= 2 * width + 8]
         at += len(part)
-        width = int(sizes[part[-1], 1])
-        a, b = _letters([short[i] for i in part], width), _letters([long[i] for i in part], width)
+        width = int(long.sizes[y[part[-1]]])
+        a, b = short.rows(x[part], width), long.rows(y[part], width)
+        n_a, n_b = short.sizes[x[part]], long.sizes[y[part]]
         differ = a != b
-        same = sizes[part, 0] == sizes[part, 1]
-        replaced = same & (differ.sum(axis=1) == 1)
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        replaced = (n_a == n_b) & (differ.sum(axis=1) == 1)
+        if same_path is not None:
+            k = np.arange(len(part))
+            less = a[k, np.minimum(first, width - 1)] < b[k, np.minimum(first, width - 1)]
+            replaced &= less | ~same_path[part]
         # Up to the first difference they agree; past it the longer one is shifted by one.
-        n = np.arange(width)
-        before = np.where(differ.any(axis=1), differ.argmax(axis=1), width)[:, None]
         shifted = np.zeros_like(a)
         shifted[:, 1:] = a[:, :-1]
-        rest = ((n > before) & (shifted != b)).any(axis=1)
-        out[part] = replaced | ((sizes[part, 0] + 1 == sizes[part, 1]) & ~rest)
+        rest = ((np.arange(width) > first[:, None]) & (shifted != b)).any(axis=1)
+        out[part] = replaced | ((n_a + 1 == n_b) & ~rest)
     return out
 
 
@@ -186,40 +202,38 @@ def _pairs(seeks: pa.Table, leaves: pa.Table) -> pa.Table:
     none = pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "n_a": pa.array([], pa.int64()), "n_b": pa.array([], pa.int64())})
     if not seeks.num_rows or not leaves.num_rows:
         return none
-    leaves = leaves.sort_by([("path", "ascending"), ("word", "ascending")])
+    leaves, seeks = leaves.sort_by("path"), seeks.sort_by("path")
     own, other = _as_rows(leaves["path"]), _as_rows(seeks["path"])
-    words, wanted = ([w.encode("latin-1") for w in t["word"].to_pylist()] for t in (leaves, seeks))
-    size, size_wanted = (np.array([len(w) for w in x]) for x in (words, wanted))
+    words, wanted = _Words(leaves["word"].to_pylist()), _Words(seeks["word"].to_pylist())
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    open_pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_held = 0
 
     def verify():
-        x, y = (np.concatenate([p[i] for p in open_pairs]) for i in (0, 1))
-        ok = one_apart([wanted[i] for i in x], [words[i] for i in y])
+        x, y, same = (np.concatenate([p[i] for p in held]) for i in (0, 1, 2))
+        ok = one_apart(wanted, x, words, y, same)
         found.append((x[ok], y[ok]))
-        open_pairs.clear()
+        held.clear()
 
     def reached(lo, hi, who, surplus, deficit, depth):
-        nonlocal held
-        moved = own[lo:hi, None, depth:].astype(np.int16) - other[None, who, depth:]
-        up = surplus + np.maximum(moved, 0).sum(axis=2)
-        down = deficit + np.maximum(-moved, 0).sum(axis=2)
-        longer = size[lo:hi, None] - size_wanted[None, who]
-        leaf, seek = np.nonzero(_within(up, down) & ((longer == 0) | (longer == 1)))
-        leaf, seek = leaf + lo, who[seek]
-        # A pair of equal length is found from its smaller word, others from the shorter one.
-        keep = np.fromiter((len(words[i]) > len(wanted[j]) or wanted[j] < words[i] for i, j in zip(leaf, seek)), bool, len(leaf))
-        open_pairs.append((seek[keep], leaf[keep]))
-        held += int(keep.sum())
-        if held >= 1 << 16:
+        nonlocal n_held
+        for at in range(lo, hi, 64):
+            part = np.arange(at, min(at + 64, hi))
+            moved = own[part, None, depth:].astype(np.int8) - other[None, who, depth:].astype(np.int8)
+            up, down = (moved > 0).sum(axis=2) + surplus, (moved < 0).sum(axis=2) + deficit
+            longer = words.sizes[part, None] - wanted.sizes[None, who]
+            ok = (up <= 1) & (down <= up) & ((longer == 0) | (longer == 1))
+            if depth < GROUPS:  # a deficit never before the surplus
+                ok &= np.cumsum(moved, axis=2, dtype=np.int8).min(axis=2) + surplus - deficit >= 0
+            leaf, seek = np.nonzero(ok)
+            held.append((who[seek], part[leaf], (up + down)[leaf, seek] == 0))
+            n_held += len(leaf)
+        if n_held >= 1 << 17:
             verify()
-            held = 0
+            n_held = 0
 
-    for at in range(0, len(other), 8192):  # bounds the arrays of a step
-        part = np.arange(at, min(at + 8192, len(other)))
-        search(own, other[part], lambda lo, hi, who, s, d, depth: [reached(l, min(l + 64, hi), part[who], s, d, depth) for l in range(lo, hi, 64)])
-    if open_pairs:
+    search(own, other, reached)
+    if held:
         verify()
     if not found:
         return none
@@ -242,7 +256,7 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
     # A row a block, so at most MOST_BLOCKS of them.
     listed = sorted(trie.groupBy("block").agg(F.min("path").alias("first"), F.max("path").alias("last")).collect(), key=lambda r: (bytes(r["first"]), bytes(r["last"])))
     numbers = np.array([r["block"] for r in listed], np.int32)
-    ends = spark.sparkContext.broadcast([np.frombuffer(b"".join(bytes(r[k]) for r in listed), np.uint8).reshape(-1, GROUPS) for k in ("first", "last")])
+    ends = spark.sparkContext.broadcast([[bytes(r[k]) for r in listed] for k in ("first", "last")])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
