@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from . import vocab
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def map_lit(pairs) -> Column:
-    """A literal MAP<STRING, STRING> column from (key, value) pairs."""
-    flat = []
-    for k, v in pairs:
-        flat += [F.lit(k), F.lit(v)]
-    return F.create_map(*flat)
+    """A literal map column from (key, value) pairs of strings, or of a string and a
+    list of strings; one expression, so that building it is one call of the JVM."""
+    shown = lambda v: _quoted(v) if isinstance(v, str) else "array(" + ", ".join(map(_quoted, v)) + ")"
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {shown(v)}" for k, v in pairs) + ")")
 
 
 def array_lit(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(map(_quoted, values)) + ")")
 
 
 def detector_category() -> Column:
@@ -36,10 +39,8 @@ def detector_entity_type() -> Column:
 
 def deny_terms_for(lang: Column) -> Column:
     """Deny-list terms for the common bucket plus ``lang``'s bucket."""
-    per_lang = F.create_map(*[x for lang_, terms in vocab.DENY_LIST.items() if lang_ != "common"
-                              for x in (F.lit(lang_), array_lit(terms))])
-    common = array_lit(vocab.DENY_LIST["common"])
-    return F.concat(common, F.coalesce(per_lang[lang], F.array().cast("array<string>")))
+    per_lang = map_lit([(of, terms) for of, terms in vocab.DENY_LIST.items() if of != "common"])
+    return F.concat(array_lit(vocab.DENY_LIST["common"]), F.coalesce(per_lang[lang], F.array().cast("array<string>")))
 
 
 def type_aliases() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims, vocab
+from .binding import let
 
 
 def _upper_role(role: Column, space_to_underscore: bool) -> Column:
@@ -45,10 +46,7 @@ def label_for(category: Column, entity_type: Column, role: Column) -> Column:
 
 def _translation_map() -> Column:
     """lower Italian key -> array(en, fr, de)."""
-    flat = []
-    for key, en, fr, de in vocab.LABEL_TRANSLATIONS:
-        flat += [F.lit(key), F.array(F.lit(en), F.lit(fr), F.lit(de))]
-    return F.create_map(*flat)
+    return dims.map_lit([(key, list(shown)) for key, *shown in vocab.LABEL_TRANSLATIONS])
 
 
 def _multi_token_keys() -> list[tuple[str, int]]:
@@ -63,23 +61,23 @@ def localise(label: Column, language: Column) -> Column:
     tmap = _translation_map()
     lang_idx = (F.when(language == "en", 1).when(language == "fr", 2)
                 .when(language == "de", 3))
-    multi = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in _multi_token_keys()])
-    toks = F.split(label, "_", -1)
-    ntok = F.size(toks)
-
-    def step(acc, i):
-        # first multi-token key whose window at i matches
-        hit = F.get(F.filter(multi, lambda m: (i + m["n"] - 1 <= ntok) & (
-            F.lower(F.array_join(F.slice(toks, i, m["n"]), "_")) == m["k"])), F.lit(0))
-        single = F.element_at(tmap[F.lower(F.element_at(toks, i))], lang_idx)
-        piece = F.when(hit.isNotNull(), F.element_at(tmap[hit["k"]], lang_idx)) \
-                 .otherwise(F.coalesce(single, F.element_at(toks, i)))
-        take = i >= acc["next"]
-        return F.struct(
-            F.when(take, i + F.coalesce(hit["n"], F.lit(1))).otherwise(acc["next"]).alias("next"),
-            F.when(take, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
-
-    init = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
-    translated = F.array_join(F.aggregate(F.sequence(F.lit(1), ntok), init, step)["out"], "_")
-    return F.when(lang_idx.isNull(), label).otherwise(translated)
+    multi = F.expr("array(" + ", ".join(f"named_struct('k', '{k}', 'n', {n})" for k, n in _multi_token_keys()) + ")")
+
+    def translated(toks):
+        def step(acc, i):
+            # first multi-token key whose window at i matches
+            hit = F.get(F.filter(multi, lambda m: (i + m["n"] - 1 <= F.size(toks)) & (
+                F.lower(F.array_join(F.slice(toks, i, m["n"]), "_")) == m["k"])), F.lit(0))
+
+            def placed(hit):
+                single = F.element_at(tmap[F.lower(F.element_at(toks, i))], lang_idx)
+                piece = F.when(hit.isNotNull(), F.element_at(tmap[hit["k"]], lang_idx)) \
+                         .otherwise(F.coalesce(single, F.element_at(toks, i)))
+                return F.struct((i + F.coalesce(hit["n"], F.lit(1))).alias("next"), F.array_append(acc["out"], piece).alias("out"))
+
+            return F.when(i >= acc["next"], let(hit, placed)).otherwise(acc)
+
+        init = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(F.sequence(F.lit(1), F.size(toks)), init, step)["out"], "_")
+
+    return F.when(lang_idx.isNull(), label).otherwise(let(F.split(label, "_", -1), translated))

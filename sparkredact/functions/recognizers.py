@@ -16,10 +16,12 @@ from typing import Callable, Optional
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import dims, vocab
 from . import checks
+from .binding import let
 
-# Characters of text before a match that are searched for context words.
+# Characters of text before a match that are searched for context words, by default:
+# our stand-in for a window of five words, see ``Recognizer.context_chars``.
 CONTEXT_WINDOW_CHARS = 50
 
 
@@ -36,6 +38,8 @@ class Recognizer:
     requires: Optional[str] = None
     # Every match contains a digit: rows without any digit skip the scan.
     needs_digit: bool = False
+    # How far before a match a context word may stand.
+    context_chars: int = CONTEXT_WINDOW_CHARS
 
 
 def _custom() -> list[Recognizer]:
@@ -102,15 +106,12 @@ def _offsets(text: Column, pattern: str, matches: Column) -> Column:
     return acc["out"]
 
 
-def context_hit(text: Column, start: Column, words: tuple) -> Column:
-    """True when a context word (case-insensitive) occurs in the
-    ``CONTEXT_WINDOW_CHARS`` characters before ``start`` (0-based)."""
-    lo = F.greatest(start - CONTEXT_WINDOW_CHARS, F.lit(0))
+def context_hit(text: Column, start: Column, words: tuple, chars: int = CONTEXT_WINDOW_CHARS) -> Column:
+    """True when a context word (case-insensitive) occurs in the ``chars``
+    characters before ``start`` (0-based)."""
+    lo = F.greatest(start - chars, F.lit(0))
     prefix = F.lower(F.substring(text, lo + 1, start - lo))
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | (F.instr(prefix, w.lower()) > 0)
-    return hit
+    return let(prefix, lambda p: F.exists(dims.array_lit([w.lower() for w in words]), lambda w: F.instr(p, w) > 0))
 
 
 def _to_struct(text: Column, r: Recognizer, rank: int):
@@ -135,7 +136,7 @@ def _boost(text: Column, r: Recognizer):
     def f(e):
         return e.withField(
             "score",
-            F.when(context_hit(text, e["start"], r.context),
+            F.when(context_hit(text, e["start"], r.context, r.context_chars),
                    F.least(e["score"] + F.lit(vocab.CONTEXT_BOOST), F.lit(1.0)))
             .otherwise(e["score"]))
     return f

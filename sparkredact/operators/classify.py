@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import dims, vocab
 
 # Stop-word profiles used to score the language of a text.  The reference
 # detects Italian, English, French and German (default Italian); the profile
@@ -36,7 +36,7 @@ def detect_language(text: Column, profiles: dict | None = None,
 
 
 def _in_list(words):
-    arr = F.array(*[F.lit(w) for w in words])
+    arr = dims.array_lit(words)
     return lambda t: F.array_contains(arr, t)
 
 

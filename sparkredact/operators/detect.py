@@ -10,8 +10,10 @@ Two shapes:
 
 from __future__ import annotations
 
-from typing import Iterable, Optional
+from functools import lru_cache
+from typing import Callable, Iterable, Iterator, Optional
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,10 @@ def detected_array(text: Column, lang: Column,
     """Array of detected entities for one document, in detection order."""
     raw = F.array_sort(R.match_array(text, recognizers, projected))   # by (first occurrence, rank, occ)
     ent = F.transform(raw, lambda e, i: F.struct(
-        (i + 1).alias("seq"),
-        clean_span(e["value"]).alias("value"),
-        # A PERSON span that is a fiscal code is re-typed before mapping
-        F.when((e["detector_type"] == "PERSON") & e["value"].rlike(vocab.FISCAL_CODE_PATTERN),
-               F.lit("NRP")).otherwise(e["detector_type"]).alias("detector_type"),
-        e["score"].alias("confidence"),
-    ))
+        (i + 1).alias("seq"), clean_span(e["value"]).alias("value"), e["detector_type"].alias("detector_type"), e["score"].alias("confidence")))
+    # A PERSON that is a fiscal code once it is clean is re-typed before mapping
+    ent = F.transform(ent, lambda e: e.withField("detector_type", F.when(
+        (e["detector_type"] == "PERSON") & e["value"].rlike(vocab.FISCAL_CODE_PATTERN), F.lit("NRP")).otherwise(e["detector_type"])))
     cat_map, type_map = dims.detector_category(), dims.detector_entity_type()
     ent = F.transform(ent, lambda e: F.struct(
         e["seq"], e["value"],
@@ -92,11 +91,18 @@ def detected_array(text: Column, lang: Column,
     return F.transform(ent, lambda e: F.struct(*[e[k].alias(k) for k in ENTITY_STRUCT]))
 
 
+@lru_cache(maxsize=32)
+def _detector(application: str, text_col: str, lang_col: str, categories: tuple, recognizers: tuple) -> tuple[dict, Column]:
+    """The detector's expressions over two column names: many calls to build, the same for every table."""
+    text = F.col(text_col)
+    return R.extractions(text, list(recognizers)), detected_array(text, F.col(lang_col), categories, list(recognizers), projected=True)
+
+
 def detect_packed(docs: DataFrame, text_col: str = "content", lang_col: str = "language",
                   categories=None, recognizers=None, out_col: str = "detected") -> DataFrame:
-    found = R.extractions(F.col(text_col), recognizers or R.DEFAULT_RECOGNIZERS)
-    return docs.withColumns(found).withColumn(out_col, detected_array(
-        F.col(text_col), F.col(lang_col), categories, recognizers, projected=True)).drop(*found)
+    found, detected = _detector(docs.sparkSession.sparkContext.applicationId, text_col, lang_col, tuple(categories or ()),
+                                tuple(recognizers or R.DEFAULT_RECOGNIZERS))
+    return docs.withColumns(found).withColumn(out_col, detected).drop(*found)
 
 
 def explode_outer_nonnull(df: DataFrame, array_col: str, keep, alias: str = "e") -> DataFrame:
@@ -114,11 +120,36 @@ def explode_entities(df: DataFrame, array_col: str, keep=("doc_id",)) -> DataFra
 
 
 def detect(docs: DataFrame, text_col: str = "content", lang_col: str = "language",
-           categories=None, recognizers=None) -> DataFrame:
-    """Entity rows from the pattern detector (C1 + B1-B8)."""
+           categories=None, recognizers=None, keep_fn=None) -> DataFrame:
+    """Entity rows from the pattern detector (C1 + B1-B8).
+
+    ``keep_fn`` is the third layer of B5, see ``keep_by``."""
     packed = detect_packed(docs.select("doc_id", text_col, lang_col), text_col, lang_col,
                            categories, recognizers)
-    return explode_entities(packed, "detected")
+    if keep_fn is None:
+        return explode_entities(packed, "detected")
+    return keep_by(explode_entities(packed, "detected", ("doc_id", lang_col)), keep_fn, lang_col).drop(lang_col)
+
+
+def keep_by(entities: DataFrame, keep_fn: Callable, lang_col: str = "language") -> DataFrame:
+    """B5 layer 3: entities of the semantic types pass the user's own test.
+
+    ``keep_fn(values, entity_types, languages)`` takes three pandas Series and
+    returns booleans; it runs after every cheap filter and once per distinct
+    (value, entity_type, language), not per entity.  The verdicts are joined back;
+    a null verdict, or a null language's, keeps.  The function must judge a value
+    alike wherever it runs."""
+    keys = ["value", "entity_type", "_lang"]
+    semantic = F.col("entity_type").isin(vocab.SEMANTIC_MERGE_TYPES)
+    rows = entities.withColumn("_lang", F.coalesce(F.col(lang_col), F.lit("")))
+
+    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            verdict = pd.Series(keep_fn(part["value"], part["entity_type"], part["_lang"])).reset_index(drop=True)
+            yield part.reset_index(drop=True)[verdict.eq(False).fillna(False).astype(bool)]
+
+    rejected = rows.where(semantic).select(*keys).distinct().mapInPandas(judge, "value string, entity_type string, _lang string")
+    return rows.join(rejected, keys, "left_anti").select(*entities.columns)
 
 
 def dedup_detected_array(arr: Column) -> Column:

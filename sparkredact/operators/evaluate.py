@@ -23,14 +23,19 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def normal_form(value: Column) -> Column:
-    """NFKC (Python worker only for non-ASCII values), strip the fixed
-    punctuation/whitespace set, lower-case, collapse whitespace runs."""
-    v = F.when(value.rlike(r"[^\x00-\x7F]"), _nfkc(value)).otherwise(value)
+def _trimmed(value: Column) -> Column:
     chars = vocab.EVAL_TRIM_CHARS
     cls = "".join("\\" + ch if ch in "\\^-[]" else ch for ch in chars)
-    v = F.regexp_replace(v, f"^[{cls}]+|[{cls}]+$", "")
-    return F.regexp_replace(F.lower(v), r"\s+", " ")
+    return F.regexp_replace(F.lower(F.regexp_replace(value, f"^[{cls}]+|[{cls}]+$", "")), r"\s+", " ")
+
+
+def normal_forms(df: DataFrame, value: str = "value", out: str = "v") -> DataFrame:
+    """``df`` with ``out``: NFKC, strip the fixed punctuation/whitespace set,
+    lower-case, collapse whitespace runs.  ASCII values are their own NFKC form:
+    only the rows with other characters go through a Python worker."""
+    other = F.col(value).rlike(r"[^\x00-\x7F]")
+    plain = df.where(F.coalesce(~other, F.lit(True))).withColumn(out, _trimmed(F.col(value)))
+    return plain.unionByName(df.where(other).withColumn(out, _trimmed(_nfkc(F.col(value)))))
 
 
 def language_from_name(filename: Column) -> Column:
@@ -43,8 +48,8 @@ def language_from_name(filename: Column) -> Column:
 
 
 def _norm_set(df: DataFrame) -> DataFrame:
-    return (df.where(F.col("value").isNotNull())
-            .select("doc_id", normal_form(F.col("value")).alias("v"), "category").distinct())
+    rows = normal_forms(df.where(F.col("value").isNotNull()).select("doc_id", "value", "category"))
+    return rows.select("doc_id", "v", "category").distinct()
 
 
 def strict_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -128,3 +133,15 @@ def report(spark: SparkSession, counts: DataFrame, doc_lang: DataFrame) -> DataF
     return agg.select(kind.alias("grouping"), grp.alias("grp"), F.col("tp").cast("bigint").alias("tp"),
                       F.col("fp").cast("bigint").alias("fp"), F.col("fn").cast("bigint").alias("fn"),
                       F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+
+
+# The report's parts in the order they are printed.
+REPORT_ORDER = ["document", "language", "category", "total"]
+
+
+def sorted_report(rows: DataFrame) -> DataFrame:
+    """S3: the report's rows by part; documents and languages by name, categories
+    in their fixed order.  A range sort over all partitions."""
+    part = F.array_position(F.array(*[F.lit(p) for p in REPORT_ORDER]), F.col("grouping"))
+    place = F.when(F.col("grouping") == "category", F.array_position(F.array(*[F.lit(c) for c in vocab.CATEGORIES]), F.col("grp")))
+    return rows.orderBy(part, place, "grp")

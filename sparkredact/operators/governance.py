@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import dims, vocab
+from ..functions.binding import let
 
 # ------------------------------------------------------------------ ingest
 
@@ -42,20 +43,49 @@ HTML_RULES = [
     (r"(?i)<br\s*/?>", "\n"),
     (r"(?i)</(?:p|div|ul|ol|tr|article|section|nav|title)>", "\n"),
     (r"<[^>]+>", ""),
-    (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", "\""), (r"&#39;", "'"), (r"&nbsp;", " "),
-    (r"&amp;", "&"),
-    (r"[ \t]+\n", "\n"),
-    (r"\n{3,}", "\n\n"),
 ]
+SPACE_RULES = [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
+# The named character references that are read, by their code points.
+NAMED_REFERENCES = {
+    "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 32, "euro": 8364, "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "ldquo": 8220,
+    "rdquo": 8221, "hellip": 8230, "laquo": 171, "raquo": 187, "agrave": 224, "aacute": 225, "acirc": 226, "auml": 228, "ccedil": 231, "egrave": 232,
+    "eacute": 233, "ecirc": 234, "euml": 235, "igrave": 236, "iacute": 237, "ntilde": 241, "ograve": 242, "oacute": 243, "ocirc": 244, "ouml": 246,
+    "ugrave": 249, "uacute": 250, "ucirc": 251, "uuml": 252, "szlig": 223, "Agrave": 192, "Auml": 196, "Egrave": 200, "Eacute": 201, "Ouml": 214, "Uuml": 220,
+    "amp": 38,
+}
+REFERENCE_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,6});"
+
+
+def character_references(text: Column) -> Column:
+    """Numeric and named character references as their characters, each read once
+    (``&amp;lt;`` gives ``&lt;``); what names no character stays as it is."""
+    names = dims.map_lit([(name, chr(code)) for name, code in NAMED_REFERENCES.items()])
+
+    def one(ref):
+        body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("int")).when(
+            body.startswith("#"), F.substring(body, F.lit(2), F.length(body)).cast("int"))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        # a character from its code point, by way of UTF-32
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(valid, F.when(code == 160, F.lit(" ")).otherwise(char)), F.element_at(names, body), ref)
+
+    gaps, refs = F.split(text, REFERENCE_RE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE_RE), 0), one)
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), refs.alias("r")), lambda x: F.array(x["g"], F.coalesce(x["r"], F.lit(""))))), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
     """A3: HTML page -> normalised Markdown-like text with regex rules
     (scripts, styles and comments dropped; headings, list items, breaks)."""
-    v = html
-    for pat, rep in HTML_RULES:
-        v = F.regexp_replace(v, pat, rep.replace("\\", "\\\\").replace("$", "\\$"))
-    return F.regexp_replace(v, r"^\s+|\s+$", "")
+    def ruled(v, rules):
+        for pat, rep in rules:
+            v = F.regexp_replace(v, pat, rep.replace("\\", "\\\\").replace("$", "\\$"))
+        return v
+
+    # The references are read from a value that is made once.
+    read = let(ruled(html, HTML_RULES), character_references)
+    return F.regexp_replace(ruled(read, SPACE_RULES), r"^\s+|\s+$", "")
 
 
 def fingerprint(df: DataFrame, text_col: str = "content") -> DataFrame:

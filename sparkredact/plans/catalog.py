@@ -16,15 +16,18 @@ from ..operators import parse as P
 from ..operators import redact as X
 from ..sources import derived as DV
 from ..sources import tables as T
-from ..session import apply_runtime_conf, ensure_checkpoint_dir, materialize
+from ..session import apply_runtime_conf, ensure_checkpoint_dir
 from .. import vocab
 from ..functions.text import clean_model_value
 from ..functions.text import clean_span as X_clean
 from ..operators import classify as C
-from ..operators import merge as M
+from ..operators import record as RC
+from ..operators import review as RV
 from ..operators import roles as RO
 from ..operators import evaluate as EV
+from ..operators import extract as EX
 from ..operators import governance as G
+from ..operators import lookup as LK
 from ..operators import model as MD
 from ..sources import io as IO
 from ..functions import labels as LB
@@ -47,8 +50,9 @@ def _detect_only(types):
 
 
 def detector_only_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: every recogniser over every document, after the detector filters."""
-    return D.detect(_docs(spark, sf_dir)).select(
+    """V4: language first (C19, B16), then every recogniser over every document."""
+    language = D.effective_language(C.detect_language(F.col("content")))
+    return D.detect(_docs(spark, sf_dir).withColumn("language", language)).select(
         "doc_id", "seq", "value", "category", "entity_type", "confidence", "source")
 
 
@@ -121,49 +125,31 @@ def parse_ownership(spark, sf_dir):
 
 # ------------------------------------------------------------ merge stage
 
-_MEMO: dict = {}
-
-
-def _memo(spark, sf_dir, key, build):
-    """Reuse an analysed DataFrame per (session, folder): planning the derived
-    SQL and the detector expressions costs seconds, executing them at this
-    scale costs less."""
-    k = (spark.sparkContext.applicationId, sf_dir, key)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
+def _spread(df: DataFrame) -> DataFrame:
+    """The derived inputs are laid out by joins of small rows; their texts are
+    the work, so they are dealt over all partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def _ddocs(spark, sf_dir):
-    """The derived documents stand in for an input table: materialise them
-    once per session (reliable checkpoint) so every query scans a table
-    instead of re-planning and re-running the SQL that lays them out."""
-    return _memo(spark, sf_dir, "ddocs", lambda: T.ensure_parallelism(
-        materialize(spark, DV.documents(spark, sf_dir), "ddocs")))
+    return _spread(DV.documents(spark, sf_dir))
 
 
-def _ner(spark, sf_dir):
-    """Pattern entities of the derived documents.  Several merge steps read
-    them, so the lineage is cut once with a reliable checkpoint in the shared
-    checkpoint folder instead of re-running every regex per consumer."""
-    return _memo(spark, sf_dir, "ner", lambda: materialize(spark, D.detect(
-        _ddocs(spark, sf_dir).select("doc_id", "content", "language")), "ner"))
+def _model(spark, sf_dir):
+    return _spread(DV.model_outputs(spark, sf_dir))
 
 
-def _llm(spark, sf_dir):
-    return _memo(spark, sf_dir, "llm", lambda: materialize(spark, P.parse_model_entities(_model(spark, sf_dir)), "llm"))
+def _assembled(spark, sf_dir):
+    """The derived documents with both detectors' entities (``operators.record``)."""
+    return RC.assemble(DV.documents(spark, sf_dir), DV.model_outputs(spark, sf_dir))
 
 
-def _ident(spark, sf_dir):
-    """Identified entities (merge -> legal -> fiscal check -> institutions),
-    checkpointed once: roles, redaction, evaluation and review all read it."""
-    return _memo(spark, sf_dir, "ident", lambda: materialize(spark, M.identify(
-        _ner(spark, sf_dir), _llm(spark, sf_dir), _ddocs(spark, sf_dir)), "ident"))
+def _identified(spark, sf_dir):
+    return RC.identified(RC.judge(_assembled(spark, sf_dir)))
 
 
-def _model(spark, sf_dir):
-    return _memo(spark, sf_dir, "model", lambda: T.ensure_parallelism(
-        materialize(spark, DV.model_outputs(spark, sf_dir), "model")))
+def _ident(spark, sf_dir):
+    return RC.entity_rows(_identified(spark, sf_dir))
 
 
 def false_positive_filter(spark, sf_dir):
@@ -179,70 +165,60 @@ def false_positive_filter(spark, sf_dir):
                        .alias("is_false_positive"))
 
 
+def _judged(spark, sf_dir, *keep):
+    rows = RC.judge(_assembled(spark, sf_dir))
+    return D.explode_outer_nonnull(rows, "judged", ("doc_id", *keep), alias="x")
+
+
 def overlap_join(spark, sf_dir):
     """D-1 over the de-duplicated pattern entities and the model entities."""
-    p = M.overlap_pairs(M.dedup_detected(_ner(spark, sf_dir)), _llm(spark, sf_dir))
-    return p.select("doc_id", "nseq", "lseq")
+    pairs = _judged(spark, sf_dir).select("doc_id", F.col("x.e.seq").alias("nseq"), F.explode_outer("x.hits.seq").alias("lseq"))
+    return pairs.where(F.col("lseq").isNotNull())
 
 
 def _survivors(semantic: bool):
     def q(spark, sf_dir):
-        s = M.pattern_survivors(_ner(spark, sf_dir), _llm(spark, sf_dir))
-        cond = F.col("entity_type").isin(vocab.SEMANTIC_MERGE_TYPES)
-        return s.where(cond if semantic else ~cond).select("doc_id", "seq", "value", "entity_type")
+        cond = F.col("x.e.entity_type").isin(vocab.SEMANTIC_MERGE_TYPES)
+        kept = _judged(spark, sf_dir).where(F.col("x.keep") & (cond if semantic else ~cond))
+        return kept.select("doc_id", "x.e.seq", "x.e.value", "x.e.entity_type")
     return q
 
 
 def url_in_email(spark, sf_dir):
     """D-8: URL fragments dropped because a model e-mail contains them."""
-    ner = M.dedup_detected(_ner(spark, sf_dir))
-    flags = M.merge_flags(ner, _llm(spark, sf_dir)).withColumnRenamed("doc_id", "fdoc")
-    j = ner.join(flags, (F.col("doc_id") == F.col("fdoc")) & (F.col("seq") == F.col("nseq"))).drop("fdoc")
-    return j.where((F.col("entity_type") == "url") & F.col("in_email") & ~F.col("same_type_overlap")) \
-            .select("doc_id", "seq", "value")
+    hit = (F.col("x.e.entity_type") == "url") & F.col("x.in_email") & ~F.col("x.covered")
+    return _judged(spark, sf_dir).where(hit).select("doc_id", "x.e.seq", "x.e.value")
 
 
 def date_dedup(spark, sf_dir):
     """D-9 + D-10: the merged entity list."""
-    return M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir)).select(
-        "doc_id", "seq", "value", "category", "entity_type", "source")
+    rows = RC.judge(_assembled(spark, sf_dir)).withColumn("merged", RC.merged(F.col("judged"), F.col("llm")))
+    return D.explode_outer_nonnull(rows, "merged", ("doc_id",)).select(
+        "doc_id", *[f"e.{c}" for c in ("seq", "value", "category", "entity_type", "source")])
 
 
-def _legal(spark, sf_dir):
-    docs = _ddocs(spark, sf_dir)
-    merged = M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir))
-    return merged, M.reclassify_legal(merged, docs)
+def _retyped(spark, sf_dir):
+    return D.explode_outer_nonnull(_identified(spark, sf_dir), "entities", ("doc_id",), alias="x")
 
 
 def legal_suffix(spark, sf_dir):
     """D-11: person entities re-typed because of a corporate suffix."""
-    merged = M.merge(_ner(spark, sf_dir), _llm(spark, sf_dir))
-    return merged.where((F.col("category") == "persone_fisiche") & F.col("value").rlike(M.CORPORATE_SUFFIX_RE)) \
-                 .select("doc_id", "seq", "value")
+    return _retyped(spark, sf_dir).where("x.by_suffix").select("doc_id", "x.e.seq", "x.e.value")
 
 
 def legal_context(spark, sf_dir):
     """D-12: person entities re-typed because a legal phrase is near them."""
-    merged, out = _legal(spark, sf_dir)
-    before = merged.where(F.col("category") == "persone_fisiche") \
-                   .where(~F.col("value").rlike(M.CORPORATE_SUFFIX_RE)).select("doc_id", "seq")
-    after = out.where(F.col("category") == "persone_giuridiche").select("doc_id", "seq", "value")
-    return after.join(before, ["doc_id", "seq"], "left_semi")
+    return _retyped(spark, sf_dir).where("x.by_context").select("doc_id", "x.e.seq", "x.e.value")
 
 
 def fiscal_code_validate(spark, sf_dir):
     """codice_fiscale entities removed by the final shape check."""
-    merged, out = _legal(spark, sf_dir)
-    kept = M.validate_fiscal_code(out)
-    return out.join(kept, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "value", "entity_type")
+    return _retyped(spark, sf_dir).where("not x.keep and not x.found").select("doc_id", "x.e.seq", "x.e.value", "x.e.entity_type")
 
 
 def institutions(spark, sf_dir):
     """Institution entities appended after the merge."""
-    docs = _ddocs(spark, sf_dir)
-    merged, out = _legal(spark, sf_dir)
-    e = M.add_institutions(M.validate_fiscal_code(out), docs)
-    return e.where(F.col("confidence") == vocab.INSTITUTION_CONFIDENCE).select("doc_id", "seq", "value")
+    return _retyped(spark, sf_dir).where("x.keep and x.found").select("doc_id", "x.e.seq", "x.e.value")
 
 
 def identify(spark, sf_dir):
@@ -263,88 +239,63 @@ def language_detect(spark, sf_dir):
 
 # ------------------------------------------------------------ roles
 
-def _role_inputs(spark, sf_dir):
-    docs = _ddocs(spark, sf_dir)
-    mo = _model(spark, sf_dir)
-    return docs, _ident(spark, sf_dir), P.parse_assignments(mo), P.parse_ownership(mo)
+def _roles(spark, sf_dir):
+    return RC.with_roles(_identified(spark, sf_dir))
 
 
-def _role_stages(spark, sf_dir):
-    docs, ident, asg, own = _role_inputs(spark, sf_dir)
-    dt = RO.doc_types(docs)
-    e0 = ident.join(dt, "doc_id", "left").withColumn("actor", RO.is_actor(F.col("category"), F.col("entity_type")))
-    a = asg.select(F.col("doc_id").alias("adoc"), F.col("value").alias("aval"), F.col("role").alias("arole"))
-    p1 = (e0.join(a, (e0["doc_id"] == a["adoc"]) & (e0["value"] == a["aval"]) & e0["actor"], "left")
-            .withColumn("semantic_role", F.when(F.col("actor"), F.col("arole")))
-            .drop("adoc", "aval", "arole"))
-    p15 = RO.remap_roles(p1.withColumn("r1", F.col("semantic_role"))).withColumn("r15", F.col("semantic_role"))
-    p2 = RO.assign_ownership(p15, own).withColumn("r2", F.col("semantic_role"))
-    p3a = RO.propagate_same_type(p2).withColumn("r3a", F.col("semantic_role"))
-    p3b = RO.propagate_proximity(p3a, docs).withColumn("r3b", F.col("semantic_role"))
-    return RO.remap_roles(p3b)
+def _role_rows(spark, sf_dir):
+    """A row an entity, with the role after each pass."""
+    return RC.entity_rows(_roles(spark, sf_dir), "doc_type", actor="actor", looked_up="looked_up", remapped="remapped", owned="owned",
+                          alike="alike", near="near", semantic_role="role")
 
 
 def assign_roles(spark, sf_dir):
     """D-13 + 1.5: actor roles from the role stage, remapped by document type."""
-    r = _role_stages(spark, sf_dir)
-    return r.where("actor").select("doc_id", "seq", "value", F.col("r15").alias("role_lookup"))
+    return _role_rows(spark, sf_dir).where("actor").select("doc_id", "seq", "value", F.col("remapped").alias("role_lookup"))
 
 
 def role_remap(spark, sf_dir):
     """D-18: actors whose looked-up role the document type remaps."""
-    docs, ident, asg, own = _role_inputs(spark, sf_dir)
-    e = RO.assign_roles(ident, RO.doc_types(docs), asg)
-    a = asg.select(F.col("doc_id").alias("adoc"), F.col("value").alias("aval"), F.col("role").alias("before"))
-    j = e.join(a, (e["doc_id"] == a["adoc"]) & (e["value"] == a["aval"]) & e["actor"])
-    return j.where(F.col("before") != F.col("semantic_role")).select(
-        "doc_id", "seq", "doc_type", "before", F.col("semantic_role").alias("after"))
+    return _role_rows(spark, sf_dir).where("actor and looked_up <> remapped").select(
+        "doc_id", "seq", "doc_type", F.col("looked_up").alias("before"), F.col("remapped").alias("after"))
 
 
 def ownership(spark, sf_dir):
     """D-14/D-15: data entities that received an owner role."""
-    r = _role_stages(spark, sf_dir)
-    return r.where(~F.col("actor") & F.col("r2").isNotNull()).select("doc_id", "seq", "value", F.col("r2").alias("owner"))
+    return _role_rows(spark, sf_dir).where("not actor and owned is not null").select("doc_id", "seq", "value", F.col("owned").alias("owner"))
 
 
 def propagate_same_type(spark, sf_dir):
     """D-16: entities resolved by same-type substring donors."""
-    r = _role_stages(spark, sf_dir)
-    return r.where(F.col("r2").isNull() & F.col("r3a").isNotNull()).select("doc_id", "seq", "value", F.col("r3a").alias("role"))
+    return _role_rows(spark, sf_dir).where("owned is null and alike is not null").select("doc_id", "seq", "value", F.col("alike").alias("role"))
 
 
 def propagate_proximity(spark, sf_dir):
     """D-17: entities resolved by the nearest actor within 200 characters."""
-    r = _role_stages(spark, sf_dir)
-    return r.where(F.col("r3a").isNull() & F.col("r3b").isNotNull()).select("doc_id", "seq", "value", F.col("r3b").alias("role"))
+    return _role_rows(spark, sf_dir).where("alike is null and near is not null").select("doc_id", "seq", "value", F.col("near").alias("role"))
 
 
 def roles_final(spark, sf_dir):
     """Every identified entity with its final role and the document type."""
-    docs, ident, asg, own = _role_inputs(spark, sf_dir)
-    r = RO.assign_all_roles(ident, docs, asg, own)
-    return r.select("doc_id", "seq", "value", "category", "entity_type", "semantic_role", "doc_type")
+    return _role_rows(spark, sf_dir).select("doc_id", "seq", "value", "category", "entity_type", "semantic_role", "doc_type")
 
 
 # ------------------------------------------------------------ labels and substitution
 
-def _final_entities(spark, sf_dir):
-    docs, ident, asg, own = _role_inputs(spark, sf_dir)
-    return docs, RO.assign_all_roles(ident, docs, asg, own)
+def _final(spark, sf_dir):
+    """The derived documents, a row each, with ``ents``: entities with their roles."""
+    return _roles(spark, sf_dir).withColumn("ents", RC.packed_entities(F.col("entities")))
 
 
 def label_choice(spark, sf_dir):
     """R2: Italian placeholder label of every entity."""
-    docs, r = _final_entities(spark, sf_dir)
-    return r.select("doc_id", "seq", LB.label_for(F.col("category"), F.col("entity_type"),
-                                                  F.col("semantic_role")).alias("label"))
+    return _role_rows(spark, sf_dir).select("doc_id", "seq", LB.label_for(F.col("category"), F.col("entity_type"), F.col("semantic_role")).alias("label"))
 
 
 def label_localise(spark, sf_dir):
     """The label rendered in the document language."""
-    docs, r = _final_entities(spark, sf_dir)
-    r = r.join(docs.select("doc_id", "language"), "doc_id")
-    lab = LB.label_for(F.col("category"), F.col("entity_type"), F.col("semantic_role"))
-    return r.select("doc_id", "seq", LB.localise(lab, F.col("language")).alias("label"))
+    rows = _final(spark, sf_dir).withColumn("labelled", F.arrays_zip(F.col("ents.seq").alias("seq"), X.localised_labels(F.col("ents"), F.col("language")).alias("label")))
+    return D.explode_outer_nonnull(rows, "labelled", ("doc_id",)).select("doc_id", "e.seq", "e.label")
 
 
 def _packed(r: DataFrame) -> DataFrame:
@@ -356,38 +307,30 @@ def _packed(r: DataFrame) -> DataFrame:
 
 def greedy_dedup(spark, sf_dir):
     """Values kept for substitution."""
-    docs, r = _final_entities(spark, sf_dir)
-    kept = _packed(r).select("doc_id", F.explode(X.greedy_dedup(F.col("ents"))).alias("e"))
-    return kept.select("doc_id", F.col("e.seq").alias("seq"), F.col("e.value").alias("value"),
-                       F.col("e.entity_type").alias("entity_type"))
+    rows = _final(spark, sf_dir).withColumn("kept", X.greedy_dedup(F.col("ents")))
+    return D.explode_outer_nonnull(rows, "kept", ("doc_id",)).select("doc_id", "e.seq", "e.value", "e.entity_type")
+
+
+def _numbered(spark, sf_dir, ents, name):
+    rows = _final(spark, sf_dir).withColumn("m", X.number_placeholders(ents, F.col("language")))
+    return D.explode_outer_nonnull(rows, "m", ("doc_id",)).select("doc_id", "e.ord", "e.original", F.col("e.replacement").alias(name))
 
 
 def number_placeholders(spark, sf_dir):
     """W1 (+R2, R3): the per-document mapping value -> [LABEL_n]."""
-    docs, r = _final_entities(spark, sf_dir)
-    p = _packed(r).join(docs.select("doc_id", "language"), "doc_id")
-    m = p.select("doc_id", F.explode(X.number_placeholders(X.greedy_dedup(F.col("ents")), F.col("language"))).alias("m"))
-    return m.select("doc_id", F.col("m.ord").alias("ord"), F.col("m.original").alias("original"),
-                    F.col("m.replacement").alias("replacement"))
+    return _numbered(spark, sf_dir, X.greedy_dedup(F.col("ents")), "replacement")
 
 
 def preview_numbers(spark, sf_dir):
     """Preview placeholders over the entities before de-duplication."""
-    docs, r = _final_entities(spark, sf_dir)
-    p = _packed(r).join(docs.select("doc_id", "language"), "doc_id")
-    m = p.select("doc_id", F.explode(X.number_placeholders(F.col("ents"), F.col("language"))).alias("m"))
-    return m.select("doc_id", F.col("m.ord").alias("ord"), F.col("m.original").alias("original"),
-                    F.col("m.replacement").alias("proposed_replacement"))
-
-
-def redact_derived(spark, sf_dir):
-    """Substitute every document's identified, role-labelled entities."""
-    docs, r = _final_entities(spark, sf_dir)
-    p = docs.select("doc_id", "content", "language").join(_packed(r), "doc_id", "left") \
-            .withColumn("ents", F.coalesce("ents", F.array().cast(
-                "array<struct<seq:int,value:string,category:string,entity_type:string,semantic_role:string>>")))
-    out = X.anonymize_packed(p, "ents")
-    return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
+    return _numbered(spark, sf_dir, F.col("ents"), "proposed_replacement")
+
+
+def _redact_final(isolate: bool):
+    def q(spark, sf_dir):
+        out = X.anonymize_packed(_final(spark, sf_dir), "ents", isolate=isolate)
+        return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
+    return q
 
 
 def redact_conversations(spark, sf_dir):
@@ -412,8 +355,7 @@ def redact_conversations(spark, sf_dir):
 
 def _eval_inputs(spark, sf_dir):
     docs = _ddocs(spark, sf_dir)
-    truth = _memo(spark, sf_dir, "truth", lambda: materialize(spark, DV.ground_truth(spark, sf_dir), "truth")) \
-        .select("doc_id", "value", "category")
+    truth = DV.ground_truth(spark, sf_dir).select("doc_id", "value", "category")
     pred = _ident(spark, sf_dir).select("doc_id", "value", "category")
     return (docs, *EV.evaluable(pred, truth))
 
@@ -435,6 +377,28 @@ def eval_grouping_sets(spark, sf_dir):
     return EV.report(spark, EV.strict_counts(pred, truth), lang)
 
 
+def eval_sorted_report(spark, sf_dir):
+    """S3: the report in the order it is printed."""
+    return EV.sorted_report(eval_grouping_sets(spark, sf_dir))
+
+
+def eval_skipped(spark, sf_dir):
+    """D-22: documents that can't be evaluated, by the runs of the extract: those
+    without an annotation, and those whose model output didn't parse."""
+    docs = DV.documents(spark, sf_dir).select("doc_id")
+    truth = DV.ground_truth(spark, sf_dir).where("category = 'dati_temporali'").select("doc_id", "value", "category")
+    lists = RC.model_lists(DV.model_outputs(spark, sf_dir))
+    runs = lists.select("doc_id", F.when(F.col("model_ok"), F.lit("success")).otherwise(F.lit("error")).alias("status"))
+    return EV.skipped(docs, truth, runs)
+
+
+def entity_counts(spark, sf_dir):
+    """Detected and annotated entities of each document."""
+    found = _identified(spark, sf_dir).select("doc_id", F.size(F.filter("entities", lambda x: x["keep"])).cast("bigint").alias("n_pred"))
+    truth = DV.ground_truth(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_gt"))
+    return found.join(truth, "doc_id", "left").select("doc_id", "n_pred", F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
+
+
 def run_summary(spark, sf_dir):
     """Per category and source, entities found in the run,
     plus documents whose model output parsed (success) or not (error)."""
@@ -488,16 +452,17 @@ def fingerprint(spark, sf_dir):
 
 
 def audit_events(spark, sf_dir):
-    """Upload and conversion events per document, content-free."""
-    fp = G.fingerprint(_docs(spark, sf_dir))
-    ts = F.lit(RUN_TS)
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    up = fp.select("doc_id", F.lit("document_uploaded").alias("event"),
-                   G.audit_event(ts, "document_uploaded", F.col("doc_id"), file_hash=F.col("sha256"),
-                                 filename=name, file_size_bytes=F.col("size_bytes")).alias("line"))
-    cv = fp.select("doc_id", F.lit("document_converted").alias("event"),
-                   G.audit_event(ts, "document_converted", F.col("doc_id"), char_count=F.col("char_count")).alias("line"))
-    return up.unionByName(cv)
+    """What happened to each document, content-free: its upload, its
+    extraction and its redaction, with hashes, names and counts alone."""
+    ts, done = F.lit(RUN_TS), _review_rows(spark, sf_dir)
+    docs = done.select("doc_id", "content", "filename", F.size("ents").cast("bigint").alias("found"), F.size(RV.accepted(F.col("ents"), F.col("statuses"))).cast("bigint").alias("active"))
+    b = F.encode(F.col("content"), "UTF-8")
+    events = F.array(
+        F.struct(F.lit("document_uploaded").alias("event"), G.audit_event(ts, "document_uploaded", F.col("doc_id"), file_hash=F.sha2(b, 256), filename=F.col("filename"),
+                                                                         file_size_bytes=F.octet_length(b).cast("bigint")).alias("line")),
+        F.struct(F.lit("entities_extracted").alias("event"), G.audit_event(ts, "entities_extracted", F.col("doc_id"), entity_count=F.col("found")).alias("line")),
+        F.struct(F.lit("document_anonymized").alias("event"), G.audit_event(ts, "document_anonymized", F.col("doc_id"), entity_count=F.col("active")).alias("line")))
+    return docs.select("doc_id", F.explode(events).alias("e")).select("doc_id", "e.event", "e.line")
 
 
 def _cache_entries(spark, sf_dir):
@@ -530,26 +495,209 @@ def _decisions(spark, sf_dir):
              .where(F.col("status").isNotNull())
 
 
-def _review_state(spark, sf_dir):
-    docs = _ddocs(spark, sf_dir)
-    return docs, G.review_state(_ident(spark, sf_dir), _decisions(spark, sf_dir))
+def _review_rows(spark, sf_dir):
+    """The identified documents, a row each, with ``ents`` and their ``statuses``."""
+    rows = _identified(spark, sf_dir)
+    ents = F.transform(F.filter("entities", lambda x: x["keep"]), lambda x: F.struct(
+        x["e"]["seq"].alias("seq"), x["e"]["value"].alias("value"), x["e"]["category"].alias("category"), x["e"]["entity_type"].alias("entity_type"),
+        F.lit(None).cast("string").alias("semantic_role")))
+    decisions = _decisions(spark, sf_dir).withColumnRenamed("status", "action")
+    return RV.reviewed(rows.withColumn("ents", ents), RV.decision_registers(decisions))
 
 
 def review_progress(spark, sf_dir):
     """V1 + G8/G12 per document."""
-    docs, st = _review_state(spark, sf_dir)
-    return G.review_progress(st)
+    rows = _review_rows(spark, sf_dir).select("doc_id", F.explode_outer("statuses").alias("status")).where(F.col("status").isNotNull())
+    return G.review_progress(rows)
 
 
 def review_apply(spark, sf_dir):
     """V1 + B12 + R5: redact each document with its accepted entities only."""
-    docs, st = _review_state(spark, sf_dir)
-    acc = G.active_entities(st).withColumn("semantic_role", F.lit(None).cast("string"))
-    p = docs.select("doc_id", "content", "language").join(_packed(acc), "doc_id", "inner")
-    out = X.anonymize_packed(p, "ents")
+    rows = _review_rows(spark, sf_dir).withColumn("active", RV.accepted(F.col("ents"), F.col("statuses"))).where(F.size("active") > 0)
+    out = X.anonymize_packed(rows, "active")
     return out.select("doc_id", F.size("mappings").cast("bigint").alias("n_mappings"), "anonymized")
 
 
+def _bulk_decisions(spark, sf_dir):
+    """Every event as a decision; some act on all entities of the document."""
+    ev = T.table(spark, sf_dir, "events")
+    action = (F.when(F.col("event_id") % 61 == 0, F.lit("remove_all")).when(F.col("event_id") % 37 == 0, F.lit("accept_all"))
+               .when(F.col("event_type").isin("click", "purchase"), F.lit("accepted")).when(F.col("event_type") == "error", F.lit("removed"))
+               .when(F.col("event_type") == "signup", F.lit("proposed")))
+    return ev.select(F.col("user_id").alias("doc_id"), ((F.col("event_id") % 20) + 1).cast("int").alias("seq"), action.alias("action"),
+                     F.col("ts").alias("decided_at"), "event_id").where("action is not null")
+
+
+def review_bulk(spark, sf_dir):
+    """V1 + V2: the status of each entity after single decisions and those on all."""
+    rows = RV.reviewed(_review_rows(spark, sf_dir).drop("statuses"), RV.decision_registers(_bulk_decisions(spark, sf_dir)))
+    rows = rows.withColumn("s", F.arrays_zip(F.col("ents.seq").alias("seq"), F.col("statuses").alias("status")))
+    return D.explode_outer_nonnull(rows, "s", ("doc_id",)).select("doc_id", "e.seq", "e.status")
+
+
+def mapping_write_back(spark, sf_dir):
+    """W2 + B12 + D-19: each entity's placeholder once the accepted ones are
+    substituted: the real one where its value was, the proposed one elsewhere."""
+    rows = _final(spark, sf_dir)
+    decisions = _decisions(spark, sf_dir).withColumnRenamed("status", "action")
+    rows = RV.reviewed(rows, RV.decision_registers(decisions)).withColumn("active", RV.accepted(F.col("ents"), F.col("statuses")))
+    maps = X.number_placeholders(X.greedy_dedup(F.col("active")), F.col("language"))
+    rows = rows.withColumn("rows", RV.write_back(F.col("ents"), X.proposed_replacements(F.col("ents"), F.col("language")), maps))
+    return D.explode_outer_nonnull(rows, "rows", ("doc_id",)).select("doc_id", "e.seq", "e.original", "e.substitution", "e.semantic_role")
+
+
+def placeholder_default(spark, sf_dir):
+    """The shown placeholder where no proposal came for the contact data."""
+    rows = _final(spark, sf_dir)
+    shown = X.proposed_replacements(F.col("ents"), F.col("language"))
+    some = RC.let(F.struct(F.col("ents"), shown.alias("shown")), lambda r: F.transform(
+        r["ents"], lambda e, i: F.when(e["category"] != "dati_contatto", F.get(r["shown"], i))))
+    rows = rows.withColumn("s", F.arrays_zip(F.col("ents.seq").alias("seq"), RV.default_placeholders(F.col("ents"), some).alias("substitution")))
+    return D.explode_outer_nonnull(rows, "s", ("doc_id",)).select("doc_id", "e.seq", "e.substitution")
+
+
+LOOKUP_TTL = 6 * 3600                     # lifetime parameter for the lookup query
+
+
+def document_lookup(spark, sf_dir):
+    """D-23: views and clicks as requests for documents that sign-ups store."""
+    ev = T.table(spark, sf_dir, "events")
+    stored = ev.where("event_type = 'signup'").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("created_at"))
+    asked = ev.where("event_type in ('view', 'click')").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("doc_id"), F.col("ts").alias("at"))
+    return LK.look_up(asked, stored, LOOKUP_TTL).select("request_id", "doc_id", "created_at", "reason")
+
+
+# ------------------------------------------------------------ extract runs
+
+RUN_ID, MODEL_NAME = "20260101T000000Z", "rules"
+
+
+def _extract_digest(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "status", "error", F.col("doc_language").alias("language"), F.col("doc_type").alias("document_type"),
+                       F.size("extracted").cast("bigint").alias("entities_count"), F.to_json("extracted", {"ignoreNullFields": "false"}).alias("entities"))
+
+
+def extract_pipeline(spark, sf_dir):
+    """R8 + J4 + G10 + B16: the derived documents end to end, language detected."""
+    docs = DV.documents(spark, sf_dir).drop("language")
+    rows = EX.extract(docs, DV.model_outputs(spark, sf_dir))
+    return _extract_digest(rows)
+
+
+PROMPT_LIMIT = 8000                       # characters the stand-in model reads
+
+
+def mail_model():
+    """A stand-in for a model: names the e-mail addresses of a prompt; longer prompts than it reads are an error."""
+    import json
+    import re
+    address = re.compile(R.STRUCTURAL[0].pattern)
+
+    def answer(prompts):
+        if any(len(p) > PROMPT_LIMIT for p in prompts):
+            raise ValueError("prompt too long")
+        return [json.dumps({"entities": [{"value": v, "category": "dati_contatto", "entity_type": "indirizzo_email"} for v in address.findall(p)]}) for p in prompts]
+    return answer
+
+
+def _asked_documents(spark, sf_dir):
+    """The real documents and the stand-in model's outputs for them."""
+    docs = T.documents(spark, sf_dir).select("doc_id", "content")
+    prompts = _spread(docs).select("doc_id", MD.entity_prompt(F.col("content")).alias("prompt"))
+    return docs, MD.run_model(prompts, mail_model, "entities", retries=0)
+
+
+def model_hook(spark, sf_dir):
+    """C21 + J1: what the model's answers hold per document, failures as rows."""
+    docs, out = _asked_documents(spark, sf_dir)
+    lists = RC.model_lists(out)
+    return lists.select("doc_id", F.size("llm").cast("bigint").alias("n_entities"), F.col("model_error").alias("error"))
+
+
+def extract_documents(spark, sf_dir):
+    """R8 over the real documents, their model outputs from the hook; a document
+    the model can't read stays a row with its error."""
+    docs, out = _asked_documents(spark, sf_dir)
+    return _extract_digest(EX.extract(docs, out, recognizers=R.STRUCTURAL))
+
+
+def run_records(spark, sf_dir):
+    """V5 + S6: the run records of the real documents, flattened for comparison."""
+    docs, out = _asked_documents(spark, sf_dir)
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rec = EX.run_records(EX.extract(docs, out, recognizers=R.STRUCTURAL), RUN_ID, RUN_TS, MODEL_NAME, name)
+    return rec.select("run_id", "document", "document_id", "char_count", "status", "error", F.col("extraction.entities_count").alias("entities_count"),
+                      F.col("anonymization.mappings_count").alias("mappings_count"), F.col("anonymization.anonymized_preview").alias("preview"))
+
+
+def _overrides(doc_id):
+    return F.when(doc_id % 7 == 0, F.lit("legal")).when(doc_id % 7 == 1, F.lit("contract")).when(doc_id % 7 == 2, F.lit("sconosciuto"))
+
+
+def type_override_rerun(spark, sf_dir):
+    """V3 + B14: the roles of the documents whose type an override changes."""
+    rows = RC.with_roles(_identified(spark, sf_dir).withColumn("asked", _overrides(F.col("doc_id"))), override_col="asked")
+    changed = rows.where(~F.col("doc_type").eqNullSafe(C.detect_doc_type(F.col("content"))))
+    return RC.entity_rows(changed, "doc_type", semantic_role="role").select("doc_id", "seq", "value", "semantic_role", "doc_type")
+
+
+# ------------------------------------------------------------ detector options
+
+def category_filter(spark, sf_dir):
+    """B1: only the requested categories."""
+    return D.detect(_docs(spark, sf_dir), categories=["dati_contatto", "dati_finanziari"]).select("doc_id", "seq", "value", "category", "entity_type")
+
+
+def keep_fn_filter(spark, sf_dir):
+    """B5 layer 3: a user's test drops names whose words are equally long."""
+    def keep(values, entity_types, languages):
+        words = values.str.split()
+        return ~((entity_types == "nome_cognome") & (words.str[0].str.len() == words.str[-1].str.len()))
+
+    return D.detect(_ddocs(spark, sf_dir), keep_fn=keep).select("doc_id", "seq", "value", "entity_type")
+
+
+def _identifiers(spark, sf_dir):
+    return _spread(DV.identifiers(spark, sf_dir))
+
+
+ID_TYPES = ("IT_LICENSE_PLATE", "IT_IDENTITY_CARD", "IT_IDENTITY_CARD_ELECTRONIC", "CH_AVS_NUMBER", "IT_PARTITA_IVA", "MEDICAL_LICENSE", "CRYPTO", "NRP")
+
+
+def detect_ids_ch_it(spark, sf_dir):
+    """Identity cards, plates, social insurance, VAT, licences, wallets, codes."""
+    return D.detect(_identifiers(spark, sf_dir), recognizers=_recs(*ID_TYPES)).select("doc_id", "seq", "value", "category", "entity_type", "confidence")
+
+
+def context_boost(spark, sf_dir):
+    """C17: the identifiers whose score a word of context before them raised."""
+    base = {}
+    for r in _recs(*ID_TYPES):
+        base.setdefault({t: e for t, _, e in vocab.DETECTOR_TYPE_MAP}[r.detector_type], set()).add(r.score)
+    hits = detect_ids_ch_it(spark, sf_dir)
+    raised = F.lit(False)
+    for kind, scores in base.items():
+        raised = raised | ((F.col("entity_type") == kind) & ~F.col("confidence").isin(sorted(scores)))
+    return hits.where(raised).select("doc_id", "seq", "value", "entity_type", "confidence")
+
+
+def detect_iban_mod97(spark, sf_dir):
+    """Account numbers whose check digits hold."""
+    return D.detect(_identifiers(spark, sf_dir), recognizers=_recs("IBAN_CODE")).select("doc_id", "seq", "value", "entity_type")
+
+
+# Recognisers as wide as a statistical model's: what B4, B6 and B7 are there to narrow.
+WIDE = [R.Recognizer("DATE_TIME", r"\b[0-9]{1,2} anni\b|\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b", 0.6, needs_digit=True),
+        R.Recognizer("NRP", r"\b[A-Z]{6}[0-9]{2}A[0-9]{2}H[0-9A-Z]{4}\b", 0.6, needs_digit=True),
+        R.Recognizer("PERSON", r"fiscale [A-Z]{6}[0-9]{2}A[0-9]{2}H[0-9]{3}[A-Z]\b", 0.6),
+        R.Recognizer("PERSON", r"\b[A-Z]{6}[0-9]{2}A[0-9]{2}H[0-9]{3}[A-Z]\s", 0.6)]
+
+
+def wide_filters(spark, sf_dir):
+    """A wide detector's codes and dates, narrowed to real ones."""
+    return D.detect(_identifiers(spark, sf_dir), recognizers=WIDE).select("doc_id", "seq", "value", "category", "entity_type")
+
+
 # ------------------------------------------------------------ prompts (model input side)
 
 def entity_prompts(spark, sf_dir):
@@ -559,11 +707,19 @@ def entity_prompts(spark, sf_dir):
 
 def role_prompts(spark, sf_dir):
     """J5 + B13: the role-stage message for documents that have actors."""
-    docs = _ddocs(spark, sf_dir)
-    actors = _ident(spark, sf_dir).where(RO.is_actor(F.col("category"), F.col("entity_type")))
-    packed = actors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "category"))).alias("ents"))
-    return packed.join(docs.select("doc_id", "content"), "doc_id").select(
-        "doc_id", MD.role_prompt(F.col("ents"), F.col("content")).alias("prompt"))
+    rows = _identified(spark, sf_dir).withColumn("actors", F.transform(F.filter("entities", lambda x: x["keep"] & RO.is_actor(
+        x["e"]["category"], x["e"]["entity_type"])), lambda x: x["e"])).where(F.size("actors") > 0)
+    return rows.select("doc_id", MD.role_prompt(F.col("actors"), F.col("content")).alias("prompt"))
+
+
+def ownership_prompts(spark, sf_dir):
+    """J5 + B13: the ownership message of documents with roles and data without an owner."""
+    of = lambda test: F.transform(F.filter("entities", lambda x: x["keep"] & test(x)), lambda x: F.struct(
+        x["e"]["value"].alias("value"), x["e"]["entity_type"].alias("entity_type"), x["remapped"].alias("semantic_role")))
+    rows = _roles(spark, sf_dir).withColumn("with_role", of(lambda x: x["actor"] & x["remapped"].isNotNull())) \
+        .withColumn("no_owner", of(lambda x: ~x["actor"] & x["remapped"].isNull()))
+    return rows.where((F.size("with_role") > 0) & (F.size("no_owner") > 0)).select(
+        "doc_id", MD.ownership_prompt(F.col("with_role"), F.col("no_owner"), F.col("content")).alias("prompt"))
 
 
 def _with_conf(fn):
@@ -636,7 +792,8 @@ def _queries() -> dict:
         "greedy_dedup": greedy_dedup,
         "number_placeholders": number_placeholders,
         "preview_numbers": preview_numbers,
-        "redact_derived": redact_derived,
+        "redact_derived": _redact_final(False),
+        "redact_isolated": _redact_final(True),
         "redact_conversations": redact_conversations,
         "eval_strict": eval_strict,
         "eval_lenient": eval_lenient,
@@ -652,6 +809,25 @@ def _queries() -> dict:
         "review_apply": review_apply,
         "entity_prompts": entity_prompts,
         "role_prompts": role_prompts,
+        "ownership_prompts": ownership_prompts,
+        "model_hook": model_hook,
+        "extract_pipeline": extract_pipeline,
+        "extract_documents": extract_documents,
+        "run_records": run_records,
+        "type_override_rerun": type_override_rerun,
+        "entity_counts": entity_counts,
+        "eval_sorted_report": eval_sorted_report,
+        "eval_skipped": eval_skipped,
+        "review_bulk": review_bulk,
+        "mapping_write_back": mapping_write_back,
+        "placeholder_default": placeholder_default,
+        "document_lookup": document_lookup,
+        "category_filter": category_filter,
+        "keep_fn_filter": keep_fn_filter,
+        "detect_ids_ch_it": detect_ids_ch_it,
+        "detect_iban_mod97": detect_iban_mod97,
+        "context_boost": context_boost,
+        "wide_filters": wide_filters,
         "corpus_prefix": corpus_prefix,
         "run_ids": run_ids,
     }

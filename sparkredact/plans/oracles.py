@@ -34,7 +34,7 @@ def _detect_only(types) -> str:
 
 
 def detector_only_run() -> str:
-    return (_detected() +
+    return (_detected().replace("lang AS language", f"{_language_sql('text')} AS language") +
             " SELECT doc_id, e.seq AS seq, e.value AS value, e.category AS category, "
             "e.entity_type AS entity_type, e.confidence AS confidence, e.source AS source "
             "FROM (SELECT doc_id, unnest(detected) AS e FROM det)")
@@ -140,6 +140,9 @@ def oracle_sql() -> dict:
         **eval_oracles(),
         **governance_oracles(),
         **prompt_oracles(),
+        **extract_oracles(),
+        **review_oracles(),
+        **option_oracles(),
         "corpus_prefix": (f"WITH dd AS ({DV.docs_sql()}) SELECT filename, length(content)::BIGINT AS char_count "
                           "FROM dd WHERE starts_with(filename, 'doc_1') ORDER BY filename"),
         "run_ids": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS run_id FROM events",
@@ -148,16 +151,17 @@ def oracle_sql() -> dict:
 
 # ------------------------------------------------------------ merge stage (SQL)
 
-def _merge_ctes() -> str:
+def _merge_ctes(docs: str | None = None, model: str | None = None, recognizers=None) -> str:
+    """From ``docs`` (doc_id, content, language) and ``model`` (doc_id, stage, raw), the derived ones by default."""
     from ..operators import merge as M
     cats = "(" + ", ".join(S.q(c) for c in vocab.CATEGORIES) + ")"
     sem = "(" + ", ".join(S.q(t) for t in vocab.SEMANTIC_MERGE_TYPES) + ")"
     us = S.ustrip
-    return f"""WITH dd AS ({DV.docs_sql()}),
-    det AS (SELECT doc_id, content, language, {S.detected_array('content', 'language')} AS detected FROM dd),
+    return f"""WITH dd AS ({docs or DV.docs_sql()}),
+    det AS (SELECT doc_id, content, language, {S.detected_array('content', 'language', None, recognizers)} AS detected FROM dd),
     ner AS (SELECT doc_id, e.seq AS seq, e.value AS value, e.category AS category, e.entity_type AS entity_type,
                    e.confidence AS confidence, e.source AS source FROM (SELECT doc_id, unnest(detected) AS e FROM det)),
-    mo AS ({DV.model_sql()}),
+    mo AS ({model or DV.model_sql()}),
     items AS (SELECT doc_id, pos, it.value AS raw_value, it.category AS category, it.entity_type AS raw_type
               FROM {S.parsed_items('mo', 'entities', 'entities', ITEM_T)}),
     cl AS (SELECT *, {S.clean_model_value('raw_value')} AS value FROM items),
@@ -292,7 +296,7 @@ def _remap_sql(role: str) -> str:
     return f"(CASE WHEN category IN {cats} AND {role} IS NOT NULL THEN (CASE {body} ELSE {role} END) ELSE {role} END)"
 
 
-def _role_ctes() -> str:
+def _role_ctes(docs: str | None = None, model: str | None = None, override: str | None = None, recognizers=None) -> str:
     head = f"substr(content, 1, {vocab.DOC_TYPE_HEAD_CHARS})"
     case = " ".join(f"WHEN regexp_matches({head}, {S.q('(?i)' + p)}) THEN {S.q(k)}" for k, p in vocab.DOC_TYPE_PATTERNS)
     ptypes = "(" + ", ".join(S.q(t) for t in vocab.PERSON_ROLE_TYPES) + ")"
@@ -306,8 +310,12 @@ def _role_ctes() -> str:
                 f"{S.ustrip(f'coalesce(it.value, {e})')} AS value, {S.role_normal_form(f'coalesce(it.{rf}, {e})')} AS role "
                 f"FROM {S.parsed_items('mo', stage, field, st)}) WHERE length(value) > 0 AND length(role) > 0 GROUP BY doc_id, value")
     nv = "rtrim(lower(" + S.ustrip("value") + "), '.')"
-    return _merge_ctes() + f""",
-    dt AS (SELECT doc_id, CASE {case} ELSE NULL END AS doc_type FROM dd),
+    detected = f"CASE {case} ELSE NULL END"
+    if override:
+        types = "(" + ", ".join(S.q(t) for t in vocab.DOC_TYPES) + ")"
+        detected = f"CASE WHEN {override} IN {types} THEN {override} ELSE {detected} END"
+    return _merge_ctes(docs, model, recognizers) + f""",
+    dt AS (SELECT doc_id, {detected} AS doc_type FROM dd),
     asg AS ({vm('roles', 'assignments', asg_t, 'role')}),
     own AS ({vm('ownership', 'ownership', own_t, 'owner_role')}),
     e0 AS (SELECT i.*, dt.doc_type,
@@ -478,12 +486,28 @@ def eval_oracles() -> dict:
 
 # ------------------------------------------------------------ ingest, review, audit, retention (SQL)
 
+def _references_sql(html: str) -> str:
+    from ..operators import governance as G
+    names = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in G.NAMED_REFERENCES.items()) + "}"
+    body = "substr(x.r, 2, length(x.r) - 2)"
+    code = (f"CASE WHEN starts_with(lower({body}), '#x') THEN ('0x' || substr({body}, 3))::INTEGER WHEN starts_with({body}, '#') "
+            f"THEN substr({body}, 2)::INTEGER ELSE {names}[{body}] END")
+    char = (f"list_transform([{code}], lambda c: CASE WHEN c = 160 THEN ' ' WHEN c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343 "
+            f"THEN chr(c) ELSE x.r END)[1]")
+    return (f"list_transform([{html}], lambda h: CASE WHEN contains(h, '&') THEN array_to_string(list_transform(list_zip("
+            f"regexp_split_to_array(h, {S.q(G.REFERENCE_RE)}), regexp_extract_all(h, {S.q(G.REFERENCE_RE)})), "
+            f"lambda z: z[1] || coalesce(list_transform([{{'r': z[2]}}], lambda x: CASE WHEN x.r IS NULL THEN NULL ELSE {char} END)[1], '')), '') ELSE h END)[1]")
+
+
 def governance_oracles() -> dict:
     from ..operators import governance as G
     from . import catalog as CAT
     html = "html"
     for pat, rep in G.HTML_RULES:
         html = f"regexp_replace({html}, {S.q(pat)}, {S.q(rep.replace(chr(92), chr(92) * 2))}, 'g')"
+    html = _references_sql(html)
+    for pat, rep in G.SPACE_RULES:
+        html = f"regexp_replace({html}, {S.q(pat)}, {S.q(rep)}, 'g')"
     txt = f"regexp_replace({html}, '^\\s+|\\s+$', '', 'g')"
     supported = vocab.PLAIN_TEXT_EXTENSIONS + vocab.CONVERTER_EXTENSIONS
     sup = "(" + ", ".join(S.q(x) for x in supported) + ")"
@@ -514,12 +538,14 @@ def governance_oracles() -> dict:
                         f"CASE WHEN NOT ({ext} IN {sup}) THEN 'cannot read files of type ' || {ext} || '; readable types are {listing}' END AS reason "
                         "FROM files"),
         "fingerprint": fp,
-        "audit_events": (f"WITH fp AS ({fp}) "
-                         f"SELECT doc_id, 'document_uploaded' AS event, to_json({{'timestamp': {S.q(CAT.RUN_TS)}, "
-                         "'event': 'document_uploaded', 'document_id': cast(doc_id AS VARCHAR), 'file_hash': sha256, "
-                         "'filename': 'doc_' || cast(doc_id AS VARCHAR) || '.txt', 'file_size_bytes': size_bytes})::VARCHAR AS line FROM fp "
-                         f"UNION ALL SELECT doc_id, 'document_converted', to_json({{'timestamp': {S.q(CAT.RUN_TS)}, "
-                         "'event': 'document_converted', 'document_id': cast(doc_id AS VARCHAR), 'char_count': char_count})::VARCHAR FROM fp"),
+        "audit_events": review + f""",
+    counts AS (SELECT d.doc_id, d.filename, d.content, count(st.seq) AS found, count_if(st.status = 'accepted') AS active
+               FROM dd d LEFT JOIN st ON st.doc_id = d.doc_id GROUP BY ALL),
+    base AS (SELECT *, {S.q(CAT.RUN_TS)} AS ts, cast(doc_id AS VARCHAR) AS id FROM counts)
+    SELECT doc_id, 'document_uploaded' AS event, to_json({{'timestamp': ts, 'event': 'document_uploaded', 'document_id': id, 'file_hash': sha256(content),
+           'filename': filename, 'file_size_bytes': strlen(content)}})::VARCHAR AS line FROM base
+    UNION ALL SELECT doc_id, 'entities_extracted', to_json({{'timestamp': ts, 'event': 'entities_extracted', 'document_id': id, 'entity_count': found}})::VARCHAR FROM base
+    UNION ALL SELECT doc_id, 'document_anonymized', to_json({{'timestamp': ts, 'event': 'document_anonymized', 'document_id': id, 'entity_count': active}})::VARCHAR FROM base""",
         "ttl_expire": ("WITH en AS (SELECT event_id AS doc_id, ts AS created_at, ts AS last_accessed FROM events)"
                        f" SELECT doc_id, created_at, last_accessed FROM en "
                        f"WHERE epoch_us(TIMESTAMP '{CAT.NOW}') - epoch_us(created_at) <= {vocab.CACHE_TTL_SECONDS * 1000000}::BIGINT"),
@@ -554,3 +580,158 @@ def prompt_oracles() -> dict:
            || substr(d.content, 1, {vocab.ROLE_PROMPT_HEAD_CHARS}) AS prompt
     FROM act a JOIN dd d ON d.doc_id = a.doc_id""",
     }
+
+
+# ------------------------------------------------------------ extract runs (SQL)
+
+def _language_sql(content: str) -> str:
+    from ..operators import classify as C
+    toks = f"string_split_regex(lower({content}), {S.q(C.TOKEN_SPLIT)})"
+    hits = [f"{{'neg': -len(list_filter({toks}, lambda t: list_contains([{', '.join(S.q(w) for w in words)}], t))), 'lang': {S.q(lang)}}}"
+            for lang, words in sorted(C.STOPWORDS.items())]
+    return f"list_transform([list_sort([{', '.join(hits)}])[1]], lambda b: CASE WHEN b.neg < 0 THEN b.lang ELSE {S.q(vocab.DEFAULT_LANGUAGE)} END)[1]"
+
+
+def _placeholder_ctes(language: str = "d.language") -> str:
+    """fin with the proposed placeholder: numbered longest-first per localised label."""
+    lab = S.localise(S.label_for("f.category", "f.entity_type", "f.semantic_role"), language)
+    return f""",
+    lb AS (SELECT f.*, {lab} AS label FROM fin f JOIN dd d ON d.doc_id = f.doc_id),
+    pr_ AS (SELECT *, '[' || label || '_' || cast(row_number() OVER (PARTITION BY doc_id, label ORDER BY length(value) DESC, seq) AS VARCHAR) || ']' AS shown FROM lb)"""
+
+
+def _real_model() -> tuple[str, str]:
+    """The real documents with their detected language, and what the stand-in model answers."""
+    from . import catalog as CAT
+    from ..operators import model as MD
+    docs = f"SELECT doc_id, text AS content, {_language_sql('text')} AS language FROM documents"
+    head = len(MD.ENTITY_HEAD + "\n".join(f"  - {c}" for c in vocab.CATEGORIES) + MD.ENTITY_TEXT)
+    item = """'{"value": "' || v || '", "category": "dati_contatto", "entity_type": "indirizzo_email"}'"""
+    raw = f"""'{{"entities": [' || array_to_string(list_transform(regexp_extract_all(text, {S.q(R.STRUCTURAL[0].pattern)}), lambda v: {item}), ', ') || ']}}'"""
+    model = f"SELECT doc_id, 'entities' AS stage, CASE WHEN length(text) + {head} <= {CAT.PROMPT_LIMIT} THEN {raw} END AS raw FROM documents"
+    return docs, model
+
+
+def _extract_select() -> str:
+    fields = ["value", "category", "entity_type", "confidence", "source", "semantic_role"]
+    item = "{" + ", ".join(f"'{c}': {c}" for c in fields) + ", 'proposed_replacement': shown}"
+    return f"""
+    ej AS (SELECT doc_id, list({item} ORDER BY seq) AS ents FROM pr_ GROUP BY doc_id),
+    failed AS (SELECT doc_id, raw IS NULL AS failed FROM mo WHERE stage = 'entities'),
+    ex AS (SELECT d.doc_id, CASE WHEN f.failed THEN 'error' ELSE 'success' END AS status, CASE WHEN f.failed THEN 'ValueError' END AS error, d.language,
+                  dt.doc_type AS document_type, CASE WHEN NOT f.failed THEN coalesce(len(ej.ents), 0) END AS entities_count,
+                  CASE WHEN NOT f.failed THEN coalesce(to_json(ej.ents)::VARCHAR, '[]') END AS entities, d.content
+           FROM dd d JOIN dt USING (doc_id) JOIN failed f USING (doc_id) LEFT JOIN ej USING (doc_id))"""
+
+
+def extract_oracles() -> dict:
+    from . import catalog as CAT
+    from ..operators import model as MD
+    derived = f"SELECT * REPLACE ({_language_sql('content')} AS language) FROM ({DV.docs_sql()})"
+    docs, model = _real_model()
+    digest = " SELECT doc_id, status, error, language, document_type, entities_count::BIGINT AS entities_count, entities FROM ex"
+    real = _role_ctes(docs, model, recognizers=R.STRUCTURAL) + _placeholder_ctes() + "," + _extract_select()
+    pk = (", pk AS (SELECT doc_id, list({'seq': seq, 'value': value, 'category': category, "
+          "'entity_type': entity_type, 'semantic_role': semantic_role} ORDER BY seq) AS ents FROM fin GROUP BY doc_id)")
+    maps = S.number_placeholders(S.greedy_dedup(f"coalesce(pk.ents, []::{ENT_T}[])", ENT_T), "ex.language")
+    return {
+        "extract_pipeline": _role_ctes(derived) + _placeholder_ctes() + "," + _extract_select() + digest,
+        "extract_documents": real + digest,
+        "model_hook": _merge_ctes(docs, model) + " SELECT m.doc_id, count(llm.doc_id)::BIGINT AS n_entities, CASE WHEN any_value(m.raw) IS NULL THEN 'ValueError' END AS error "
+                                                  "FROM mo m LEFT JOIN llm ON llm.doc_id = m.doc_id GROUP BY m.doc_id",
+        "run_records": real + pk + f""",
+    mm AS (SELECT ex.*, CASE WHEN error IS NULL THEN {maps} END AS mappings FROM ex LEFT JOIN pk USING (doc_id))
+    SELECT {S.q(CAT.RUN_ID)} AS run_id, 'doc_' || cast(doc_id AS VARCHAR) || '.txt' AS document, cast(doc_id AS VARCHAR) AS document_id,
+           length(content)::BIGINT AS char_count, status, error, entities_count::BIGINT AS entities_count, len(mappings)::BIGINT AS mappings_count,
+           CASE WHEN error IS NULL THEN substr({S.substitute('content', 'mappings')}, 1, {vocab.PREVIEW_CHARS}) END AS preview FROM mm""",
+        "redact_isolated": _role_ctes() + pk.replace("pk AS", "pk AS") + f""",
+    mm AS (SELECT d.doc_id, d.content, {S.number_placeholders(S.greedy_dedup(f"coalesce(pk.ents, []::{ENT_T}[])", ENT_T), 'd.language')} AS mappings
+           FROM dd d LEFT JOIN pk ON pk.doc_id = d.doc_id),
+    pt AS (SELECT *, array_to_string(list_transform(mappings, lambda m: regexp_escape(m.original)), '|') AS pat FROM mm),
+    cut AS (SELECT *, regexp_split_to_array(content, pat) AS gaps, regexp_extract_all(content, pat) AS hits FROM pt WHERE pat <> '')
+    SELECT doc_id, len(mappings)::BIGINT AS n_mappings, array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(
+           list_filter(mappings, lambda m: m.original = z[2])[1].replacement, '')), '') AS anonymized FROM cut
+    UNION ALL SELECT doc_id, 0, content FROM pt WHERE pat = ''""",
+        "type_override_rerun": _role_ctes(override="(CASE doc_id % 7 WHEN 0 THEN 'legal' WHEN 1 THEN 'contract' WHEN 2 THEN 'sconosciuto' END)") +
+            f", was AS ({classify_oracles()['doc_type']})"
+            " SELECT f.doc_id, f.seq, f.value, f.semantic_role, f.doc_type FROM fin f JOIN was w USING (doc_id) WHERE f.doc_type IS DISTINCT FROM w.doc_type",
+        "ownership_prompts": _role_ctes() + f""",
+    lines AS (SELECT doc_id, list('  - "' || value || '" is ' || r15 ORDER BY seq) FILTER (actor AND r15 IS NOT NULL) AS roles,
+                     list('  - "' || value || '" (' || entity_type || ')' ORDER BY seq) FILTER (NOT actor AND r15 IS NULL) AS data FROM p15 GROUP BY doc_id)
+    SELECT l.doc_id, {S.q(MD.OWNER_HEAD)} || array_to_string(roles, chr(10)) || {S.q(MD.OWNER_DATA)} || array_to_string(data, chr(10)) || {S.q(MD.ROLE_TEXT)}
+           || substr(d.content, 1, {vocab.OWNERSHIP_PROMPT_HEAD_CHARS}) AS prompt FROM lines l JOIN dd d USING (doc_id) WHERE len(roles) > 0 AND len(data) > 0""",
+        "entity_counts": _merge_ctes() + f""",
+    n AS (SELECT doc_id, count(*) AS n FROM ident GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM ({DV.truth_sql()}) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_pred, coalesce(g.n, 0)::BIGINT AS n_gt FROM dd d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)""",
+        "eval_sorted_report": eval_oracles()["eval_grouping_sets"],
+        "eval_skipped": f"""WITH dd AS ({DV.docs_sql()}), mo AS ({DV.model_sql()}), gt AS (SELECT DISTINCT doc_id FROM ({DV.truth_sql()}) WHERE category = 'dati_temporali'),
+    ok AS (SELECT doc_id, CASE WHEN json_valid({S.json_payload('raw')}) THEN try_cast(json_extract({S.json_payload('raw')}, '$.entities') AS {ITEM_T}[]) IS NOT NULL
+                  ELSE false END AS ok FROM mo WHERE stage = 'entities')
+    SELECT d.doc_id, CASE WHEN gt.doc_id IS NULL THEN 'no annotation' ELSE 'run failed' END AS reason
+    FROM dd d LEFT JOIN gt USING (doc_id) JOIN ok USING (doc_id) WHERE gt.doc_id IS NULL OR NOT ok.ok""",
+    }
+
+
+# ------------------------------------------------------------ review and lookup (SQL)
+
+def review_oracles() -> dict:
+    from . import catalog as CAT
+    action = ("CASE WHEN event_id % 61 = 0 THEN 'remove_all' WHEN event_id % 37 = 0 THEN 'accept_all' WHEN event_type IN ('click', 'purchase') THEN 'accepted' "
+              "WHEN event_type = 'error' THEN 'removed' WHEN event_type = 'signup' THEN 'proposed' END")
+    pk = ("pk AS (SELECT doc_id, list({'seq': seq, 'value': value, 'category': category, 'entity_type': entity_type, 'semantic_role': semantic_role} "
+          "ORDER BY seq) FILTER (status = 'accepted') AS ents FROM st GROUP BY doc_id)")
+    single = ("CASE WHEN event_type IN ('click', 'purchase') THEN 'accepted' WHEN event_type = 'error' THEN 'removed' WHEN event_type = 'signup' THEN 'proposed' END")
+    label = "upper(coalesce(nullif(entity_type, ''), nullif(category, ''), 'entita'))"
+    return {
+        # the decisions on an entity replayed one by one, in the order they were made
+        "review_bulk": _merge_ctes() + f""",
+    dec AS (SELECT user_id AS doc_id, ((event_id % 20) + 1)::INTEGER AS seq, {action} AS action, ts, event_id FROM events),
+    hit AS (SELECT i.doc_id, i.seq, list(d.action ORDER BY d.ts, d.event_id) AS actions FROM ident i JOIN dec d ON d.doc_id = i.doc_id
+            AND d.action IS NOT NULL AND (d.seq = i.seq OR d.action IN ('accept_all', 'remove_all')) GROUP BY ALL)
+    SELECT i.doc_id, i.seq, list_reduce(coalesce(actions, []::VARCHAR[]), lambda s, a: CASE WHEN a = 'remove_all' THEN 'removed'
+           WHEN a = 'accept_all' THEN (CASE WHEN s = 'removed' THEN s ELSE 'accepted' END) ELSE a END, 'proposed') AS status
+    FROM ident i LEFT JOIN hit h ON h.doc_id = i.doc_id AND h.seq = i.seq""",
+        "mapping_write_back": _role_ctes() + _placeholder_ctes() + f""",
+    dec AS (SELECT user_id AS doc_id, ((event_id % 20) + 1)::INTEGER AS seq, {single} AS status, ts, event_id FROM events),
+    lat AS (SELECT doc_id, seq, arg_max(status, {{'t': ts, 'e': event_id}}) AS status FROM dec WHERE status IS NOT NULL GROUP BY doc_id, seq),
+    st AS (SELECT p.*, coalesce(l.status, 'proposed') AS status FROM pr_ p LEFT JOIN lat l ON l.doc_id = p.doc_id AND l.seq = p.seq), {pk},
+    maps AS (SELECT pk.doc_id, unnest({S.number_placeholders(S.greedy_dedup(f'coalesce(pk.ents, []::{ENT_T}[])', ENT_T), 'd.language')}) AS m FROM pk JOIN dd d ON d.doc_id = pk.doc_id),
+    last_ AS (SELECT doc_id, m.original AS original, arg_max(m.replacement, m.ord) AS replacement, arg_max(coalesce(m.semantic_role, ''), m.ord) AS role FROM maps GROUP BY ALL)
+    SELECT st.doc_id, st.seq, st.value AS original, coalesce(l.replacement, st.shown) AS substitution, coalesce(nullif(l.role, ''), st.semantic_role) AS semantic_role
+    FROM st LEFT JOIN last_ l ON l.doc_id = st.doc_id AND l.original = st.value""",
+        "placeholder_default": _role_ctes() + _placeholder_ctes() + f"""
+    SELECT doc_id, seq, CASE WHEN category <> 'dati_contatto' THEN shown ELSE '[' || {label} || '_' || cast(row_number() OVER (
+           PARTITION BY doc_id, category <> 'dati_contatto', {label} ORDER BY seq) AS VARCHAR) || ']' END AS substitution FROM pr_""",
+        "document_lookup": f"""WITH st AS (SELECT DISTINCT user_id AS doc_id, ts AS created_at FROM events WHERE event_type = 'signup'),
+    rq AS (SELECT event_id AS request_id, user_id AS doc_id, ts AS at FROM events WHERE event_type IN ('view', 'click')),
+    j AS (SELECT rq.*, st.created_at AS v FROM rq ASOF LEFT JOIN st ON rq.doc_id = st.doc_id AND rq.at >= st.created_at),
+    k AS (SELECT *, v IS NOT NULL AND epoch_us(at) - epoch_us(v) <= {CAT.LOOKUP_TTL * 1000000}::BIGINT AS live FROM j)
+    SELECT request_id, doc_id, CASE WHEN live THEN v END AS created_at,
+           CASE WHEN v IS NULL THEN 'document not found' WHEN NOT live THEN 'document expired' END AS reason FROM k""",
+    }
+
+
+# ------------------------------------------------------------ detector options (SQL)
+
+def _detected_ids(recs) -> str:
+    return (f"WITH det AS (SELECT doc_id, {S.detected_array('content', 'language', None, recs)} AS detected FROM ({DV.identifiers_sql()})), "
+            "e AS (SELECT doc_id, e.* FROM (SELECT doc_id, unnest(detected) AS e FROM det))")
+
+
+def option_oracles() -> dict:
+    from . import catalog as CAT
+    ids = _recs(*CAT.ID_TYPES)
+    kinds = {t: e for t, _, e in vocab.DETECTOR_TYPE_MAP}
+    base = " OR ".join(f"(entity_type = {S.q(k)} AND confidence NOT IN ({', '.join(str(r.score) for r in ids if kinds[r.detector_type] == k)}))"
+                       for k in sorted({kinds[r.detector_type] for r in ids}))
+    wanted = ["dati_contatto", "dati_finanziari"]
+    words = "regexp_split_to_array(value, '\\s+')"
+    return {
+        "category_filter": (f"WITH {_docs_cte()}, det AS (SELECT doc_id, {S.detected_array('content', 'language', wanted)} AS detected FROM docs) "
+                            "SELECT doc_id, e.seq AS seq, e.value AS value, e.category AS category, e.entity_type AS entity_type FROM (SELECT doc_id, unnest(detected) AS e FROM det)"),
+        "keep_fn_filter": _merge_ctes() + f" SELECT doc_id, seq, value, entity_type FROM ner WHERE NOT (entity_type = 'nome_cognome' AND length({words}[1]) = length({words}[-1]))",
+        "detect_ids_ch_it": _detected_ids(ids) + " SELECT doc_id, seq, value, category, entity_type, confidence FROM e",
+        "context_boost": _detected_ids(ids) + f" SELECT doc_id, seq, value, entity_type, confidence FROM e WHERE {base}",
+        "detect_iban_mod97": _detected_ids(_recs("IBAN_CODE")) + " SELECT doc_id, seq, value, entity_type FROM e",
+        "wide_filters": _detected_ids(CAT.WIDE) + " SELECT doc_id, seq, value, category, entity_type FROM e",
+    }

@@ -16,16 +16,11 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # Constraint propagation re-derives constraints over every (large,
-    # lambda-heavy) projection on each optimizer pass; on these plans it
-    # costs minutes of driver time and only adds inferred null filters.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 # Runtime SQL settings the library's plans rely on; applied to any session
 # (the driver may bring its own) before a registered query is built.
 RUNTIME_CONF = {
-    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

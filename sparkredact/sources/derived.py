@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import tables as T
 
@@ -184,8 +185,9 @@ def docs_sql(customer="customer", orders="orders", supplier="supplier") -> str:
     FROM f"""
 
 
-def model_sql(customer="customer", orders="orders", supplier="supplier") -> str:
-    """Model outputs per document: three stages with planted faults."""
+def model_sql(customer="customer", orders="orders", supplier="supplier", wide: bool = False) -> str:
+    """Model outputs per document: three stages with planted faults, a row a
+    stage; ``wide``: a column a stage."""
     def item(value, category, etype):
         return ("'{\"value\": \"' || " + value + " || '\", \"category\": \"" + category
                 + "\", \"entity_type\": \"' || " + etype + " || '\"}'")
@@ -236,9 +238,13 @@ def model_sql(customer="customer", orders="orders", supplier="supplier") -> str:
                 f"WHEN r % 3 = 1 THEN '```json' || {NL} || {j} || {NL} || '```' "
                 f"WHEN r % 5 = 2 THEN 'Here is the result:' || {NL} || {j} || {NL} || 'Done.' "
                 f"ELSE {j} END")
-    return f"""WITH {_base(customer, orders, supplier)},
+    laid_out = f"""WITH {_base(customer, orders, supplier)},
     g AS (SELECT f.*, {role} AS role, {org_role} AS org_role FROM f),
-    h AS (SELECT g.*, lower(replace(role, ' ', '_')) AS role_n, lower(replace(org_role, ' ', '_')) AS org_role_n FROM g)
+    h AS (SELECT g.*, lower(replace(role, ' ', '_')) AS role_n, lower(replace(org_role, ' ', '_')) AS org_role_n FROM g)"""
+    if wide:
+        return f"""{laid_out}
+    SELECT doc_id, {fault(ent_json)} AS entities, {fault(roles_json)} AS roles, {fault(own_json)} AS ownership FROM h"""
+    return f"""{laid_out}
     SELECT doc_id, 'entities' AS stage, {fault(ent_json)} AS raw FROM h
     UNION ALL
     SELECT doc_id, 'roles' AS stage, {fault(roles_json)} AS raw FROM h
@@ -261,6 +267,35 @@ def truth_sql(customer="customer", orders="orders", supplier="supplier") -> str:
     return f"WITH {_base(customer, orders, supplier)} {sel}"
 
 
+def identifiers_sql(customer="customer") -> str:
+    """A document per customer with the identifiers no other table holds: identity
+    cards on paper and electronic, social insurance and VAT numbers, plates, fiscal
+    codes, medical licences, wallets, IBANs, and dates that are none; each well and
+    badly formed, and with or without a word of context before it."""
+    n = "c_custkey"
+    letter = lambda k: f"chr(65 + cast(({n} * {k}) % 26 AS int))"
+    card7 = _num(f"({n} * 37) % 10000000", 7)
+    d = [f"(({n} * {k}) % 10)" for k in (3, 7, 11, 13, 17, 19)]
+    check = f"(({d[0]} + {d[2]} + {d[4]} + 2 * ({d[1]} + {d[3]} + {d[5]})) % 10)"
+    licence = " || ".join(["'B'", letter(3), *[f"cast({x} AS string)" for x in d], f"cast(({check} + CASE WHEN {n} % 4 = 0 THEN 1 ELSE 0 END) % 10 AS string)"])
+    code = f"'VRD' || {letter(3)} || {letter(7)} || {letter(9)} || {_num(f'{n} % 100', 2)} || 'A' || {_num(f'{n} % 28 + 1', 2)} || 'H' || {_num(f'{n} % 1000', 3)} || {letter(11)}"
+    iban = _case(f"{n} % 5", _IBAN)
+    gap = f"CASE WHEN {n} % 3 = 0 THEN 'rif. ' ELSE '' END || "
+    lines = [
+        f"CASE WHEN {n} % 2 = 0 THEN 'Carta di identità ' ELSE 'Codice ' END || {letter(5)} || {letter(9)} || {card7}",
+        f"CASE WHEN {n} % 2 = 1 THEN 'CIE ' ELSE 'Sigla ' END || {letter(7)} || {letter(3)} || {_num(f'{n} % 100000', 5)} || {letter(5)} || {letter(11)}",
+        f"CASE WHEN {n} % 3 = 1 THEN 'AHV ' ELSE 'Nr. ' END || {gap}'756.' || {_num(f'{n} % 10000', 4)} || '.' || {_num(f'({n} * 7) % 10000', 4)} || '.' || {_num(f'{n} % 100', 2)}",
+        f"CASE WHEN {n} % 3 = 2 THEN 'P.IVA ' ELSE 'Nr. ' END || {_num(f'({n} * 7919) % 100000000000', 11)}",
+        f"CASE WHEN {n} % 2 = 0 THEN 'Targa ' ELSE 'Sigla ' END || {letter(3)} || {letter(5)} || {_num(f'{n} % 1000', 3)} || {letter(7)} || {letter(9)}",
+        f"'Codice fiscale ' || CASE WHEN {n} % 4 = 1 THEN substr({code}, 1, 15) || '9' ELSE {code} END",
+        f"'Licence ' || {licence}",
+        f"'Wallet 1' || replace(replace({_num(f'({n} * 7919) % 100000000', 8)}, '0', 'x'), '1', 'y') || 'BoatSLRHtKNngkdXEeobR7'",
+        f"'IBAN ' || CASE WHEN {n} % 5 = 0 THEN substr({iban}, 1, 6) || '99' || substr({iban}, 9) ELSE {iban} END",
+        f"'Da ' || cast({n} % 30 + 1 AS string) || ' anni, dal ' || {_num(f'{n} % 28 + 1', 2)} || '/' || {_num(f'{n} % 12 + 1', 2)} || '/' || cast(1990 + {n} % 30 AS string)",
+    ]
+    return f"SELECT {n} AS doc_id, concat_ws({NL}, {', '.join(lines)}) AS content, 'it' AS language FROM {customer}"
+
+
 def _spark_sql(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
     """Run a builder's SQL on Spark over temp views named per input folder."""
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
@@ -277,8 +312,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark_sql(spark, sf_dir, model_sql)
+    """``model_sql`` from one pass over the base instead of one a stage."""
+    wide = _spark_sql(spark, sf_dir, lambda *names: model_sql(*names, wide=True))
+    return wide.select("doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("raw")) for s in ("entities", "roles", "ownership")])).alias("m")) \
+               .select("doc_id", "m.stage", "m.raw")
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark_sql(spark, sf_dir, truth_sql)
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_sql(spark, sf_dir, lambda customer, *_: identifiers_sql(customer))

@@ -87,12 +87,13 @@ def run_id_of(ts) -> "F.Column":
     return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Per-document results or the evaluation report, partitioned by run."""
-    w = df.write.mode("append")
-    if "run_id" in df.columns:
-        w = w.partitionBy("run_id")
-    getattr(w, fmt)(path)
+def write_run(df: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
+    """The results or the report of one run, under ``run_id=...``.
+
+    Written again, a run replaces its own rows and no other run's.  A report that
+    is sorted keeps its order over the part files, in the order of their names."""
+    df = df.drop("run_id").withColumn("run_id", F.lit(run_id))
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").format(fmt).save(path)
 
 
 def write_redacted_text(df: DataFrame, path: str, col: str = "anonymized", id_col: str = "doc_id") -> None:

@@ -9,6 +9,8 @@ The checkpoint lives under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,13 @@ def redact_stream_df(stream: DataFrame, recognizers=None) -> DataFrame:
 def start(spark: SparkSession, source_dir: str, sink_dir: str, glob: str = "*.parquet",
           checkpoint: str | None = None, available_now: bool = True):
     """Start the stream: parquet files in ``source_dir`` -> redacted parquet in
-    ``sink_dir``.  ``available_now`` processes what is there and stops."""
+    ``sink_dir``.  ``available_now`` processes what is there and stops.  Without a
+    ``checkpoint`` it lies in the shared folder, one for each source and sink."""
+    own = hashlib.sha256(f"{source_dir}\n{sink_dir}".encode()).hexdigest()[:16]
     src = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", 64).parquet(source_dir))
     q = (redact_stream_df(src).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or shared_dir(spark, "redact_stream_ckpt"))
+         .option("checkpointLocation", checkpoint or shared_dir(spark, f"redact-stream-{own}"))
          .option("path", sink_dir))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
     return q.start()

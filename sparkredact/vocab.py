@@ -232,6 +232,7 @@ PROXIMITY_DONOR_TYPES = ["nome_azienda", "nome_organizzazione", "nome_cognome"]
 PROXIMITY_THRESHOLD = 200
 ROLE_PROMPT_HEAD_CHARS = 3000
 OWNERSHIP_PROMPT_HEAD_CHARS = 2000
+PREVIEW_CHARS = 600
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: placeholder labels
@@ -367,3 +368,4 @@ CACHE_TTL_SECONDS = 604800
 CACHE_MAX_BYTES = 500 * 1024 * 1024
 
 DEFAULT_REVIEW_STATUS = "proposed"
+REVIEW_STATUSES = ["proposed", "accepted", "removed"]
