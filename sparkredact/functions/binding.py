@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, wraps
 from typing import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     interpreted: for arrays of structs, not for whole-stage code.)
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def built_once(build: Callable) -> Callable:
+    """An expression over column names, built once an application: it is the same
+    for every table, and a large one is thousands of calls of the JVM."""
+    @lru_cache(maxsize=32)
+    def of(application: str, *args):
+        return build(*args)
+
+    @wraps(build)
+    def call(*args):
+        return of(SparkContext._active_spark_context.applicationId, *args)
+    return call

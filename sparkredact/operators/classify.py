@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import dims, vocab
+from .. import vocab
+from ..functions.binding import let
 
 # Stop-word profiles used to score the language of a text.  The reference
 # detects Italian, English, French and German (default Italian); the profile
@@ -27,17 +28,15 @@ def detect_language(text: Column, profiles: dict | None = None,
     """The language whose stop words occur most often among the tokens;
     ties go to the smaller language code; no hit at all -> ``default``."""
     profiles = profiles or STOPWORDS
-    toks = F.split(F.lower(text), TOKEN_SPLIT, -1)
-    scores = F.array(*[
+    scores = lambda toks: F.array(*[
         F.struct((-F.size(F.filter(toks, _in_list(words)))).alias("neg"), F.lit(lang).alias("lang"))
         for lang, words in sorted(profiles.items())])
-    best = F.get(F.array_sort(scores), F.lit(0))
-    return F.when(best["neg"] < 0, best["lang"]).otherwise(F.lit(default))
+    best = let(F.split(F.lower(text), TOKEN_SPLIT, -1), lambda toks: F.array_min(scores(toks)))
+    return F.coalesce(let(best, lambda b: F.when(b["neg"] < 0, b["lang"])), F.lit(default))
 
 
 def _in_list(words):
-    arr = dims.array_lit(words)
-    return lambda t: F.array_contains(arr, t)
+    return lambda t: t.isin(words)
 
 
 def detect_doc_type(text: Column) -> Column:

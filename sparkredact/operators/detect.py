@@ -10,7 +10,6 @@ Two shapes:
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Callable, Iterable, Iterator, Optional
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import dims, vocab
 from ..functions import recognizers as R
+from ..functions.binding import built_once
 from ..functions.text import clean_span, rstrip_chars, ustrip
 
 ENTITY_STRUCT = ("seq", "value", "category", "entity_type", "confidence", "source")
@@ -91,17 +91,16 @@ def detected_array(text: Column, lang: Column,
     return F.transform(ent, lambda e: F.struct(*[e[k].alias(k) for k in ENTITY_STRUCT]))
 
 
-@lru_cache(maxsize=32)
-def _detector(application: str, text_col: str, lang_col: str, categories: tuple, recognizers: tuple) -> tuple[dict, Column]:
-    """The detector's expressions over two column names: many calls to build, the same for every table."""
+@built_once
+def _detector(text_col: str, lang_col: str, categories: tuple, recognizers: tuple) -> tuple[dict, Column]:
+    """The detector's expressions over two column names."""
     text = F.col(text_col)
     return R.extractions(text, list(recognizers)), detected_array(text, F.col(lang_col), categories, list(recognizers), projected=True)
 
 
 def detect_packed(docs: DataFrame, text_col: str = "content", lang_col: str = "language",
                   categories=None, recognizers=None, out_col: str = "detected") -> DataFrame:
-    found, detected = _detector(docs.sparkSession.sparkContext.applicationId, text_col, lang_col, tuple(categories or ()),
-                                tuple(recognizers or R.DEFAULT_RECOGNIZERS))
+    found, detected = _detector(text_col, lang_col, tuple(categories or ()), tuple(recognizers or R.DEFAULT_RECOGNIZERS))
     return docs.withColumns(found).withColumn(out_col, detected).drop(*found)
 
 

@@ -29,13 +29,11 @@ def _trimmed(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(value, f"^[{cls}]+|[{cls}]+$", "")), r"\s+", " ")
 
 
-def normal_forms(df: DataFrame, value: str = "value", out: str = "v") -> DataFrame:
-    """``df`` with ``out``: NFKC, strip the fixed punctuation/whitespace set,
-    lower-case, collapse whitespace runs.  ASCII values are their own NFKC form:
-    only the rows with other characters go through a Python worker."""
-    other = F.col(value).rlike(r"[^\x00-\x7F]")
-    plain = df.where(F.coalesce(~other, F.lit(True))).withColumn(out, _trimmed(F.col(value)))
-    return plain.unionByName(df.where(other).withColumn(out, _trimmed(_nfkc(F.col(value)))))
+def normal_form(value: Column) -> Column:
+    """NFKC, strip the fixed punctuation/whitespace set, lower-case, collapse
+    whitespace runs.  ASCII values are their own NFKC form: only values with other
+    characters are sent to the Python worker, the rest as nulls."""
+    return _trimmed(F.coalesce(_nfkc(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value))
 
 
 def language_from_name(filename: Column) -> Column:
@@ -48,8 +46,8 @@ def language_from_name(filename: Column) -> Column:
 
 
 def _norm_set(df: DataFrame) -> DataFrame:
-    rows = normal_forms(df.where(F.col("value").isNotNull()).select("doc_id", "value", "category"))
-    return rows.select("doc_id", "v", "category").distinct()
+    return (df.where(F.col("value").isNotNull())
+            .select("doc_id", normal_form(F.col("value")).alias("v"), "category").distinct())
 
 
 def strict_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -88,8 +86,9 @@ def evaluable(pred: DataFrame, truth: DataFrame, runs: DataFrame | None = None)
     and, when run records are given, whose run succeeded.  A document that is
     skipped leaves both sides, so its truth is no miss."""
     keep = truth.select("doc_id").distinct()
-    if runs is not None:
-        keep = keep.join(runs.where(F.col("status") == "success").select("doc_id").distinct(), "doc_id", "left_semi")
+    if runs is None:
+        return pred.join(keep, "doc_id", "left_semi"), truth
+    keep = keep.join(runs.where(F.col("status") == "success").select("doc_id").distinct(), "doc_id", "left_semi")
     return pred.join(keep, "doc_id", "left_semi"), truth.join(keep, "doc_id", "left_semi")
 
 
@@ -118,11 +117,11 @@ def report(spark: SparkSession, counts: DataFrame, doc_lang: DataFrame) -> DataF
     """tp/fp/fn and P/R/F1 by category, language, document and overall.
     ``counts`` is (doc_id, category, tp, fp, fn); ``doc_lang`` (doc_id, lang).
     Every evaluated document is zero-filled over the six categories."""
-    docs = counts.select("doc_id").distinct().join(doc_lang, "doc_id", "left")
-    # zero-fill: every document x the six fixed categories (explode of a literal)
-    grid = docs.select("doc_id", "lang", F.explode(F.array(*[F.lit(c) for c in vocab.CATEGORIES])).alias("category"))
-    full = grid.join(counts, ["doc_id", "category"], "left").select(
-        "doc_id", "lang", "category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    # zero-fill: a document's counts as one row, then the six fixed categories of it
+    own = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("tp", "fp", "fn")))).alias("own"))
+    grid = own.join(doc_lang, "doc_id", "left").select("doc_id", "lang", "own", F.explode(F.array(*[F.lit(c) for c in vocab.CATEGORIES])).alias("category"))
+    got = F.try_element_at("own", F.col("category"))
+    full = grid.select("doc_id", "lang", "category", *[F.coalesce(got[c], F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
     agg = full.groupingSets([["category"], ["lang"], ["doc_id"], []], "category", "lang", "doc_id").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
         F.grouping("category").alias("gc"), F.grouping("lang").alias("gl"), F.grouping("doc_id").alias("gd"))

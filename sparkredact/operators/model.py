@@ -61,8 +61,8 @@ def run_model(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]],
 
     ``make_model`` is called once a task and returns the callable, which answers a
     list of prompts.  A list that fails is asked again prompt by prompt, each up
-    to ``retries`` times more; what still fails has a null ``raw`` and the kind of
-    the error (never its text, which may hold the document).  A null prompt isn't
+    to ``retries`` times and once at least; what still fails has a null ``raw`` and
+    the kind of the error (never its text, which may hold the document).  A null prompt isn't
     asked.  The callable must answer alike when a lost task is run again.
     """
     def answer(model, asked: list[str]) -> list[tuple]:
@@ -75,7 +75,7 @@ def run_model(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]],
             rows = []
             for prompt in asked:
                 row = None
-                for attempt in range(2, retries + 2):
+                for attempt in range(2, max(retries, 1) + 2):
                     try:
                         row = (model([prompt])[0], None, attempt)
                         break

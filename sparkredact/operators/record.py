@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims, vocab
-from ..functions.binding import let
+from ..functions.binding import built_once, let
 from ..functions.text import clean_model_value, rstrip_chars, ustrip
 from ..functions.value_scan import related, value_facts
 from . import classify as C
@@ -80,7 +80,10 @@ def assemble(docs: DataFrame, model_outputs: DataFrame, categories=None, text_co
     ``lang_col`` None detects the language (C19); either way the rules take the
     effective one (B16).  A null text has no entities."""
     language = F.col(lang_col) if lang_col else C.detect_language(F.col(text_col))
-    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    # Both sides are dealt by document before their texts are worked on, so the work is
+    # spread however few rows the inputs have, and the join finds them in place.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs, model_outputs = docs.repartition(partitions, "doc_id"), model_outputs.repartition(partitions, "doc_id")
     docs = docs.withColumn("doc_language", language).withColumn("_rules", D.effective_language(F.col("doc_language")))
     docs = D.detect_packed(docs, text_col, "_rules", categories, recognizers).drop("_rules")
     joined = docs.join(model_lists(model_outputs, categories), "doc_id", "left")
@@ -129,10 +132,14 @@ def judge(rows: DataFrame) -> DataFrame:
     """D-1 to D-8: ``judged``, an array of the pattern entities with their facts and ``keep``."""
     low = lambda c: F.transform(c, lambda e: F.lower(e["value"]))
     rows = rows.withColumn("_related", related(low(F.col("g1")), low(F.col("llm"))))
-    judged = let(F.struct(_named(F.col("g1")).alias("g1"), _named(F.col("llm")).alias("llm"), F.col("_related").alias("related")), lambda r: F.transform(
+    return rows.withColumn("judged", _judged_column()).drop("_related")
+
+
+@built_once
+def _judged_column() -> Column:
+    return let(F.struct(_named(F.col("g1")).alias("g1"), _named(F.col("llm")).alias("llm"), F.col("_related").alias("related")), lambda r: F.transform(
         r["g1"], lambda n, i: let(F.transform(F.get(r["related"], i), lambda j: F.get(r["llm"], j)), lambda hits: let(
             _judged(n, hits), lambda x: x.withField("keep", _kept(x))))))
-    return rows.withColumn("judged", judged).drop("_related")
 
 
 def merged(judged: Column, llm: Column) -> Column:
@@ -192,13 +199,22 @@ def _with_institutions(retyped: Column) -> Column:
 def identified(rows: DataFrame, text_col: str = "content") -> DataFrame:
     """``merged`` (D-9, D-10), ``facts`` (the scan) and ``entities``: every merged
     entity and find, in order, with ``keep`` and why it was re-typed."""
-    found = F.coalesce(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(M.INSTITUTION_RE), 0), ustrip), F.array().cast("array<string>"))
-    rows = rows.withColumn("_cands", let(F.struct(F.col("judged"), F.col("llm"), found.alias("found")), lambda r: let(
-        merged(r["judged"], r["llm"]), lambda m: _candidates(m, r["found"]))))
+    rows = rows.withColumn("_cands", _candidates_column(text_col))
     of = lambda name: F.transform("_cands", lambda x: x[name])
     rows = rows.withColumn("facts", value_facts(F.col(text_col), F.transform("_cands", lambda x: x["e"]["value"]), of("candidate"), of("norm")))
-    return rows.withColumn("entities", let(F.struct(F.col("_cands").alias("cands"), F.col("facts")), lambda r: _with_institutions(
-        _retyped(r["cands"], r["facts"])))).drop("_cands")
+    return rows.withColumn("entities", _entities_column()).drop("_cands")
+
+
+@built_once
+def _candidates_column(text_col: str) -> Column:
+    found = F.coalesce(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(M.INSTITUTION_RE), 0), ustrip), F.array().cast("array<string>"))
+    return let(F.struct(F.col("judged"), F.col("llm"), found.alias("found")), lambda r: let(
+        merged(r["judged"], r["llm"]), lambda m: _candidates(m, r["found"])))
+
+
+@built_once
+def _entities_column() -> Column:
+    return let(F.struct(F.col("_cands").alias("cands"), F.col("facts")), lambda r: _with_institutions(_retyped(r["cands"], r["facts"])))
 
 
 # ------------------------------------------------------------------ roles (D-13 ... D-18)
@@ -253,8 +269,13 @@ def with_roles(rows: DataFrame, text_col: str = "content", override_col: str | N
     """B14, C20, D-13 to D-18: ``doc_type`` and, in ``entities``, the role after each pass."""
     override = F.col(override_col) if override_col else none("string")
     rows = rows.withColumn("doc_type", C.effective_doc_type(override, C.detect_doc_type(F.col(text_col))))
+    return rows.withColumn("entities", _roles_column())
+
+
+@built_once
+def _roles_column() -> Column:
     pairs = lambda c: F.coalesce(F.transform(c, lambda p: F.struct(p["value"].alias("value"), p["role"].alias("role"))), F.array().cast(f"array<{_PAIR}>"))
-    return rows.withColumn("entities", let(F.struct(F.col("entities"), F.col("facts"), pairs("assigned").alias("assigned"), pairs("owned").alias("owned"), F.col("doc_type")), _roles))
+    return let(F.struct(F.col("entities"), F.col("facts"), pairs("assigned").alias("assigned"), pairs("owned").alias("owned"), F.col("doc_type")), _roles)
 
 
 # ------------------------------------------------------------------ entity rows

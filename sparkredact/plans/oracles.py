@@ -703,9 +703,9 @@ def review_oracles() -> dict:
     SELECT doc_id, seq, CASE WHEN category <> 'dati_contatto' THEN shown ELSE '[' || {label} || '_' || cast(row_number() OVER (
            PARTITION BY doc_id, category <> 'dati_contatto', {label} ORDER BY seq) AS VARCHAR) || ']' END AS substitution FROM pr_""",
         "document_lookup": f"""WITH st AS (SELECT DISTINCT user_id AS doc_id, ts AS created_at FROM events WHERE event_type = 'signup'),
-    rq AS (SELECT event_id AS request_id, user_id AS doc_id, ts AS at FROM events WHERE event_type IN ('view', 'click')),
-    j AS (SELECT rq.*, st.created_at AS v FROM rq ASOF LEFT JOIN st ON rq.doc_id = st.doc_id AND rq.at >= st.created_at),
-    k AS (SELECT *, v IS NOT NULL AND epoch_us(at) - epoch_us(v) <= {CAT.LOOKUP_TTL * 1000000}::BIGINT AS live FROM j)
+    rq AS (SELECT event_id AS request_id, user_id AS doc_id, ts AS asked_at FROM events WHERE event_type IN ('view', 'click')),
+    j AS (SELECT rq.*, st.created_at AS v FROM rq ASOF LEFT JOIN st ON rq.doc_id = st.doc_id AND rq.asked_at >= st.created_at),
+    k AS (SELECT *, v IS NOT NULL AND epoch_us(asked_at) - epoch_us(v) <= {CAT.LOOKUP_TTL * 1000000}::BIGINT AS live FROM j)
     SELECT request_id, doc_id, CASE WHEN live THEN v END AS created_at,
            CASE WHEN v IS NULL THEN 'document not found' WHEN NOT live THEN 'document expired' END AS reason FROM k""",
     }

@@ -252,18 +252,23 @@ def model_sql(customer="customer", orders="orders", supplier="supplier", wide: b
     SELECT doc_id, 'ownership' AS stage, {fault(own_json)} AS raw FROM h"""
 
 
-def truth_sql(customer="customer", orders="orders", supplier="supplier") -> str:
-    """Planted entities: (doc_id, value, category)."""
-    rows = [
-        ("person", "persone_fisiche"), ("dob", "persone_fisiche"), ("email", "dati_contatto"),
-        ("phone", "dati_contatto"), ("street || ', ' || city", "dati_contatto"),
-        ("company", "persone_giuridiche"), ("supplier", "persone_giuridiche"),
-        ("cf", "identificativi"), ("iban", "dati_finanziari"), ("plate", "identificativi"),
-        ("contract_date", "dati_temporali"),
-    ]
+_PLANTED = [
+    ("person", "persone_fisiche"), ("dob", "persone_fisiche"), ("email", "dati_contatto"),
+    ("phone", "dati_contatto"), ("street || ', ' || city", "dati_contatto"),
+    ("company", "persone_giuridiche"), ("supplier", "persone_giuridiche"),
+    ("cf", "identificativi"), ("iban", "dati_finanziari"), ("plate", "identificativi"),
+    ("contract_date", "dati_temporali"),
+]
+
+
+def truth_sql(customer="customer", orders="orders", supplier="supplier", wide: bool = False) -> str:
+    """Planted entities: (doc_id, value, category); ``wide``: a column a value."""
+    if wide:
+        return (f"WITH {_base(customer, orders, supplier)} SELECT doc_id, language, "
+                + ", ".join(f"{v} AS v{i}" for i, (v, _) in enumerate(_PLANTED)) + " FROM f")
     sel = " UNION ALL ".join(
         f"SELECT doc_id, language, {v} AS value, '{c}' AS category FROM f WHERE {v} IS NOT NULL"
-        for v, c in rows)
+        for v, c in _PLANTED)
     return f"WITH {_base(customer, orders, supplier)} {sel}"
 
 
@@ -319,7 +324,10 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark_sql(spark, sf_dir, truth_sql)
+    """``truth_sql`` from one pass over the base instead of one a value."""
+    wide = _spark_sql(spark, sf_dir, lambda *names: truth_sql(*names, wide=True))
+    planted = F.array(*[F.struct(F.col(f"v{i}").alias("value"), F.lit(c).alias("category")) for i, (_, c) in enumerate(_PLANTED)])
+    return wide.select("doc_id", "language", F.explode(planted).alias("p")).select("doc_id", "language", "p.value", "p.category").where("value is not null")
 
 
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
