@@ -9,8 +9,9 @@ expected number, the highest marginal and the length give the document's score.
 Labels are of documents, so the words the field learns from are labelled by
 association: a word of a toxic document is toxic if one of its features occurs
 in toxic documents far more often than chance allows; every other word is clean.
-The field is fitted on a bounded sample of labelled rows (``toxic_rows``,
-``clean_rows``, ``max_chars``); counts of labels are over all of them.
+The associations are counted over all labelled texts; the weights are fitted on a
+bounded sample of them (``toxic_rows``, ``clean_rows``, ``max_chars``), a block of
+words at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,60 +106,99 @@ class Model:
         return out
 
 
-def _seeds(types: np.ndarray, docs: np.ndarray, n_types: int, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Word types with a feature that marks toxic documents."""
-    pairs = np.unique(docs.astype(np.int64) * n_types + types)
-    doc, kind = pairs // n_types, pairs % n_types
-    share = toxic.mean()
-    marked = np.zeros(n_types, bool)
-    for column in feats.T:
-        seen = np.unique(doc * BUCKETS + column[kind])
-        bucket, bad = seen % BUCKETS, toxic[seen // BUCKETS]
-        c1, c = np.bincount(bucket[bad], minlength=BUCKETS), np.bincount(bucket, minlength=BUCKETS)
-        c0 = c - c1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rate = c1 / c
-            ratio = 2 * (np.where(c1 > 0, c1 * np.log(rate / share), 0) + np.where(c0 > 0, c0 * np.log((1 - rate) / (1 - share)), 0))
-            marked |= ((rate >= SEED_SHARE) & (ratio >= SEED_RATIO))[column]
+# Words the fit works on at once.
+_BLOCK = 200_000
+
+
+@lru_cache(maxsize=300_000)
+def _buckets(word: str) -> tuple[int, ...]:
+    return tuple(features(word))
+
+
+def associations(rows: DataFrame) -> np.ndarray:
+    """Buckets of features that mark toxic texts, of all ``rows`` (text, toxic)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            toxic = batch.column(1).to_pylist()
+            for i, text in enumerate(batch.column(0)):
+                own = {b for w in set(words(text.as_py())) for b in _buckets(w)}
+                seen[int(toxic[i])][np.fromiter(own, np.int64, len(own))] += 1
+        used = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["bucket", "clean", "toxic"])
+
+    totals = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
+    share = totals.get(True, 0) / max(sum(totals.values()), 1)
+    found = (rows.select("text", "toxic").mapInArrow(count, "bucket int, clean long, toxic long")
+             .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow())  # at most a row a bucket
+    c0, c1 = (found[c].to_numpy().astype(np.float64) for c in ("clean", "toxic"))
+    marked = np.zeros(BUCKETS, bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = c1 / (c0 + c1)
+        ratio = 2 * (np.where(c1 > 0, c1 * np.log(rate / share), 0) + np.where(c0 > 0, c0 * np.log((1 - rate) / (1 - share)), 0))
+        marked[found["bucket"].to_numpy()] = (rate >= SEED_SHARE) & (ratio >= SEED_RATIO)
     return marked
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25, l2: float = 1e-6) -> Model:
-    """``toxic`` per text; ``weight`` gives each text the number of labelled rows it stands for."""
+def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, marked: np.ndarray, steps: int = 25, l2: float = 1e-6) -> Model:
+    """``toxic`` per text; ``weight`` gives each text the number of labelled rows it
+    stands for; ``marked`` are the features that mark toxic texts.
+
+    Kept between steps: an id and a label a word, and the features of each
+    distinct word; a step works on blocks of 200,000 words."""
     trans, document = np.zeros((2, 2)), np.zeros(4)
-    if not len(texts) or toxic.all() or not toxic.any():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, trans, 0.0, document, float(toxic.mean()) if len(texts) else 0.0)
+    if not len(toxic) or toxic.all() or not toxic.any():
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, trans, 0.0, document, float(toxic.mean()) if len(toxic) else 0.0)
     index: dict[str, int] = {}
-    found = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int64) for t in texts]
-    chain = Chain(np.array([len(f) for f in found]))
-    types = np.concatenate(found)
-    feats = np.array([features(w) for w in index], np.int64).reshape(-1, 7)
-    docs = np.repeat(np.arange(len(texts)), chain.sizes)
-    y = _seeds(types, docs, max(len(index), 1), feats, toxic)[types] & toxic[docs]
-    inner = np.ones(len(types), bool)
-    inner[chain.starts[chain.sizes > 0]] = False
-    inner = np.flatnonzero(inner)
+    blocks: list[tuple[Chain, np.ndarray, np.ndarray]] = []  # a block's documents, word ids and the texts they are of
+    found: list[np.ndarray] = []
+    first = 0
+    for i, text in enumerate(texts):
+        found.append(np.array([index.setdefault(w, len(index)) for w in words(text)], np.int32))
+        if i == len(toxic) - 1 or sum(map(len, found)) >= _BLOCK:
+            blocks.append((Chain(np.array([len(f) for f in found])), np.concatenate(found), np.arange(first, i + 1)))
+            found, first = [], i + 1
+    feats = np.array([_buckets(w) for w in index], np.int32).reshape(-1, 7)
+    seeds = marked[feats].any(axis=1)
+    index.clear()
+
+    def inner_of(chain, n):
+        inner = np.ones(n, bool)
+        inner[chain.starts[chain.sizes > 0]] = False
+        return np.flatnonzero(inner)
+
+    labelled = []
     want = np.zeros((2, 2))
-    np.add.at(want, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
+    for chain, types, of in blocks:
+        y = seeds[types] & np.repeat(toxic[of], chain.sizes)
+        inner = inner_of(chain, len(types))
+        np.add.at(want, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
+        labelled.append(y)
 
     w, bias, start = np.zeros(BUCKETS), -4.0, -2.0
     # Adam over all parameters: weights, bias, start, four transitions.
     m, v = np.zeros(BUCKETS + 6), np.zeros(BUCKETS + 6)
-    firsts = chain.starts[chain.sizes > 0]
     for step in range(1, steps + 1):
-        emission = (w[feats].sum(axis=1) + bias)[types]
-        marginal, p, q = chain.marginals(emission, trans, start)
-        miss = marginal - y
-        grad = np.zeros(BUCKETS + 6)
-        per_type = np.bincount(types, miss, len(index))
-        grad[:BUCKETS] = np.bincount(feats.ravel(), np.repeat(per_type, feats.shape[1]), BUCKETS) + l2 * w
-        grad[BUCKETS] = miss.sum()
-        grad[BUCKETS + 1] = miss[firsts].sum()
-        a, b, e = p[inner - 1], q[inner], np.exp(np.clip(emission[inner], -30, 30))
-        from_to = [(1 - a) * (1 - b), (1 - a) * (e * b), a * (1 - b), a * (e * b)]
-        joint = [x * f for x, f in zip(from_to, np.exp(trans).ravel())]
-        whole = joint[0] + joint[1] + joint[2] + joint[3]
-        grad[BUCKETS + 2:] = [(x / whole).sum() for x in joint] - want.ravel()
+        by_type = w[feats].sum(axis=1) + bias
+        grad, per_type = np.zeros(BUCKETS + 6), np.zeros(len(feats))
+        for (chain, types, _), y in zip(blocks, labelled):
+            emission = by_type[types]
+            marginal, p, q = chain.marginals(emission, trans, start)
+            miss = marginal - y
+            per_type += np.bincount(types, miss, len(feats))
+            grad[BUCKETS] += miss.sum()
+            grad[BUCKETS + 1] += miss[chain.starts[chain.sizes > 0]].sum()
+            inner = inner_of(chain, len(types))
+            a, b, e = p[inner - 1], q[inner], np.exp(np.clip(emission[inner], -30, 30))
+            from_to = [(1 - a) * (1 - b), (1 - a) * (e * b), a * (1 - b), a * (e * b)]
+            joint = [x * f for x, f in zip(from_to, np.exp(trans).ravel())]
+            whole = joint[0] + joint[1] + joint[2] + joint[3]
+            grad[BUCKETS + 2:] += [(x / whole).sum() for x in joint]
+        for column in feats.T:
+            grad[:BUCKETS] += np.bincount(column, per_type, BUCKETS)
+        grad[:BUCKETS] += l2 * w
+        grad[BUCKETS + 2:] -= want.ravel()
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = 0.4 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
@@ -166,8 +207,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25
         trans = np.clip(trans - move[BUCKETS + 2:].reshape(2, 2), -6, 6)
 
     model = Model(w.astype(np.float32), float(bias), trans, float(start), document)
-    marginal = chain.marginals((w[feats].sum(axis=1) + bias)[types], trans, start)[0]
-    x = model.summary(marginal, chain)
+    by_type = w[feats].sum(axis=1) + bias
+    x = np.concatenate([model.summary(chain.marginals(by_type[types], trans, start)[0], chain) for chain, types, _ in blocks])
     for _ in range(50):  # Newton steps of a ridge logistic regression
         s = 1 / (1 + np.exp(-np.clip(x @ document, -30, 30)))
         ridge = 1e-3 * np.eye(4)
@@ -182,25 +223,31 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 3000, max_chars: int = 20_000) -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    At most ``toxic_rows`` and ``clean_rows`` of them, in the order of a hash of
-    doc_id, without texts of over ``max_chars`` (so the sample is bounded in
-    bytes too); each stands for its share of all.  Null labels are left out; of
-    several labels of one document the highest holds.
+    Which features mark toxic texts is counted over all of them.  The weights are
+    fitted on at most ``toxic_rows`` and ``clean_rows``, drawn in the order of a
+    hash of doc_id from the given documents that are labelled and have at most
+    ``max_chars`` characters (so the sample is bounded in bytes too); each stands
+    for its share of the labelled documents.  Null labels and null ids are left
+    out; of several labels of one document the highest holds; repeated documents
+    count again.
     """
     of = (labels.select(labels["doc_id"].alias("of_doc"), labels["toxic"].alias("toxic"))
           .where("toxic is not null and of_doc is not null and not crc32(cast(of_doc as string)) % 3 = 1")
           .groupBy("of_doc").agg((F.max("toxic") >= 1).alias("toxic")))
-    total = {bool(r[0]): r[1] for r in of.groupBy("toxic").count().collect()}
-    parts = [of.where(F.col("toxic") == kind).orderBy(F.xxhash64("of_doc"), "of_doc").limit(limit)
+    given = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    known = given.join(of, F.col("doc_id") == F.col("of_doc"))
+    marked = associations(known.select("text", "toxic"))
+    able = known.where(F.length("text") <= max_chars).select("doc_id", "toxic")
+    total = {bool(r[0]): r[1] for r in able.groupBy("toxic").count().collect()}
+    parts = [able.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
              for kind, limit in ((True, toxic_rows), (False, clean_rows))]
-    sample = F.broadcast(parts[0].unionAll(parts[1]))  # two limits bound it
-    rows = (docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text") <= max_chars)
-            .join(sample, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "toxic").toArrow())
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pylist()
-    toxic = np.array([r["toxic"] for r in rows], bool)
+    sample = parts[0].unionAll(parts[1]).select(F.col("doc_id").alias("of_doc"), "toxic").distinct()
+    rows = (given.where(F.length("text") <= max_chars).join(F.broadcast(sample), F.col("doc_id") == F.col("of_doc"))  # two limits bound it
+            .select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(toxic_rows + clean_rows).toArrow())
+    toxic = rows["toxic"].to_numpy().astype(bool)
     counted = {kind: max(1, int((toxic == kind).sum())) for kind in (True, False)}
     weight = np.array([total.get(bool(k), 0) / counted[bool(k)] for k in toxic])
-    return fit([r["text"] for r in rows], toxic, weight)
+    return fit((t.as_py() for t in rows["text"]), toxic, weight, marked)
 
 
 class Emissions(dict):

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,3 +67,40 @@ def test_odd_texts_and_missing_labels(spark):
     for none in (labels.where("1 = 0"), labels.where("toxic = 0")):
         assert {r.score for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
     assert toxicity.score(empty(docs), toxicity.train(empty(docs), labels)).count() == 0
+
+
+def test_long_labelled_texts_null_ids_and_missing_documents(spark):
+    """Labels of texts that aren't given, or are too long to fit on, leave the sample full of those that are."""
+    docs, labels, toxic = corpus(spark)
+    # Most labels are of documents that are not here, most labelled texts too long.
+    far = spark.createDataFrame([(i, 1, 1) for i in range(20_000, 23_000)], labels.schema)
+    some = docs.where("doc_id is null or doc_id < 400")
+    model = toxicity.train(some, labels.unionAll(far), toxic_rows=20, clean_rows=40)
+    assert model.constant is None
+    held = {r.doc_id: r.score for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    right = sum((s >= 0.7) == bool(toxic[d]) for d, s in held.items())
+    assert right >= 0.95 * len(held)
+    nameless = docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars")
+    assert toxicity.train(nameless, labels).constant == 0.0 and toxicity.score(nameless, model).count() == docs.count()
+    # Too long for the sample, yet counted for the associations.
+    cut = toxicity.train(docs, labels, max_chars=200)
+    assert cut.constant is None and len({r.score for r in toxicity.score(docs, cut).collect()}) > 1
+
+
+def test_associations_count_every_labelled_text(spark):
+    rows = spark.createDataFrame([(f"grobian ruhig {i}", True) for i in range(30)] + [(f"ruhig haus {i}", False) for i in range(90)] + [(None, False), ("", True)], "text string, toxic boolean")
+    marked = toxicity.associations(rows.repartition(7))
+    assert marked[toxicity.features("grobian")].any() and not marked[toxicity.features("haus")].any() and not marked[toxicity.features("ruhig")].any()
+    assert not toxicity.associations(rows.where("1 = 0")).any()
+
+
+def test_blocks_do_not_change_the_fit(monkeypatch):
+    rng = random.Random(2)
+    toxic = np.arange(60) % 3 == 0
+    texts = [words(rng, 30) + (" schurke" if t else "") for t in toxic]
+    marked = np.zeros(toxicity.BUCKETS, bool)
+    marked[toxicity.features("schurke")[0]] = True
+    whole = toxicity.fit(iter(texts), toxic, np.ones(60), marked)
+    monkeypatch.setattr(toxicity, "_BLOCK", 70)
+    parts = toxicity.fit(iter(texts), toxic, np.ones(60), marked)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.document, parts.document, atol=1e-3)
