@@ -9,9 +9,9 @@ expected number, the highest marginal and the length give the document's score.
 Labels are of documents, so the words the field learns from are labelled by
 association: a word of a toxic document is toxic if one of its features occurs
 in toxic documents far more often than chance allows; every other word is clean.
-The associations are counted over all labelled texts; the weights are fitted on a
-bounded sample of them (``toxic_rows``, ``clean_rows``, ``max_chars``), a block of
-words at a time.
+The field is fitted on a bounded sample of labelled rows (``toxic_rows``,
+``clean_rows``, ``max_chars``), a block of words at a time; counts of labels are
+over all of them.
 """
 
 from __future__ import annotations
@@ -110,40 +110,24 @@ class Model:
 _BLOCK = 200_000
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=100_000)
 def _buckets(word: str) -> tuple[int, ...]:
     return tuple(features(word))
 
 
-def associations(rows: DataFrame) -> np.ndarray:
-    """Buckets of features that mark toxic texts, of all ``rows`` (text, toxic)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            toxic = batch.column(1).to_pylist()
-            for i, text in enumerate(batch.column(0)):
-                own = {b for w in set(words(text.as_py())) for b in _buckets(w)}
-                seen[int(toxic[i])][np.fromiter(own, np.int64, len(own))] += 1
-        used = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["bucket", "clean", "toxic"])
-
-    totals = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
-    share = totals.get(True, 0) / max(sum(totals.values()), 1)
-    found = (rows.select("text", "toxic").mapInArrow(count, "bucket int, clean long, toxic long")
-             .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow())  # at most a row a bucket
-    c0, c1 = (found[c].to_numpy().astype(np.float64) for c in ("clean", "toxic"))
-    marked = np.zeros(BUCKETS, bool)
+def associations(seen: np.ndarray, share: float) -> np.ndarray:
+    """Buckets of features that mark toxic texts: ``seen`` counts the clean and the
+    toxic texts with each, ``share`` of all texts are toxic."""
+    c0, c1 = seen.astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = c1 / (c0 + c1)
         ratio = 2 * (np.where(c1 > 0, c1 * np.log(rate / share), 0) + np.where(c0 > 0, c0 * np.log((1 - rate) / (1 - share)), 0))
-        marked[found["bucket"].to_numpy()] = (rate >= SEED_SHARE) & (ratio >= SEED_RATIO)
-    return marked
+        return (rate >= SEED_SHARE) & (ratio >= SEED_RATIO)
 
 
-def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, marked: np.ndarray, steps: int = 25, l2: float = 1e-6) -> Model:
+def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 25, l2: float = 1e-6) -> Model:
     """``toxic`` per text; ``weight`` gives each text the number of labelled rows it
-    stands for; ``marked`` are the features that mark toxic texts.
+    stands for.
 
     Kept between steps: an id and a label a word, and the features of each
     distinct word; a step works on blocks of 200,000 words."""
@@ -160,8 +144,12 @@ def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, marked: np.
             blocks.append((Chain(np.array([len(f) for f in found])), np.concatenate(found), np.arange(first, i + 1)))
             found, first = [], i + 1
     feats = np.array([_buckets(w) for w in index], np.int32).reshape(-1, 7)
-    seeds = marked[feats].any(axis=1)
     index.clear()
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for chain, types, of in blocks:
+        for i, start, size in zip(of, chain.starts, chain.sizes):
+            seen[int(toxic[i])][np.unique(feats[np.unique(types[start:start + size])])] += 1
+    seeds = associations(seen, toxic.mean())[feats].any(axis=1)
 
     def inner_of(chain, n):
         inner = np.ones(n, bool)
@@ -223,31 +211,28 @@ def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, marked: np.
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 3000, max_chars: int = 20_000) -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    Which features mark toxic texts is counted over all of them.  The weights are
-    fitted on at most ``toxic_rows`` and ``clean_rows``, drawn in the order of a
-    hash of doc_id from the given documents that are labelled and have at most
-    ``max_chars`` characters (so the sample is bounded in bytes too); each stands
-    for its share of the labelled documents.  Null labels and null ids are left
-    out; of several labels of one document the highest holds; repeated documents
-    count again.
+    Associations and weights are of at most ``toxic_rows`` and ``clean_rows``, drawn
+    in the order of a hash of doc_id from the given documents that are labelled
+    and have at most ``max_chars`` characters (so the sample is bounded in bytes
+    too); each stands for its share of the labelled documents.  Null labels and
+    null ids are left out; of several labels of one document the highest holds;
+    repeated documents count again.
     """
     of = (labels.select(labels["doc_id"].alias("of_doc"), labels["toxic"].alias("toxic"))
           .where("toxic is not null and of_doc is not null and not crc32(cast(of_doc as string)) % 3 = 1")
           .groupBy("of_doc").agg((F.max("toxic") >= 1).alias("toxic")))
-    given = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    known = given.join(of, F.col("doc_id") == F.col("of_doc"))
-    marked = associations(known.select("text", "toxic"))
-    able = known.where(F.length("text") <= max_chars).select("doc_id", "toxic")
+    given = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text") <= max_chars)
+    able = given.select("doc_id").join(of, F.col("doc_id") == F.col("of_doc")).select("doc_id", "toxic")  # no text is shuffled
     total = {bool(r[0]): r[1] for r in able.groupBy("toxic").count().collect()}
     parts = [able.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
              for kind, limit in ((True, toxic_rows), (False, clean_rows))]
     sample = parts[0].unionAll(parts[1]).select(F.col("doc_id").alias("of_doc"), "toxic").distinct()
-    rows = (given.where(F.length("text") <= max_chars).join(F.broadcast(sample), F.col("doc_id") == F.col("of_doc"))  # two limits bound it
+    rows = (given.join(F.broadcast(sample), F.col("doc_id") == F.col("of_doc"))  # two limits bound it
             .select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(toxic_rows + clean_rows).toArrow())
     toxic = rows["toxic"].to_numpy().astype(bool)
     counted = {kind: max(1, int((toxic == kind).sum())) for kind in (True, False)}
     weight = np.array([total.get(bool(k), 0) / counted[bool(k)] for k in toxic])
-    return fit((t.as_py() for t in rows["text"]), toxic, weight, marked)
+    return fit((t.as_py() for t in rows["text"]), toxic, weight)
 
 
 class Emissions(dict):
