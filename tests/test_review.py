@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k, part in enumerate(parts):
         again = rng.sample(mixed[:(k + 1) * 80], 20)
         spark.createDataFrame(part + again, DEC).coalesce(1).write.mode("append").parquet(source)
-    query = RS.start(spark, source, sink, name=f"t-{os.path.basename(str(tmp_path))}", files=1)
+    query = RS.start(spark, source, sink, name=uuid.uuid4().hex, files=1)
     query.awaitTermination(300)
     assert query.exception() is None
     streamed = RS.registers(spark.read.parquet(sink))
