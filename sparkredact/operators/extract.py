@@ -23,7 +23,7 @@ NO_MODEL_OUTPUT = "no model output"
 
 
 def extract(docs: DataFrame, model_outputs: DataFrame, categories=None, lang_col: str | None = None, override_col: str | None = None,
-            text_col: str = "content", recognizers=None) -> DataFrame:
+            text_col: str = "content", recognizers=None, partitions: int | None = None) -> DataFrame:
     """One row a document: the columns of ``docs``, ``status``, ``error``,
     ``doc_language`` (detected unless ``lang_col`` names it), ``doc_type`` (or the
     valid one of ``override_col``), ``categories_requested``, ``ents``
@@ -33,8 +33,9 @@ def extract(docs: DataFrame, model_outputs: DataFrame, categories=None, lang_col
     Two shuffles, of the documents and of the model's outputs.  A document
     without any entity output, and one whose call left an error, are errors; an
     output that doesn't parse is an empty one.  A null text has no entities.
+    ``partitions`` as in ``record.assemble``.
     """
-    rows = RC.with_roles(RC.identified(RC.judge(RC.assemble(docs, model_outputs, categories, text_col, lang_col, recognizers)), text_col), text_col, override_col)
+    rows = RC.with_roles(RC.identified(RC.judge(RC.assemble(docs, model_outputs, categories, text_col, lang_col, recognizers, partitions)), text_col), text_col, override_col)
     error = F.when(F.col("model_error").isNotNull() & ~F.coalesce("model_ok", F.lit(False)), F.col("model_error")).when(F.col("model_ok").isNull(), F.lit(NO_MODEL_OUTPUT))
     rows = rows.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error")))
     rows = rows.withColumn("ents", F.when(F.col("error").isNull(), RC.packed_entities(F.col("entities"))))
