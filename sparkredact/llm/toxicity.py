@@ -235,6 +235,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows
     return fit((t.as_py() for t in rows["text"]), toxic, weight)
 
 
+# Texts scored at once: their words and the chain's arrays are all in a worker's memory.
+BLOCK = 1000
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, BLOCK) for at in range(0, len(batch), BLOCK))
+
+
 class Emissions(dict):
     """Memo from a word to its emission; per worker and model, bounded."""
 
@@ -293,8 +301,7 @@ def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Emissions(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.slice(at, 4000)
+            for part in blocks(batch):
                 found, spans = _scores(part.column(1).to_pylist(), shared.value, memo, with_spans)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
@@ -310,8 +317,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Emissions(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.slice(at, 4000)
+            for part in blocks(batch):
                 found, _ = _scores(part.column(text).to_pylist(), shared.value, memo, False)
                 yield part.filter(pa.array(found < threshold))
 
