@@ -6,11 +6,11 @@ and U+0009 to U+000D, which is what ``bytes.split`` cuts at.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from sparkredact.llm.common import worker_memo
+
 WIDTH = 5
 # Odd multipliers of the window's words, and one for sequences shorter than a window.
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(b"shingle", seed=i) | 1 for i in range(WIDTH + 1)], np.uint64)
@@ -28,10 +28,9 @@ class WordHashes(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def word_hashes(limit: int = 300_000) -> WordHashes:
     """One memo per worker."""
-    return WordHashes(limit)
+    return worker_memo(("words", limit), lambda: WordHashes(limit))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

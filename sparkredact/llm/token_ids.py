@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import array
 import re
-from functools import lru_cache
+
+from sparkredact.llm.common import worker_memo
 
 # White space as Unicode defines it; Python's own \s holds U+001C to U+001F too.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -69,15 +70,17 @@ class TokenIds(dict):
         return self[cut if _BEYOND_LATIN_1.search(cut) else cut.lower()]
 
 
-@lru_cache(maxsize=4)
 def token_ids(path: str, limit: int = 400_000) -> TokenIds:
-    """One memo per worker and tokenizer file, kept between tasks.
+    """One memo per worker, kept between the tasks that use this tokenizer file.
 
     Files whose normaliser lower-cases and whose pre-tokenizer drops white
     space (``word_bpe``) are told by their own JSON.
     """
-    import json
+    def read() -> TokenIds:
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            normaliser = json.load(f).get("normalizer")
+        return TokenIds(path, drops_space=bool(normaliser), limit=limit)
 
-    with open(path, encoding="utf-8") as f:
-        normaliser = json.load(f).get("normalizer")
-    return TokenIds(path, drops_space=bool(normaliser), limit=limit)
+    return worker_memo(("tokens", path, limit), read)

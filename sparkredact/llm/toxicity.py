@@ -246,7 +246,7 @@ def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 class Emissions(dict):
     """Memo from a word to its emission; per worker and model, bounded."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         super().__init__()
         self.weights, self.bias, self.limit = model.weights.tolist(), model.bias, limit
 
