@@ -7,6 +7,7 @@ sizes n and m link when they share at least ``need(n, m)`` shingles.
   subsets of exactly ``need`` shingles; classes that meet in one list link.
 * Heavy classes scan inverted lists, of the shingles that must hold a common one
   (the rarest first, so passages that many documents share stay out of them).
+  Long lists are dealt into pairs of blocks, which return only what sketches leave.
 
 The boundary is where enumerating costs more than scanning, both counted over
 the whole table.  Each class is first compared with a few members of its lists,
@@ -36,6 +37,8 @@ LARGEST_LIGHT = 12
 FREQUENT = 1 << 17
 # Comparisons of a class before its lists are searched in full for other components.
 PARTNERS = 8
+# Longer lists are compared by blocks of at most some ``BLOCK`` members, shorter ones by a join.
+SHORT, BLOCK = 32, 512
 # Rows of 50 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -62,8 +65,8 @@ def subsets(n: int, boundary: int) -> Iterator[tuple[int, int, int]]:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """A bit for each range of hashes that holds one of the set; twice as many ranges as hashes, 8192 at most."""
-    log = min(max((2 * len(own) - 1).bit_length(), 6), 13)
+    """A bit for each range of hashes that holds one of the set; eight times as many ranges as hashes, 16384 at most."""
+    log = min(max((8 * len(own) - 1).bit_length(), 6), 14)
     bits = np.zeros(1 << log, np.uint8)
     bits[own >> np.uint64(64 - log)] = 1
     return np.packbits(bits).tobytes()
@@ -241,6 +244,63 @@ def _links(pairs: DataFrame, docs: DataFrame, digests: DataFrame) -> DataFrame:
     return write_table(found, "links")
 
 
+def near_in_blocks(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks of a list that sizes, ranks, components and sketches let link.
+
+    A block holds arrays ``cls``, ``n``, ``pos`` and ``component``, and ``sketch``, a list."""
+    bits = [[np.unpackbits(np.frombuffer(s, np.uint8)) for s in x["sketch"]] for x in (left, right)]
+    widths = [np.array([len(b) for b in some]) for some in bits]
+    found = []
+    # Sizes that may link differ by a third at most, and so by one power of two.
+    for v, w in ((v, w) for v in np.unique(widths[0]) for w in np.unique(widths[1]) if max(v, w) <= 2 * min(v, w)):
+        i, j = np.flatnonzero(widths[0] == v), np.flatnonzero(widths[1] == w)
+        least = min(v, w)
+        x, y = (np.stack([some[k] for k in at]).reshape(len(at), least, -1).any(axis=2).astype(np.float32) for some, at in zip(bits, (i, j)))
+        n, m = left["n"][i][:, None], right["n"][j]
+        p, q = left["pos"][i][:, None], right["pos"][j]
+        c, d = left["cls"][i][:, None], right["cls"][j]
+        apart = (x.sum(axis=1)[:, None] + y.sum(axis=1) - 2 * (x @ y.T)).astype(np.int64)  # ranges that one set alone touches
+        first = (n < m) | (n == m) & (c < d)
+        may = ((left["component"][i][:, None] != right["component"][j]) & (c != d) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+               & (np.minimum(n - p, m - q) >= need(n, m)) & np.where(first, p < index_length(n), q < index_length(m))
+               & ((n + m - apart) // 2 >= need(n, m)))
+        a, b = np.nonzero(may)
+        found.append((i[a], j[b]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _long_list_pairs(entries: DataFrame, digests: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in ``entries`` (key, cls, n, pos, component, length) that may link.
+
+    Each list is dealt into blocks by hash, each two blocks of it are one group."""
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    dealt = entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(digests.select(F.col("rid").alias("cls"), "sketch"), "cls")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "pos", "component", "sketch")
+
+    def compare(group: pa.Table) -> pa.Table:
+        col = {c: group.column(c).to_numpy() for c in ("cls", "n", "pos", "component", "own")}
+        col["n"], col["pos"] = col["n"].astype(np.int64), col["pos"].astype(np.int64)
+        sketches = group.column("sketch").to_pylist()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+
+        def block(k: int) -> dict:
+            at = np.flatnonzero(col["own"] == k)
+            return {c: v[at] for c, v in col.items()} | {"sketch": [sketches[x] for x in at]}
+
+        left, right = block(i), block(j)
+        x, y = near_in_blocks(left, right)
+        a, b = left["cls"][x], right["cls"][y]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        ab = np.unique(np.stack([a, b]), axis=1)
+        return pa.table({"a": pa.array(ab[0], pa.int64()), "b": pa.array(ab[1], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _may_link(x: str, y: str):
     """Sizes of two entries of a list, and what follows their shingle, allow a link.
 
@@ -282,13 +342,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Lists that still hold more than one component: all their pairs of different ones.
     placed = (entries.where("pos >= 0").join(first, F.col("cls") == F.col("node"), "left")
               .withColumn("component", F.coalesce("component", "cls")).drop("node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = write_table(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    x = placed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "component")))
-    y = placed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select("key", "length")
+    placed = write_table(placed.join(mixed, "key"), "mixed-lists")
+    short = placed.where(F.col("length") <= SHORT)
+    x = short.select("key", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "component")))
+    y = short.select("key", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "component")))
     pairs = (x.join(y, "key").where("x_component <> y_component and (x_n < y_n or x_n = y_n and x_cls < y_cls)")
              .where(F.col("x_pos") < F.col("x_n") - F.floor((6 * F.col("x_n") + 6) / 7) + 1).where(_may_link("x_", "y_"))
-             .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct())
+             .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")))
+    pairs = pairs.unionAll(_long_list_pairs(placed.where(F.col("length") > SHORT), digests)).distinct()
     rest = _links(pairs, docs, digests)
     # The first components, as edges to their least member, and the links between them.
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
