@@ -15,8 +15,8 @@ from sparkredact.llm.common import worker_memo
 # White space as Unicode defines it; Python's own \s holds U+001C to U+001F too.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-# A plain word, up to closing marks before white space: a cut on its own.
-_PLAIN = f"[{_LETTER}]+(?=[.,;:!?]*(?:[{_SPACE}]|\\Z))"
+# A plain word, up to white space or an ASCII character that is no letter: a cut on its own.
+_PLAIN = f"[{_LETTER}]+(?=[{_SPACE}!-@\\[-`{{-~]|\\Z)"
 # White space kept: a single blank belongs to the word after it.
 _KEEPING = re.compile(f" ?{_PLAIN}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 # White space dropped by the tokenizer.
@@ -32,7 +32,11 @@ def _byte_alphabet() -> dict[int, int]:
 
 
 class TokenIds(dict):
-    """Memo from a cut to its ids, as little-endian unsigned 32-bit integers."""
+    """Memo from a cut to its ids, as little-endian unsigned 32-bit integers.
+
+    Once it holds half its ``limit`` it starts anew and keeps those cuts aside, so cuts
+    that recur stay while the many that are met once go.
+    """
 
     def __init__(self, path: str, drops_space: bool, limit: int):
         from tokenizers import Tokenizer
@@ -42,21 +46,28 @@ class TokenIds(dict):
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.drops_space, self.limit = drops_space, limit
+        self.older: dict[str, bytes] = {}
         self.cuts = (_DROPPING if drops_space else _KEEPING).findall
         self.alphabet = _byte_alphabet()
 
     def __missing__(self, cut: str) -> bytes:
+        if len(self) >= max(self.limit // 2, 1):
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(cut)
+        if found is None:
+            found = self.encoded(cut)
+        self[cut] = found
+        return found
+
+    def encoded(self, cut: str) -> bytes:
         word = cut[1:] if cut[0] == " " else cut
-        if word.isalpha() and not _BEYOND_LATIN_1.search(word):
-            symbols = cut.encode().decode("latin-1").translate(self.alphabet)
+        if word.isalpha() and (cut.isascii() or not _BEYOND_LATIN_1.search(word)):
+            symbols = cut.replace(" ", "\u0120") if cut.isascii() else cut.encode().decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.model.tokenize(symbols)]
         else:
             ids = self.tokenizer.encode(cut, add_special_tokens=False).ids
-        found = array.array("I", ids).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        self[cut] = found
-        return found
+        return array.array("I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.drops_space and not _BEYOND_LATIN_1.search(text):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkredact.llm import elias_fano, sos_packing
 from sparkredact.llm.queries import tokenizer_path
-from sparkredact.llm.token_ids import token_ids
+from sparkredact.llm.token_ids import TokenIds, token_ids
 from tests.llm.fixtures import documents, empty, odd_texts, with_clashes
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -30,6 +30,27 @@ def test_cut_texts_have_the_ids_of_whole_texts(name):
     assert len(coder) <= 50
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_words_before_symbols_have_the_ids_of_whole_texts(name):
+    coder = token_ids(tokenizer_path(name), 60)
+    for text in ["oieuxé$$$ ab%%% x#1 y2z", "a'sfoo b'll c's", "http://www.example.com/ab?c=d", "x_y z^2 `q` {r} [s] ~t~ é@ü.ch", "aªb$ cµ% dº1", "a\u0301$ é\u0301% i\u0307#"]:
+        assert np.array_equal(np.frombuffer(coder.ids(text), "<u4"), whole(name, text)[:-1]), text
+
+
+def test_memo_keeps_cuts_that_recur(monkeypatch):
+    coder = TokenIds(tokenizer_path("byte_bpe_50k.json"), False, 20)
+    met = []
+    monkeypatch.setattr(coder, "encoded", lambda cut, f=coder.encoded: met.append(cut) or f(cut))
+    for i in range(200):
+        coder.ids("often " + "".join(chr(97 + int(d)) for d in str(i)) + "q")
+        assert len(coder) <= 20 and len(coder.older) <= 20
+    assert met.count("often") == 1 and len(met) == 201
+    # A word before symbols is a cut of its own, as it is before white space.
+    met.clear()
+    coder.ids("often$$$ often%%%")
+    assert "often" not in met and " often%%%" not in met
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 2, 63, 64, 65, 700):
