@@ -4,7 +4,7 @@ Rates of documents lie between 0 and ``most`` copies and are as near to one copy
 each as the token constraints allow: the convex dual has one multiplier per
 source, and a document's rate is ``most`` times the logistic function of the
 multiplier times its size, an exponential tilt with a ceiling.  Newton steps on
-the dual are aggregates by source.  Rates are rounded by a hash of the document,
+the dual read the number of documents of each size of a source.  Rates are rounded by a hash of the document,
 and the rest of each source's target is met by flipping documents small enough
 to fit, chosen by hash bins whose sums are known before.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkredact.functions.binding import let
 from sparkredact.llm.common import word_count, write_table
 
 NEWTON_STEPS = 24
@@ -59,8 +60,9 @@ def targets(sources: DataFrame, share: float, weights: list[int], most: int) ->
     return levels.select("source", "total", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _rate(most: int) -> Column:
-    x = F.least(F.greatest(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(-60.0)), F.lit(60.0))
+def _rate(most: int, tilt: str | Column = "tilt", size: str | Column = "size", mean: str | Column = "mean") -> Column:
+    tilt, size, mean = (F.col(c) if isinstance(c, str) else c for c in (tilt, size, mean))
+    x = F.least(F.greatest(tilt * size / mean, F.lit(-60.0)), F.lit(60.0))
     return most / (1 + F.exp(-x))
 
 
@@ -105,28 +107,55 @@ def _with(plan: DataFrame, more: DataFrame) -> DataFrame:
     return plan.join(more.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
+def _newton(r: Column, most: int) -> Column:
+    """The states (tilt, lo, hi, open) after each Newton step of a source: ``r`` has its
+    target, mean and ``sizes`` (size, n), the number of its documents of each size."""
+    def sums(tilt):
+        def add(now, h):
+            return let(_rate(most, tilt, h["size"], r["mean"]), lambda rate: F.struct(
+                (now["taken"] + h["n"] * h["size"] * rate).alias("taken"),
+                (now["slope"] + h["n"] * h["size"] * (h["size"] / F.greatest(r["mean"], F.lit(1e-9))) * rate * (1 - rate / most)).alias("slope")))
+        return F.aggregate(r["sizes"], F.struct(F.lit(0.0).alias("taken"), F.lit(0.0).alias("slope")), add)
+
+    def moved(now, s):
+        def to(miss):
+            lo, hi = F.when(miss < 0, now["tilt"]).otherwise(now["lo"]), F.when(miss > 0, now["tilt"]).otherwise(now["hi"])
+            step = now["tilt"] - miss / F.greatest(s["slope"], F.lit(1e-12))
+            tilt = F.when(F.abs(miss) <= 1e-9 * r["target"], now["tilt"]).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
+            return F.struct(tilt.alias("tilt"), lo.alias("lo"), hi.alias("hi"), (F.abs(miss) > 1e-5 * r["target"]).alias("open"))
+        return let(s["taken"] - r["target"], to)
+
+    def step(states, _):
+        return let(F.element_at(states, -1), lambda now: let(sums(now["tilt"]), lambda s: F.array_append(states, moved(now, s))))
+
+    first = F.array(F.struct(F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"), F.lit(True).alias("open")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), first.cast("array<struct<tilt: double, lo: double, hi: double, open: boolean>>"), step)
+
+
+def tilted(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``plan`` (source, total, target, mean) with ``tilt``, after as many Newton steps
+    as the slowest source takes.
+
+    The dual reads no more of a source than how many documents have each size, one
+    array a source that ends with its longest text; all steps are one query over it."""
+    sizes = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"))
+    r = F.struct("target", "mean", "sizes")
+    rows = _with(plan, sizes).withColumn("states", F.when(F.col("sizes").isNotNull() & (F.col("total") > 0), let(r, lambda x: _newton(x, most))))
+    rows = write_table(rows.drop("sizes"), "duals")
+    # states[0] is the start; the first step that leaves no source open is the last.
+    opened = rows.where("states is not null").select(F.posexplode("states.open").alias("step", "open")).groupBy("step").agg(F.max("open").alias("open"))
+    last = opened.where("step > 0 and not coalesce(open, false)").agg(F.min("step")).first()[0] or NEWTON_STEPS
+    return rows.select("source", "total", "target", "mean", F.coalesce(F.get("states", F.lit(last))["tilt"], F.lit(0.0)).alias("tilt"))
+
+
 def solve(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2) -> DataFrame:
     """``sized`` (id, source, size) to the parameters of each source that ``_copies`` reads."""
     sources = write_table(sized.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.when(F.col("size") > 0, 1)).alias("filled")), "sources")
     plan = targets(sources.drop("filled"), share, list(weights), most)
     plan = plan.join(sources.withColumnsRenamed({"source": "_of", "total": "_total"}), F.col("source").eqNullSafe(F.col("_of"))).drop("_of", "_total")
-    plan = write_table(plan.select("source", "total", "target", (F.col("total") / F.greatest("filled", F.lit(1))).alias("mean"),
-                                   F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi")), "duals")
-    for _ in range(NEWTON_STEPS):
-        rate = _rate(most)
-        x = F.col("size") / F.greatest("mean", F.lit(1e-9))
-        sums = _join(sized.where("size > 0"), plan.where("total > 0")).groupBy("source").agg(
-            F.sum(F.col("size") * rate).alias("taken"), F.sum(F.col("size") * x * rate * (1 - rate / most)).alias("slope")).withColumnRenamed("source", "_of")
-        miss = F.col("taken") - F.col("target")
-        lo, hi = F.when(miss < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(miss > 0, F.col("tilt")).otherwise(F.col("hi"))
-        step = F.col("tilt") - miss / F.greatest("slope", F.lit(1e-12))
-        moved = F.when(F.abs(miss) <= 1e-9 * F.col("target"), F.col("tilt")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-        plan = write_table(plan.join(sums, F.col("source").eqNullSafe(F.col("_of")), "left").select(
-            "source", "total", "target", "mean", F.coalesce(moved, "tilt").alias("tilt"), F.coalesce(lo, "lo").alias("lo"),
-            F.coalesce(hi, "hi").alias("hi"), (F.abs(miss) > 1e-5 * F.col("target")).alias("open")), "duals")
-        if not plan.where("open").limit(1).count():
-            break
-        plan = plan.drop("open")
+    plan = plan.select("source", "total", "target", (F.col("total") / F.greatest("filled", F.lit(1))).alias("mean"))
+    plan = tilted(sized, plan, most)
     none = F.array().cast("array<struct<k: int, way: int, gap: double, last: int, size: bigint, key: bigint>>")
     plan = plan.select("source", "total", "target", "mean", "tilt", none.alias("rounds"))
 

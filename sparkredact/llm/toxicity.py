@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkredact.llm.common import release_memory
+
 _WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18
 # Chance of a seed feature by luck: twice the log likelihood ratio, and toxic share of its documents.
@@ -110,11 +111,6 @@ class Model:
 _BLOCK = 200_000
 
 
-@lru_cache(maxsize=100_000)
-def _buckets(word: str) -> tuple[int, ...]:
-    return tuple(features(word))
-
-
 def associations(seen: np.ndarray, share: float) -> np.ndarray:
     """Buckets of features that mark toxic texts: ``seen`` counts the clean and the
     toxic texts with each, ``share`` of all texts are toxic."""
@@ -143,7 +139,8 @@ def fit(texts: Iterator[str], toxic: np.ndarray, weight: np.ndarray, steps: int
         if i == len(toxic) - 1 or sum(map(len, found)) >= _BLOCK:
             blocks.append((Chain(np.array([len(f) for f in found])), np.concatenate(found), np.arange(first, i + 1)))
             found, first = [], i + 1
-    feats = np.array([_buckets(w) for w in index], np.int32).reshape(-1, 7)
+    # Each distinct word once and in turn: the driver keeps no lists of them, nor a memo.
+    feats = np.fromiter((b for w in index for b in features(w)), np.int32, 7 * len(index)).reshape(-1, 7)
     index.clear()
     seen = np.zeros((2, BUCKETS), np.int64)
     for chain, types, of in blocks:
@@ -232,7 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows
     toxic = rows["toxic"].to_numpy().astype(bool)
     counted = {kind: max(1, int((toxic == kind).sum())) for kind in (True, False)}
     weight = np.array([total.get(bool(k), 0) / counted[bool(k)] for k in toxic])
-    return fit((t.as_py() for t in rows["text"]), toxic, weight)
+    model = fit((t.as_py() for t in rows["text"]), toxic, weight)
+    del rows
+    release_memory()
+    return model
 
 
 # Texts scored at once: their words and the chain's arrays are all in a worker's memory.

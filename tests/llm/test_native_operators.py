@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -60,6 +61,26 @@ def test_mix_meets_its_targets(spark):
     assert [(r.target, r.copies) for r in entropy_mix.mix(nothing).collect()] == [(0.0, 1)] * 3
 
 
+def test_mix_takes_all_newton_steps_in_one_query(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes = {"a": [rng.randrange(1, 90) for _ in range(300)], "b": [rng.randrange(1, 900) for _ in range(80)], None: [7] * 40 + [30] * 9, "empty": [0, 0]}
+    sized = spark.createDataFrame([(i, k, v) for k, x in sizes.items() for i, v in enumerate(x)], "id long, source string, size long")
+    share, most = {"a": 1.3, "b": 0.4, None: 1.9, "empty": 0.0}, 2
+    plan = spark.createDataFrame([(k, sum(x), share[k] * sum(x), sum(x) / max(1, sum(v > 0 for v in x))) for k, x in sizes.items()],
+                                 "source string, total long, target double, mean double")
+    written = []
+    monkeypatch.setattr(entropy_mix, "write_table", lambda df, name, f=entropy_mix.write_table: written.append(name) or f(df, name))
+    found = {r.source: r for r in entropy_mix.tilted(sized, plan, most).collect()}
+    assert written == ["duals"]  # one table, however many steps
+    assert set(found) == set(sizes) and found["empty"].tilt == 0.0
+    for source, x in sizes.items():
+        taken = sum(v * most / (1 + math.exp(-found[source].tilt * v / found[source].mean)) for v in x if v)
+        assert abs(taken - found[source].target) <= 1e-5 * found[source].target + 1e-12
+    written.clear()
+    entropy_mix.solve(sized)
+    assert written.count("duals") == 1
+
+
 URLS = ["http://A.Example.com/en/1?x=1", "https://www.example.com/en/2", "x.example.net/es/3", None, "", "ftp://b.net/es/q#f", "http://b.net/fr",
         "http://b.net/fr/", "http://c.com", "http://c.com/", "http://notexample.com/en/5", "http://É.org/a//b/", "http://net/fr/é", "a://b://c/d", "http://deep.org/" + "/".join("abcdefghij")]
 FIXED = [("a.example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/2", "www.example.com/en/", "allow"), ("", "", None, None), ("", "", None, None),
