@@ -21,50 +21,47 @@ from pyspark.sql import functions as F
 from sparkredact.llm import jaccard_join
 from sparkredact.llm.common import write_table
 
-_BLANKS = " \t\x0b\x0c\r"
+# Runs of blanks and tabs that are not one blank already.
+_RUNS = "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]"
 # Masks that may be broadcast, 32 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
 
-def _lines(rows: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """Adds ``_lines``: for each line of the text its mask (hash of the masked line), leaf and, if short, null.
+def _long_lines(texts: DataFrame, min_tokens: int, *cols: str) -> DataFrame:
+    """``cols``, line, tokens: each masked line of at least ``min_tokens`` tokens once a text.
 
-    Tokens are what runs of blanks and tabs part; a line's leaf is their number and
-    its first ``leading`` ones.  Digits and runs are masked in the whole text at once.
+    Tokens are what runs of blanks and tabs part.  Digits and runs are masked in the
+    whole text at once, and the outer explode keeps that from being done twice, for a filter too.
     """
-    def line(x):
-        tokens = _tokens(x)
-        return F.when(tokens >= min_tokens, F.struct(F.xxhash64(x).alias("mask"), F.xxhash64(tokens, F.substring_index(x, " ", leading)).alias("leaf")))
-
-    rows = rows.withColumn("_masked", _masked_lines(F.col("_text")))
-    return rows.withColumn("_lines", F.transform("_masked", line))
+    lines = F.transform(F.array_distinct(_masked_lines(F.col("_text"))), lambda x: F.struct(x.alias("line"), _tokens(x).alias("tokens")))
+    rows = texts.select(*cols, F.explode_outer(F.filter(lines, lambda x: x.tokens >= min_tokens)).alias("x"))
+    return rows.where("x is not null").select(*cols, "x.line", "x.tokens")
 
 
 def _masked_lines(text: Column) -> Column:
     """Lines of the text, digits masked, trimmed, each run of blanks and tabs one blank."""
-    text = F.translate(F.regexp_replace(text, "[0-9]+", "#"), _BLANKS, " " * len(_BLANKS))
-    return F.transform(F.split(F.regexp_replace(text, "  +", " "), "\n"), lambda x: F.btrim(x))
+    text = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "#"), _RUNS, " ")
+    return F.transform(F.split(text, "\n"), lambda x: F.btrim(x))
 
 
 def _tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _entries(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """Per text and mask once: doc (hash of the text), mask, leaf."""
-    rows = _lines(texts, leading, min_tokens)
-    rows = rows.select("_doc", F.array_distinct(F.filter("_lines", lambda x: x.isNotNull())).alias("each"))
-    return rows.select(F.col("_doc").alias("doc"), F.explode("each").alias("line")).select("doc", "line.mask", "line.leaf")
+    """Per text and mask (hash of the masked line) once: doc (hash of the text), mask, leaf (tokens and ``leading`` first ones)."""
+    rows = _long_lines(texts, min_tokens, "_doc")
+    return rows.select(F.col("_doc").alias("doc"), F.xxhash64("line").alias("mask"),
+                       F.xxhash64("tokens", F.substring_index("line", " ", leading)).alias("leaf"))
 
 
-def _generalised(texts: DataFrame, entries: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> DataFrame:
+def _generalised(texts: DataFrame, entries: DataFrame, min_tokens: int, likeness: float, min_docs: int) -> DataFrame:
     """mask, template: lines that belong to one of the templates of a leaf with several lines."""
     masks = entries.groupBy("leaf", "mask").agg(F.count("*").alias("n"))
     several = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("total")).where((F.col("masks") > 1) & (F.col("total") >= min_docs))
     masks = write_table(masks.join(several.drop("masks"), "leaf"), "shared-leaves")
     # The words of those lines, once each.
-    rows = _lines(texts, leading, min_tokens).select(F.explode(F.arrays_zip("_lines", "_masked")).alias("x"))
-    rows = rows.select(F.col("x._lines.mask").alias("mask"), F.col("x._masked").alias("line")).where("mask is not null")
+    rows = _long_lines(texts, min_tokens).select(F.xxhash64("line").alias("mask"), "line")
     rows = rows.join(F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks, "mask").groupBy("mask").agg(
         F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("total").alias("total"), F.min("line").alias("line"))
     tokens = F.split("line", " ")
@@ -107,7 +104,10 @@ def _round(rows: DataFrame, likeness: float, min_docs: int) -> tuple[DataFrame,
 
 def _voices(texts: DataFrame, carriers: DataFrame) -> DataFrame:
     """doc, voice: the least text of the group of copies and near copies that a carrier (doc) is in."""
-    held = texts.join(carriers, F.col("_doc") == F.col("doc"), "left_semi")
+    # The carriers grow with the texts: never broadcast, so the plan is the same at any size.
+    # The join reads the texts several times, so they are picked once and written.
+    held = texts.join(carriers.hint("merge"), F.col("_doc") == F.col("doc"), "left_semi").dropDuplicates(["_doc"])
+    held = write_table(held, "carrier-texts")
     found = jaccard_join.join(held, "_doc", "_text")
     return write_table(found.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("voice")).distinct(), "voices")
 
@@ -115,7 +115,7 @@ def _voices(texts: DataFrame, carriers: DataFrame) -> DataFrame:
 def recurring(texts: DataFrame, leading: int, min_tokens: int, likeness: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Lines to drop, as (doc, mask), and the templates that recur, as (template, voices)."""
     entries = write_table(_entries(texts, leading, min_tokens).distinct(), "lines")
-    general = write_table(_generalised(texts, entries, leading, min_tokens, likeness, min_docs), "templates")
+    general = write_table(_generalised(texts, entries, min_tokens, likeness, min_docs), "templates")
     placed = entries.join(general, "mask", "left").withColumn("template", F.coalesce("template", "mask"))
     # A text counts once for a template, whichever of its lines belong to it.
     several = placed.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
@@ -143,15 +143,15 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", leading: int = 3, mi
     # Bounded by the lines of one text.
     gone = gone.groupBy("doc").agg(F.collect_set("mask").alias("masks")).select(F.col("doc").alias("_doc"), F.col("masks").alias("_masks"))
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    rows = docs.select(row, doc.alias("_doc"), docs[text_col].alias("_text")).join(gone, "_doc", "left")
-    lines = F.split("_text", "\n")
-    short = F.lit(min_tokens)
-    kept = F.filter(F.arrays_zip(lines.alias("raw"), _masked_lines(F.col("_text")).alias("masked")), lambda x: ~(
-        (_tokens(x.masked) >= short) & F.array_contains("_masks", F.xxhash64(x.masked))))
-    clean = F.when(F.col("_masks").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda x: x.raw), "\n"))
-    rows = rows.withColumn("_clean", clean)
-    out = [F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    # Texts meet their lines by a shuffle at any size, since these grow with them; a text is dealt once.
+    rows = docs.select(row, doc.alias("_doc")).join(gone.hint("merge"), "_doc", "left")
+    text = F.col(f"_row.`{text_col}`")
+    lines = F.split(text, "\n")
+    kept = F.filter(F.arrays_zip(lines.alias("raw"), _masked_lines(text).alias("masked")), lambda x: ~(
+        (_tokens(x.masked) >= min_tokens) & F.array_contains("_masks", F.xxhash64(x.masked))))
+    rows = rows.withColumn("_kept", F.when(F.col("_masks").isNotNull(), F.transform(kept, lambda x: x.raw)))
+    clean = F.when(F.col("_masks").isNull(), text).otherwise(F.array_join("_kept", "\n"))
+    out = [clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if count_col:
-        before, after = F.size(F.split("_text", "\n")), F.size(kept)
-        out.append(F.when(F.col("_masks").isNull(), 0).otherwise(before - after).alias(count_col))
+        out.append(F.when(F.col("_masks").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).alias(count_col))
     return rows.select(*out)
