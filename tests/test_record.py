@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkredact import vocab
 from sparkredact.functions import value_scan as VS
 from sparkredact.operators import detect as D
 from sparkredact.operators import extract as EX
@@ -13,6 +14,7 @@ from sparkredact.operators import parse as P
 from sparkredact.operators import record as RC
 from sparkredact.operators import redact as X
 from sparkredact.operators import roles as RO
+from sparkredact.plans import catalog
 from sparkredact.session import apply_runtime_conf, materialize
 from sparkredact.sources import derived as DV
 
@@ -157,3 +159,8 @@ def test_running_numbers(spark, n):
     labels = [rng.choice("abc") for _ in range(n)]
     df = spark.createDataFrame([(labels,)], "x array<string>")
     assert list(df.select(X.running_numbers(F.col("x")).alias("n")).first().n) == [labels[:i + 1].count(x) for i, x in enumerate(labels)]
+
+
+def test_ownership_prompts_run_the_role_passes_once(spark):
+    plan = catalog.ownership_prompts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(vocab.DOC_TYPE_PATTERNS[0][1]) == 1      # the document type is part of the passes
