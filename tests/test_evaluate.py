@@ -21,6 +21,17 @@ def test_strict_tp_plus_fn_is_distinct_truth_and_wrong_category_counts_twice(spa
     assert l.get("persone_giuridiche", (0, 0, 0)) == (0, 0, 0)   # Acme was predicted (other category)
 
 
+def test_lenient_counts_of_null_keys_stay_apart_and_each_side_is_read_once(spark):
+    truth = spark.createDataFrame([(1, "Acme", "a"), (1, "Lumen", None), (1, "Lumen", "a"), (1, None, "b"), (None, "Acme", "a"), (2, "only here", "b")], S)
+    pred = spark.createDataFrame([(1, "ACME", None), (1, "acme.", None), (1, "Vertex", None), (1, "Vertex", "a"), (None, "Acme", "a"), (3, "new", "b")], S)
+    counts = EV.lenient_counts(pred, truth)
+    assert counts.columns == ["doc_id", "category", "tp", "fp", "fn"]
+    want = [(1, None, 1, 1, 0), (1, None, 0, 0, 1), (1, "a", 0, 1, 1), (None, "a", 0, 1, 0), (None, "a", 0, 0, 1), (2, "b", 0, 0, 1), (3, "b", 0, 1, 0)]
+    assert sorted(map(str, map(tuple, counts.collect()))) == sorted(map(str, want))
+    inputs = [leaf for leaf in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LogicalRDD" in leaf]
+    assert len(inputs) == 2
+
+
 def test_report_zero_fill_and_undefined_ratios(spark):
     counts = spark.createDataFrame([(1, "dati_contatto", 0, 0, 2)], "doc_id long, category string, tp long, fp long, fn long")
     lang = spark.createDataFrame([(1, "IT")], "doc_id long, lang string")
