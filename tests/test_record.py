@@ -47,6 +47,22 @@ def test_near_phrase_equals_the_pattern():
             assert VS.near_phrase(text, values, phrases, window) == want
 
 
+def test_scans_of_many_values(monkeypatch):
+    rng = random.Random(5)
+    values = [word(rng, "abc", 4) for _ in range(3 * VS.FEW)] + [None]
+    some, text = values[:VS.FEW], word(rng, "abcd", 300)
+    for empty_too in (False, True):
+        want = [VS.related_rows([v], some, empty_too)[0] for v in values]
+        assert VS.related_rows(values, some, empty_too) == want
+    assert VS.first_places(text, values) == [VS.first_places(text, [v])[0] for v in values]
+    want = sorted((i, v) for v in {*values} - {None, ""} for i in range(len(text)) if text.startswith(v, i))
+    assert sorted(VS.Finder(values)(text)) == want
+    monkeypatch.setattr(VS, "FEW", 0)                 # few values, but by the automaton
+    test_related_rows_equal_brute_force()
+    test_near_phrase_equals_the_pattern()
+    test_places_neighbours_and_single_pass()
+
+
 def test_places_neighbours_and_single_pass():
     rng = random.Random(3)
     for _ in range(100):
